@@ -40,6 +40,33 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return pieces.where(F.col("n_pieces") > 1).select("event_id").distinct()
 
 
+# ---- 3: credentials
+
+
+def _texts(spark: SparkSession, base: str, find: Callable[[DataFrame, str, list[str]], DataFrame], calls: list[str]) -> DataFrame:
+    """The findings in messages.text and the named fields of tool_calls, with their source table."""
+    messages = find(table(spark, base, "messages"), "event_id", ["text"])
+    tools = find(table(spark, base, "tool_calls"), "id", calls)
+    return messages.withColumn("source_table", F.lit("messages")).unionByName(tools.withColumn("source_table", F.lit("tool_calls")))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """The lines on which a credential begins."""
+    from .secrets import find_secrets
+    from .tokens import default_tokenizer
+
+    found = _texts(spark, base, lambda df, key, fields: find_secrets(df, key, fields, default_tokenizer()), ["input_text", "output_text"])
+    return found.select("source_table", "record_id", "field", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """The tool calls with their credentials redacted, one row per call."""
+    from .secrets import redact_secrets
+    from .tokens import default_tokenizer
+
+    return redact_secrets(table(spark, base, "tool_calls"), "id", ["input_text", "output_text"], default_tokenizer()).dropDuplicates(["id"])
+
+
 # ---- 4: conversations
 
 
@@ -96,6 +123,23 @@ def p5_rates(spark: SparkSession, base: str) -> DataFrame:
     return truncation_rates(_outputs(spark, base), "provider", "tool_name")
 
 
+# ---- 7: personal information
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """The kinds of personal information in each field."""
+    from .pii import find_pii
+
+    return _texts(spark, base, find_pii, ["output_text"]).select("source_table", "record_id", "field", "pii_type").distinct()
+
+
+def p7_masked(spark: SparkSession, base: str) -> DataFrame:
+    """The messages with typed placeholders, one row per message."""
+    from .pii import mask_pii
+
+    return mask_pii(table(spark, base, "messages"), "event_id", ["text"]).dropDuplicates(["event_id"])
+
+
 # ---- 8: encoding
 
 
@@ -114,4 +158,4 @@ def p8_decoded(spark: SparkSession, base: str) -> DataFrame:
     return decode_corpus(ids, "doc_id", "ids", default_tokenizer())
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p8_ids, p8_decoded)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p7_found, p7_masked, p8_ids, p8_decoded)}
