@@ -158,4 +158,34 @@ def p8_decoded(spark: SparkSession, base: str) -> DataFrame:
     return decode_corpus(ids, "doc_id", "ids", default_tokenizer())
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p7_found, p7_masked, p8_ids, p8_decoded)}
+# ---- 10: languages
+
+
+def _field(spark: SparkSession, base: str):
+    from .language import train_from
+
+    return train_from(table(spark, base, "lang_samples"))
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """The languages of whole passages that a document's label does not name."""
+    from .language import unlabelled_languages
+
+    return unlabelled_languages(table(spark, base, "documents"), "doc_id", "text", "lang", _field(spark, base)).select("doc_id", "lang")
+
+
+def p10_passages(spark: SparkSession, base: str) -> DataFrame:
+    """The language of each passage, with its confidence."""
+    from .language import passages
+
+    return passages(table(spark, base, "documents"), "doc_id", "text", _field(spark, base))
+
+
+def p10_documents(spark: SparkSession, base: str) -> DataFrame:
+    """The main language of each document, with its confidence."""
+    from .language import document_languages, passages
+
+    return document_languages(passages(table(spark, base, "documents"), "doc_id", "text", _field(spark, base)), "doc_id")
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p7_found, p7_masked, p8_ids, p8_decoded, p10_found, p10_passages, p10_documents)}

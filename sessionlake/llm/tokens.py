@@ -47,7 +47,7 @@ class Encoder:
         if len(self.known) > KEPT_PARTS:
             self.known.clear()
         cut = [_CUT.split(t) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(cut)) - self.known.keys())
+        new = list(set(chain.from_iterable(cut)).difference(self.known))
         if new:
             for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 self.known[part] = tuple(e.ids)
