@@ -158,6 +158,30 @@ def p8_decoded(spark: SparkSession, base: str) -> DataFrame:
     return decode_corpus(ids, "doc_id", "ids", default_tokenizer())
 
 
+# ---- 9: packing
+
+
+def _packed(spark: SparkSession, base: str) -> tuple[DataFrame, dict[int, int]]:
+    from .packing import pack
+    from .tokens import default_tokenizer, token_counts
+
+    capacities = {r[0]: r[1] for r in table(spark, base, "pack_limits").select("pack_id", "capacity_tokens").collect()}
+    sizes = token_counts(table(spark, base, "documents"), "doc_id", "text", default_tokenizer())
+    return pack(sizes, "doc_id", "n_tokens", capacities), capacities
+
+
+def p9_containers(spark: SparkSession, base: str) -> DataFrame:
+    """The container of each document, or of each piece of one above the capacity."""
+    return _packed(spark, base)[0]
+
+
+def p9_fill(spark: SparkSession, base: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    from .packing import container_fill
+
+    return container_fill(*_packed(spark, base))
+
+
 # ---- 10: languages
 
 
@@ -188,4 +212,4 @@ def p10_documents(spark: SparkSession, base: str) -> DataFrame:
     return document_languages(passages(table(spark, base, "documents"), "doc_id", "text", _field(spark, base)), "doc_id")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p7_found, p7_masked, p8_ids, p8_decoded, p10_found, p10_passages, p10_documents)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_documents)}
