@@ -123,6 +123,24 @@ def p5_rates(spark: SparkSession, base: str) -> DataFrame:
     return truncation_rates(_outputs(spark, base), "provider", "tool_name")
 
 
+# ---- 6: similar vectors
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of a similarity of at least 0.90, each among the other's ten most similar."""
+    from .neighbours import mutual_pairs, nearest_neighbours
+
+    near = nearest_neighbours(table(spark, base, "message_vectors"), "vec_rowid", "model", "vector", k=10, least=0.90, enough=2000, every_member=False)
+    return mutual_pairs(near, 0.90).select(F.col("id_a").alias("vec_rowid_a"), F.col("id_b").alias("vec_rowid_b"))
+
+
+def p6_nearest(spark: SparkSession, base: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose id is divisible by 50, against all rows."""
+    from .neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, base, "message_vectors"), "vec_rowid", "model", "vector", k=10, share=0.3, queries_of=lambda i: i % 50 == 0)
+
+
 # ---- 7: personal information
 
 
@@ -212,4 +230,4 @@ def p10_documents(spark: SparkSession, base: str) -> DataFrame:
     return document_languages(passages(table(spark, base, "documents"), "doc_id", "text", _field(spark, base)), "doc_id")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_documents)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p6_found, p6_nearest, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_documents)}
