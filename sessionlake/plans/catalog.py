@@ -5,8 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionlake.operators import lineage
+from sessionlake.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL where there is one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- parent-child hierarchies
+
+_NODES = "n AS (SELECT DISTINCT session_id AS id, nullif(parent_session_id, '') AS p FROM sessions), l AS (SELECT id, CASE WHEN p IN (SELECT id FROM n) THEN p END AS p FROM n)"
+
+
+@query(
+    f"""
+WITH RECURSIVE {_NODES},
+  up AS (SELECT id, id AS at, [id] AS path, false AS ring FROM l
+    UNION ALL SELECT up.id, l.p, list_append(up.path, l.p), list_contains(up.path, l.p) FROM up JOIN l ON l.id = up.at WHERE l.p IS NOT NULL AND NOT up.ring),
+  last AS (SELECT id, arg_max(path, len(path)) AS path, bool_or(ring) AS ring FROM up GROUP BY id)
+SELECT last.id AS session_id,
+  CASE WHEN ring THEN list_min(list_slice(path, list_position(path, path[-1]), len(path))) ELSE path[-1] END AS root_session_id,
+  (CASE WHEN ring THEN -1 ELSE len(path) - 1 END)::bigint AS depth
+FROM last JOIN l USING (id) WHERE l.p IS NOT NULL
+"""
+)
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """The root and depth of each session whose parent is a session."""
+    tree = lineage.hierarchy(lineage.links(table(spark, base, "sessions")))
+    return tree.where(F.col("parent").isNotNull()).select(F.col("id").alias("session_id"), F.col("root").alias("root_session_id"), "depth")
+
+
+@query()
+def p2_hierarchy(spark: SparkSession, base: str) -> DataFrame:
+    """The place of each session: path, depth, root, interval and number of descendants, cycles."""
+    return lineage.hierarchy(lineage.links(table(spark, base, "sessions"))).withColumnRenamed("id", "session_id")
+
+
+@query(
+    f"""
+WITH RECURSIVE {_NODES},
+  r AS (SELECT DISTINCT request_id, lineage_root_session_id AS root FROM lineage_requests),
+  down AS (SELECT request_id, l.id AS session_id, 0::bigint AS distance, [l.id] AS path FROM r JOIN l ON l.id = r.root
+    UNION ALL SELECT request_id, l.id, distance + 1, list_append(path, l.id) FROM down JOIN l ON l.p = down.session_id WHERE NOT list_contains(path, l.id))
+SELECT request_id, session_id, distance FROM down
+"""
+)
+def p2_requests(spark: SparkSession, base: str) -> DataFrame:
+    """The sessions at and below each requested lineage root."""
+    tree = lineage.hierarchy(lineage.links(table(spark, base, "sessions")))
+    return lineage.lineage_of_requests(tree, table(spark, base, "lineage_requests"))
