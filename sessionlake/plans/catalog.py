@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.operators import lineage
+from sessionlake.functions import hashing, text, vectors
+from sessionlake.operators import lineage, redaction, store
+from sessionlake.operators.store import Store
+from sessionlake.plans.query import Filters, point_lookup, select_messages, select_sessions, select_tool_calls
+from sessionlake.plans import query as spec
 from sessionlake.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +74,188 @@ def p2_requests(spark: SparkSession, base: str) -> DataFrame:
     """The sessions at and below each requested lineage root."""
     tree = lineage.hierarchy(lineage.links(table(spark, base, "sessions")))
     return lineage.lineage_of_requests(tree, table(spark, base, "lineage_requests"))
+
+
+# ---- typed queries. The SQL removes re-deliveries by DISTINCT over all columns but ingested_at.
+
+_S = "s AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM sessions)"
+_M = "m AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM messages)"
+_T = "t AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM tool_calls)"
+_V = "v AS (SELECT DISTINCT ON (vec_rowid) * EXCLUDE (ingested_at) FROM message_vectors)"
+_TIME = "try_cast(CASE WHEN regexp_matches({0}, '^\\s*\\d{{4}}-\\d{{2}}-\\d{{2}}([T ]\\d{{2}}:\\d{{2}}.*)?\\s*$') THEN {0} END AS timestamptz)"
+_PAGE = "message_id, m.session_id, m.seq, m.role, octet_length(encode(m.text)) AS text_bytes, m.ts, provider, agent_name"
+_MESSAGES = "SELECT coalesce(event_id, m.session_id || ':' || seq) AS message_id, m.*, provider, agent_name, assignment_role, parent_session_id, started_at FROM m JOIN s USING (session_id)"
+
+
+def _shown(messages: DataFrame) -> DataFrame:
+    return messages.select("message_id", "session_id", "seq", "role", F.octet_length("text").cast("long").alias("text_bytes"), "ts", "provider", "agent_name")
+
+
+@query(f"WITH {_S}, {_M} SELECT message_id, session_id, seq, role, octet_length(encode(text)) AS text_bytes, ts, provider, agent_name FROM ({_MESSAGES}) WHERE role = 'assistant' ORDER BY session_id, seq, message_id LIMIT 101")
+def messages_page(spark: SparkSession, base: str) -> DataFrame:
+    """The first page of assistant messages and the row after it."""
+    return _shown(spec.page(Store(spark, base), spec.Query("messages", Filters(role="assistant"))))
+
+
+@query(f"WITH {_S}, {_M} SELECT message_id, session_id, seq, role, octet_length(encode(text)) AS text_bytes, ts, provider, agent_name FROM ({_MESSAGES}) WHERE (session_id, seq) > ('codex:5', 3) ORDER BY session_id, seq, message_id LIMIT 51")
+def messages_next_page(spark: SparkSession, base: str) -> DataFrame:
+    """The page of messages after a key."""
+    return _shown(spec.page(Store(spark, base), spec.Query("messages", limit=50, after=("codex:5", 3))))
+
+
+@query(f"WITH {_S}, {_M} SELECT message_id, session_id, seq, role, octet_length(encode(text)) AS text_bytes, ts, provider, agent_name FROM ({_MESSAGES}) WHERE {_TIME.format('ts')} >= '2026-03-01 00:00:00+00' AND {_TIME.format('ts')} < '2026-05-01 00:00:00+00' AND provider IN ('codex', 'claude')")
+def messages_time_window(spark: SparkSession, base: str) -> DataFrame:
+    """Messages of two providers in a window of time, its start included."""
+    return _shown(select_messages(Store(spark, base), Filters(providers=("codex", "claude"), message_after="2026-03-01T00:00:00Z", message_before="2026-05-01T00:00:00Z")))
+
+
+@query(f"WITH {_S}, {_M} SELECT message_id, session_id, seq, role, octet_length(encode(text)) AS text_bytes, ts, provider, agent_name FROM ({_MESSAGES}) WHERE parent_session_id IS NULL AND {_TIME.format('started_at')} >= '2026-02-01 00:00:00+00'")
+def messages_of_roots(spark: SparkSession, base: str) -> DataFrame:
+    """Messages of sessions without a parent that started after a time."""
+    return _shown(select_messages(Store(spark, base), Filters(roots_only=True, session_started_after="2026-02-01T00:00:00Z")))
+
+
+@query(f"""WITH RECURSIVE {_S}, {_M}, l AS (SELECT session_id AS id, nullif(parent_session_id, '') AS p FROM s),
+  down AS (SELECT (SELECT min(lineage_root_session_id) FROM lineage_requests WHERE lineage_root_session_id IN (SELECT id FROM l)) AS id, 0 AS n
+    UNION SELECT l.id, n + 1 FROM down JOIN l ON l.p = down.id WHERE n < 60)
+SELECT message_id, session_id, seq, role, octet_length(encode(text)) AS text_bytes, ts, provider, agent_name FROM ({_MESSAGES}) WHERE session_id IN (SELECT id FROM down)""")
+def messages_of_lineage(spark: SparkSession, base: str) -> DataFrame:
+    """Messages of a requested lineage: of the smallest requested root that is here, and all below it."""
+    shop = Store(spark, base)
+    roots = shop.rows("lineage_requests", "lineage_root_session_id").select(F.col("lineage_root_session_id").alias("session_id"))
+    first = roots.join(shop.rows("sessions", "session_id"), "session_id", "left_semi").agg(F.min("session_id")).first()[0]
+    return _shown(select_messages(shop, Filters(lineage_root_session_id=first or "")))
+
+
+@query(f"WITH {_S} SELECT session_id, project_key, provider, started_at, updated_at AS ended_at, model FROM s ORDER BY coalesce(updated_at, started_at, '') DESC, session_id LIMIT 101")
+def sessions_page(spark: SparkSession, base: str) -> DataFrame:
+    """The newest sessions, one more than a page."""
+    return spec.page(Store(spark, base), spec.Query("sessions")).select("session_id", "project_key", "provider", "started_at", "ended_at", "model")
+
+
+@query(f"WITH {_S} SELECT session_id, project_key, provider, model FROM s WHERE provider IN ('codex', 'opencode') AND parent_session_id IS NULL AND model_provider IS NOT DISTINCT FROM 'northwind-ai'")
+def sessions_filtered(spark: SparkSession, base: str) -> DataFrame:
+    """Root sessions of two providers by the session's own model provider."""
+    return select_sessions(Store(spark, base), Filters(providers=("codex", "opencode"), roots_only=True, model_provider="northwind-ai")).select("session_id", "project_key", "provider", "model")
+
+
+@query(f"WITH {_S}, {_M} SELECT session_id FROM s WHERE EXISTS (FROM m WHERE m.session_id = s.session_id AND m.model = 'cx-large')")
+def sessions_by_message_model(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions with some message of a model."""
+    return store.sessions_with_message_model(Store(spark, base), "cx-large")
+
+
+@query(f"WITH {_S}, {_T} SELECT t.id, t.session_id, coalesce(t.event_id, t.id) AS event_id, t.seq, t.tool_name, t.status, coalesce(t.started_at, t.completed_at) AS called_at, octet_length(encode(input_text)) AS input_bytes, octet_length(encode(output_text)) AS output_bytes FROM t JOIN s USING (session_id) WHERE t.tool_name IN ('grep') ")
+def tool_calls_of_tool(spark: SparkSession, base: str) -> DataFrame:
+    """The calls of one tool with the sizes of their payloads."""
+    return select_tool_calls(Store(spark, base), Filters(tool_name="grep")).select("id", "session_id", "event_id", "seq", "tool_name", "status", "called_at", F.col("input_bytes").cast("long"), F.col("output_bytes").cast("long"))
+
+
+@query(f"WITH {_S}, {_T} SELECT t.id, t.session_id, t.seq, t.tool_name FROM t JOIN s USING (session_id) ORDER BY t.session_id, t.seq, t.id LIMIT 101 OFFSET 200")
+def tool_calls_page(spark: SparkSession, base: str) -> DataFrame:
+    """The third page of tool calls."""
+    return spec.page(Store(spark, base), spec.Query("tool_calls", offset=200)).select("id", "session_id", "seq", "tool_name")
+
+
+@query(f"WITH {_M}, k AS (SELECT (row_number() OVER (ORDER BY search_id, match_key) - 1)::int AS position, session_id, seq FROM (SELECT DISTINCT search_id, match_key, session_id, seq FROM search_matches) QUALIFY position < 40) SELECT position, session_id, seq, event_id, role, text FROM m JOIN k USING (session_id, seq)")
+def point_lookup_batch(spark: SparkSession, base: str) -> DataFrame:
+    """The messages at a page of keys, in the order of the keys."""
+    shop = Store(spark, base)
+    keys = shop.rows("search_matches", "session_id", "seq").orderBy("search_id", "match_key").limit(40).collect()
+    return point_lookup(shop, [(r["session_id"], r["seq"]) for r in keys])
+
+
+# ---- counts, coverage, integrity
+
+
+@query(f"WITH {_S}, {_M}, {_T}, {_V}, p AS (SELECT DISTINCT * FROM projects) SELECT 'projects' AS table_name, count(*) AS n_rows FROM p UNION ALL SELECT 'sessions', count(*) FROM s UNION ALL SELECT 'messages', count(*) FROM m UNION ALL SELECT 'tool_calls', count(*) FROM t UNION ALL SELECT 'message_vectors', count(*) FROM v")
+def stats_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Records a table."""
+    return store.table_counts(Store(spark, base))
+
+
+_CHILDREN = f"{_S}, {_M}, {_T}, {_V}, c AS (SELECT session_id, (SELECT count(*) FROM m WHERE m.session_id = s.session_id) AS n_messages, (SELECT count(*) FROM t WHERE t.session_id = s.session_id) AS n_tool_calls, (SELECT count(*) FROM v WHERE v.session_id = s.session_id) AS n_vectors FROM s)"
+
+
+@query(f"WITH {_CHILDREN} FROM c")
+def session_detail_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Rows of each kind a session."""
+    return store.child_counts(Store(spark, base))
+
+
+@query(f"WITH {_CHILDREN} SELECT s.session_id, message_count, n_messages, tool_call_count, n_tool_calls FROM c JOIN s USING (session_id) WHERE message_count IS DISTINCT FROM n_messages OR tool_call_count IS DISTINCT FROM n_tool_calls")
+def declared_count_gaps(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions that declare other counts than they have."""
+    return store.declared_count_gaps(Store(spark, base))
+
+
+@query(f"WITH {_CHILDREN} SELECT provider, count(*) AS n_sessions, sum(n_messages)::bigint AS n_messages, sum(n_tool_calls)::bigint AS n_tool_calls FROM c JOIN s USING (session_id) GROUP BY ROLLUP (provider)")
+def provider_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Totals a provider and over all."""
+    return store.provider_totals(Store(spark, base))
+
+
+_MODEL = "loc-mini-64"
+_SEARCHABLE = "sm AS (SELECT * FROM m WHERE role IN ('user', 'assistant', 'reasoning')), mv AS (SELECT * FROM v WHERE model = 'loc-mini-64')"
+_STALE = "st AS (SELECT DISTINCT mv.vec_rowid, mv.session_id, mv.seq FROM mv LEFT JOIN m ON m.session_id = mv.session_id AND m.seq = mv.seq WHERE m.role IS NULL OR m.role <> mv.role OR m.content_hash IS DISTINCT FROM mv.content_hash)"
+_SAME = "sm.session_id = mv.session_id AND sm.seq = mv.seq AND sm.role = mv.role AND sm.content_hash = mv.content_hash"
+
+
+@query(f"WITH {_M}, {_V}, {_SEARCHABLE}, {_STALE}, a AS (SELECT count(*) AS n FROM sm), b AS (SELECT count(*) AS n FROM mv WHERE EXISTS (FROM sm WHERE {_SAME})) SELECT a.n AS searchable, b.n AS matching, greatest(a.n - b.n, 0) AS vectorless, (SELECT count(*) FROM st) AS stale FROM a, b")
+def vector_coverage(spark: SparkSession, base: str) -> DataFrame:
+    """How many searchable messages have a live vector, and how many vectors are stale."""
+    return store.vector_coverage(Store(spark, base), _MODEL)
+
+
+@query(f"WITH {_M}, {_V}, {_SEARCHABLE} SELECT session_id, seq, event_id FROM sm WHERE NOT EXISTS (FROM mv WHERE {_SAME})")
+def vectors_missing(spark: SparkSession, base: str) -> DataFrame:
+    """Searchable messages without a live vector."""
+    return store.missing_vectors(Store(spark, base), _MODEL)
+
+
+@query(f"WITH {_M}, {_V}, {_SEARCHABLE}, {_STALE} FROM st")
+def vectors_stale(spark: SparkSession, base: str) -> DataFrame:
+    """Vectors whose message has changed or gone."""
+    return store.stale_vectors(Store(spark, base), _MODEL)
+
+
+@query(f"WITH {_M}, {_V}, {_SEARCHABLE}, h AS (SELECT DISTINCT content_hash FROM sm WHERE content_hash IS NOT NULL) SELECT count(*) AS n_hashes, count(*) FILTER (content_hash IN (SELECT content_hash FROM mv)) AS n_hits, count(*) FILTER (content_hash NOT IN (SELECT content_hash FROM mv WHERE content_hash IS NOT NULL)) AS n_misses FROM h")
+def embedding_coverage(spark: SparkSession, base: str) -> DataFrame:
+    """Different contents with and without an embedding."""
+    return store.embedding_coverage(Store(spark, base), _MODEL)
+
+
+@query(f"WITH {_S} SELECT session_id, parent_session_id FROM s WHERE parent_session_id <> '' AND parent_session_id NOT IN (SELECT session_id FROM s)")
+def dangling_parents(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions with a parent that is not here."""
+    return store.dangling_parents(Store(spark, base))
+
+
+@query(f"WITH {_S} SELECT session_id FROM s WHERE parent_session_id IS NULL AND EXISTS (FROM s c WHERE c.parent_session_id = s.session_id)")
+def complete_roots(spark: SparkSession, base: str) -> DataFrame:
+    """Roots with children."""
+    return store.complete_roots(Store(spark, base))
+
+
+@query(f"WITH {_S} SELECT session_id FROM s WHERE NOT EXISTS (FROM messages x WHERE x.session_id = s.session_id) AND NOT EXISTS (FROM tool_calls x WHERE x.session_id = s.session_id) AND NOT EXISTS (FROM message_vectors x WHERE x.session_id = s.session_id)")
+def empty_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions without any row of their own."""
+    return store.empty_sessions(Store(spark, base))
+
+
+@query(f"WITH {_M} SELECT project_key, count(*) AS n_messages FROM m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def top_project(spark: SparkSession, base: str) -> DataFrame:
+    """The project with most messages."""
+    return store.top_project(Store(spark, base))
+
+
+@query(f"WITH {_T}, d AS (SELECT tool_name, (epoch_us({_TIME.format('completed_at')}) - epoch_us({_TIME.format('started_at')})) / 1000.0 AS ms FROM t) SELECT tool_name, count(*) AS n_calls, quantile_disc(ms, 0.5)::double AS p50_ms, quantile_disc(ms, 0.95)::double AS p95_ms FROM d WHERE ms IS NOT NULL GROUP BY 1")
+def call_durations(spark: SparkSession, base: str) -> DataFrame:
+    """Nearest-rank quantiles of call times a tool."""
+    return store.call_durations(Store(spark, base))
+
+
+@query("SELECT session_id, row_number() OVER (ORDER BY f) AS position FROM (SELECT session_id, min((search_id, match_key)) AS f FROM search_matches GROUP BY 1)")
+def first_seen_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """The matched sessions in the order of their first match."""
+    return store.first_seen_sessions(Store(spark, base))
