@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import hashing, text, vectors
-from sessionlake.operators import lineage, redaction, store
+from sessionlake.operators import jobs, lineage, merge, redaction, search, store
 from sessionlake.operators.store import Store
 from sessionlake.plans.query import Filters, point_lookup, select_messages, select_sessions, select_tool_calls
 from sessionlake.plans import query as spec
@@ -259,3 +260,167 @@ def call_durations(spark: SparkSession, base: str) -> DataFrame:
 def first_seen_sessions(spark: SparkSession, base: str) -> DataFrame:
     """The matched sessions in the order of their first match."""
     return store.first_seen_sessions(Store(spark, base))
+
+
+# ---- search
+
+_FOLD = "lower(strip_accents(text))"
+_DOCS = f"{_M}, doc AS (SELECT event_id AS key, session_id, seq, role, list_concat([1, 1, 1]::int[], list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+'), lambda x: 1)).len() AS len, regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+') AS ts FROM m WHERE role IN ('user', 'assistant', 'reasoning'))"
+
+
+def _bm25_sql(words: list[str], limit: int, where: str = "true") -> str:
+    tf = ", ".join(f"len(list_filter(ts, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(words)))
+    score = " + ".join(f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in range(len(words)))
+    having = " AND ".join(f"tf{i} > 0" for i in range(len(words)))
+    return f"""WITH {_DOCS}, f AS (SELECT *, {tf} FROM doc), st AS (SELECT count(*) AS n, avg(len) AS mean, {df} FROM f),
+      r AS (SELECT key, session_id, seq, row_number() OVER (ORDER BY round({score}, 9) DESC, key) AS rank FROM f, st WHERE {having} AND {where})
+    SELECT key, session_id, seq, rank, 1.0::double / rank AS score FROM r WHERE rank <= {limit}"""
+
+
+@query(_bm25_sql(["merge", "planner"], 50))
+def lexical_search(spark: SparkSession, base: str) -> DataFrame:
+    """The first messages by BM25 with both words."""
+    return search.lexical_search(search.documents(Store(spark, base)), "Merge planner", limit=50)
+
+
+@query(_bm25_sql(["lineage"], 30, "role = 'user'"))
+def lexical_search_filtered(spark: SparkSession, base: str) -> DataFrame:
+    """The first user messages by BM25."""
+    return search.lexical_search(search.documents(Store(spark, base)), "lineage", limit=30, where=F.col("role") == "user")
+
+
+_ASKED = [((i * 37) % 17 - 8) / 10 for i in range(64)]
+_LIVE = f"{_M}, {_V}, {_SEARCHABLE}, lv AS (SELECT sm.event_id AS key, mv.session_id, mv.seq, mv.role, mv.vector FROM mv JOIN sm ON {_SAME} WHERE len(mv.vector) = 64)"
+_COS = f"list_reduce(list_prepend(0.0::double, list_transform(list_zip(vector::double[], {_ASKED}::double[]), lambda z: z[1] * z[2])), lambda a, b: a + b) / (sqrt(list_reduce(list_prepend(0.0::double, list_transform(vector::double[], lambda z: z * z)), lambda a, b: a + b)) * {sum(x * x for x in _ASKED) ** 0.5!r})"
+
+
+def _cosine_sql(limit: int, where: str = "true") -> str:
+    return f"WITH {_LIVE}, c AS (SELECT key, session_id, seq, {_COS} AS score FROM lv WHERE {where}) SELECT key, session_id, seq, row_number() OVER (ORDER BY score DESC, session_id, seq) AS rank, round(score, 6) AS score FROM c WHERE isfinite(score) QUALIFY rank <= {limit}"
+
+
+@query(_cosine_sql(25))
+def vector_search(spark: SparkSession, base: str) -> DataFrame:
+    """The live vectors most similar to a given one."""
+    return search.vector_search(search.live_vectors(Store(spark, base), _MODEL), _ASKED, limit=25).withColumn("score", F.round("score", 6))
+
+
+@query(_cosine_sql(25, "role = 'assistant'"))
+def vector_search_filtered(spark: SparkSession, base: str) -> DataFrame:
+    """The live vectors of assistant messages most similar to a given one."""
+    return search.vector_search(search.live_vectors(Store(spark, base), _MODEL), _ASKED, limit=25, where=F.col("role") == "assistant").withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"WITH lex AS ({_bm25_sql(['merge', 'planner'], 50)}), sem AS ({_cosine_sql(50)}), b AS (SELECT key, rank FROM lex UNION ALL SELECT key, rank FROM sem), f AS (SELECT key, sum(1.0::double / (60 + rank)) AS score FROM b GROUP BY 1) "
+    "SELECT key, row_number() OVER (ORDER BY score DESC, key) AS rank, round(score, 9) AS score, false AS degraded FROM f QUALIFY rank <= 20"
+)
+def fused_search(spark: SparkSession, base: str) -> DataFrame:
+    """Reciprocal-rank fusion of both searches."""
+    shop = Store(spark, base)
+    depth = search.candidates(20, 0)
+    lexical = search.lexical_search(search.documents(shop), "merge planner", limit=depth)
+    semantic = search.vector_search(search.live_vectors(shop, _MODEL), _ASKED, limit=depth)
+    return search.fuse(lexical, semantic, limit=20).withColumn("score", F.round("score", 9))
+
+
+@query()
+def fused_rows(spark: SparkSession, base: str) -> DataFrame:
+    """A fused page with its messages: excerpts of at most 2,000 bytes and the places of the terms."""
+    shop = Store(spark, base)
+    hits = search.fuse(search.lexical_search(search.documents(shop), "merge planner", limit=50), None, limit=20)
+    rows = search.hydrate(hits, shop)
+    return rows.select("key", "rank", "score", text.utf8_prefix(F.col("text"), 2000).alias("text"), (F.octet_length("text") > 2000).alias("text_truncated"), F.octet_length("text").alias("text_bytes"), text.highlight_ranges(F.col("text"), "merge planner").alias("ranges"))
+
+
+@query(f"WITH {_M} SELECT event_id, octet_length(encode(text)) AS text_bytes, octet_length(encode(text)) > 2000 AS text_truncated FROM m WHERE text IS NOT NULL")
+def search_excerpts(spark: SparkSession, base: str) -> DataFrame:
+    """Sizes of the messages and whether a search row would cut them."""
+    rows = Store(spark, base).rows("messages", "text").where(F.col("text").isNotNull())
+    cut = text.utf8_prefix(F.col("text"), 2000)
+    return rows.select("event_id", F.octet_length("text").cast("long").alias("text_bytes"), (F.octet_length(cut) < F.octet_length("text")).alias("text_truncated"))
+
+
+@query(
+    f"WITH {_M}, x AS (SELECT event_id, text, strpos({_FOLD}, 'lineage') AS pos FROM m WHERE regexp_matches({_FOLD}, 'lineage')), p AS (SELECT *, greatest(pos - 40, 1) AS a, least(pos + 87, length(text) + 1) AS b FROM x) "
+    "SELECT event_id, CASE WHEN a > 1 THEN '…' ELSE '' END || substr(text, a, b - a) || CASE WHEN b <= length(text) THEN '…' ELSE '' END AS snippet FROM p"
+)
+def search_snippets(spark: SparkSession, base: str) -> DataFrame:
+    """The text around a term."""
+    rows = Store(spark, base).rows("messages", "text").where(F.instr(text.fold(F.col("text")), "lineage") > 0)
+    return rows.select("event_id", text.snippet(F.col("text"), "lineage").alias("snippet"))
+
+
+@query(f"WITH {_M} SELECT role, sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')))::bigint AS n_terms FROM m WHERE role IN ('user', 'assistant', 'reasoning') AND text IS NOT NULL GROUP BY 1")
+def indexed_terms(spark: SparkSession, base: str) -> DataFrame:
+    """How many terms the index holds a role, the scope tokens left out."""
+    return search.documents(Store(spark, base)).groupBy("role").agg(F.sum(F.size("terms") - 3).alias("n_terms"))
+
+
+@query(f"WITH {_DOCS} SELECT unnest(ts) AS term, count(*) AS tf, count(DISTINCT key) AS df FROM doc GROUP BY 1 HAVING regexp_matches(term, '^[a-z]{{4,}}$') AND df >= 20")
+def index_terms(spark: SparkSession, base: str) -> DataFrame:
+    """Occurrences and messages of the frequent terms of the inverted index."""
+    index = search.postings(search.documents(Store(spark, base)).withColumn("terms", F.slice("terms", 4, F.greatest(F.size("terms") - 3, F.lit(0)))))
+    return index.where(F.col("term").rlike("^[a-z]{4,}$")).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= 20)
+
+
+# ---- hashing, redaction
+
+
+@query(f"WITH {_T} SELECT id, sha256(input_text) AS input_sha, sha256(output_text) AS output_sha, 'p' || sha1(project_key) AS project_token FROM t")
+def payload_hashes(spark: SparkSession, base: str) -> DataFrame:
+    """SHA-256 of payloads and the scope token of the project."""
+    rows = Store(spark, base).rows("tool_calls", "input_text", "output_text", "project_key")
+    return rows.select("id", F.sha2("input_text", 256).alias("input_sha"), F.sha2("output_text", 256).alias("output_sha"), hashing.project_scope_token(F.col("project_key")).alias("project_token"))
+
+
+@query()
+def message_hashes(spark: SparkSession, base: str) -> DataFrame:
+    """The content hash that each message should have."""
+    rows = Store(spark, base).rows("messages", "seq", "role", "text")
+    return rows.select("event_id", hashing.message_content_hash(F.col("session_id"), F.col("event_id"), F.col("seq"), F.col("role"), F.col("text")).alias("computed_hash"))
+
+
+def _redact_sql(column: str) -> str:
+    for pattern, replacement in redaction._steps()[:-1]:
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{re.sub(r'[$](.)', lambda m: chr(92) + m[1], replacement)}', 'g')"
+    return column
+
+
+@query(f"WITH {_T} SELECT id, {_redact_sql('input_text')} AS input_text FROM t WHERE NOT regexp_matches(input_text, '(?i)(PASSWORD|PASSWD|SECRET|TOKEN|API_KEY|ACCESS_KEY|PRIVATE_KEY|DATABASE_URL)[A-Z0-9_]*\\s*=')")
+def redacted_inputs(spark: SparkSession, base: str) -> DataFrame:
+    """Redacted tool inputs without assignments; RE2 has no lookahead for that rule, which tests cover instead."""
+    rows = Store(spark, base).rows("tool_calls", "input_text").where(~F.col("input_text").rlike(r"(?i)(PASSWORD|PASSWD|SECRET|TOKEN|API_KEY|ACCESS_KEY|PRIVATE_KEY|DATABASE_URL)[A-Z0-9_]*\s*="))
+    return rows.select("id", redaction.redact(F.col("input_text")).alias("input_text"))
+
+
+# ---- merging, jobs
+
+
+@query(
+    f"""WITH {_M}, old AS (SELECT session_id, event_id, seq, role, content_hash FROM m WHERE seq % 5 <> 0),
+  new AS (SELECT session_id, event_id, seq, role, CASE WHEN seq % 7 = 0 THEN content_hash || 'x' ELSE content_hash END AS content_hash FROM m WHERE seq % 11 <> 10 AND role <> 'reasoning'),
+  o AS (SELECT * FROM old WHERE session_id IN (SELECT session_id FROM new))
+SELECT coalesce(o.event_id, new.event_id) AS event_id, CASE WHEN o.event_id IS NULL THEN 'insert' WHEN new.event_id IS NULL THEN 'delete'
+  WHEN (o.seq, o.role, o.content_hash) IS DISTINCT FROM (new.seq, new.role, new.content_hash) THEN 'update' ELSE 'unchanged' END AS change
+FROM o FULL JOIN new ON o.session_id = new.session_id AND o.event_id = new.event_id"""
+)
+def session_diff(spark: SparkSession, base: str) -> DataFrame:
+    """Row-level changes between two states of the messages."""
+    rows = Store(spark, base).rows("messages", "seq", "role", "content_hash")
+    old = rows.where(F.col("seq") % 5 != 0)
+    new = rows.where((F.col("seq") % 11 != 10) & (F.col("role") != "reasoning")).withColumn("content_hash", F.when(F.col("seq") % 7 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
+    return merge.diff(old, new, ["session_id", "event_id"], ["session_id"], ["seq", "role", "content_hash"]).select("event_id", "change")
+
+
+@query("WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, greatest(ceil(length(text) / 1000.0), 1)::bigint AS n_chunks, length(text)::bigint AS n_chars FROM d")
+def document_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """How the documents are cut for embedding."""
+    cut = jobs.chunks(table(spark, base, "documents"), ["doc_id"], "text", 1000)
+    return cut.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"))
+
+
+@query("WITH x AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS p FROM embeddings), m AS (SELECT label, p, avg(x) AS m, count(*) AS n FROM x GROUP BY 1, 2) SELECT label, list(round(m, 6) ORDER BY p) AS vector, max(n) AS n_vectors FROM m GROUP BY 1")
+def mean_embeddings(spark: SparkSession, base: str) -> DataFrame:
+    """The mean embedding a label."""
+    return jobs.document_vectors(table(spark, base, "embeddings"), ["label"], "embedding").withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
