@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import hashing, text, vectors
-from sessionlake.operators import jobs, lineage, merge, redaction, search, store
+from sessionlake.operators import jobs, lineage, merge, normalize, redaction, search, store, trajectory
 from sessionlake.operators.store import Store
 from sessionlake.plans.query import Filters, point_lookup, select_messages, select_sessions, select_tool_calls
 from sessionlake.plans import query as spec
@@ -290,7 +290,7 @@ def lexical_search_filtered(spark: SparkSession, base: str) -> DataFrame:
     return search.lexical_search(search.documents(Store(spark, base)), "lineage", limit=30, where=F.col("role") == "user")
 
 
-_ASKED = [((i * 37) % 17 - 8) / 10 for i in range(64)]
+_ASKED = [((i * 37) % 17 - 8) / 8 for i in range(64)]
 _LIVE = f"{_M}, {_V}, {_SEARCHABLE}, lv AS (SELECT sm.event_id AS key, mv.session_id, mv.seq, mv.role, mv.vector FROM mv JOIN sm ON {_SAME} WHERE len(mv.vector) = 64)"
 _COS = f"list_reduce(list_prepend(0.0::double, list_transform(list_zip(vector::double[], {_ASKED}::double[]), lambda z: z[1] * z[2])), lambda a, b: a + b) / (sqrt(list_reduce(list_prepend(0.0::double, list_transform(vector::double[], lambda z: z * z)), lambda a, b: a + b)) * {sum(x * x for x in _ASKED) ** 0.5!r})"
 
@@ -424,3 +424,100 @@ def document_chunks(spark: SparkSession, base: str) -> DataFrame:
 def mean_embeddings(spark: SparkSession, base: str) -> DataFrame:
     """The mean embedding a label."""
     return jobs.document_vectors(table(spark, base, "embeddings"), ["label"], "embedding").withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
+
+
+# ---- trajectories and normalisation
+
+_EVENTS = f"""{_S}, {_M}, {_T}, said AS (SELECT session_id, event_id AS id, seq AS sequence, CASE role WHEN 'reasoning' THEN 'thinking' ELSE role END AS role, CASE role WHEN 'reasoning' THEN 'reasoning' ELSE 'message' END AS kind, ts AS timestamp, text FROM m),
+  ev0 AS (FROM said UNION ALL SELECT session_id, event_id, seq, 'assistant', 'tool_call', coalesce(started_at, completed_at), NULL FROM t WHERE (session_id, event_id) NOT IN (SELECT (session_id, id) FROM said)),
+  ev AS (SELECT session_id, id, min(sequence) AS sequence, min(role) AS role, min(kind) AS kind, arg_min(timestamp, sequence) AS timestamp, arg_min(text, sequence) AS text FROM ev0 GROUP BY 1, 2),
+  sp AS (SELECT *, CASE WHEN trim(coalesce(text, ''), ' ') <> '' THEN text END AS said FROM ev),
+  pl AS (SELECT t.*, ev.sequence AS pos FROM t JOIN ev ON ev.session_id = t.session_id AND ev.id = t.event_id)"""
+_ENC = "replace({0}, ':', '%3A')"
+
+
+def _trajectory(spark: SparkSession, base: str, **options) -> tuple[DataFrame, DataFrame]:
+    shop = Store(spark, base)
+    calls = shop.rows("tool_calls", "session_id", "event_id", "seq", "tool_name", "status", "input_text", "output_text", "started_at", "completed_at")
+    events = trajectory.events_from_rows(shop.rows("messages", "seq", "role", "text", "ts"), calls)
+    return trajectory.trajectory(shop.rows("sessions", "started_at"), events, calls, **options)
+
+
+@query(
+    f"""WITH {_EVENTS}, r AS (
+  SELECT session_id, -1 AS source_sequence, 0 AS suborder, 'trajectory:meta:' || {_ENC.format("session_id || ':session'")} AS id, 'meta' AS role, NULL::bigint AS original_bytes, NULL::bigint AS returned_bytes FROM s
+  UNION ALL SELECT session_id, sequence, CASE WHEN kind = 'reasoning' THEN 10 ELSE 20 END, 'trajectory:' || x || ':' || {_ENC.format('id')}, x, NULL, NULL FROM (SELECT *, CASE WHEN kind = 'reasoning' THEN 'reasoning' WHEN role IN ('developer', 'system') THEN 'meta' ELSE role END AS x FROM sp WHERE said IS NOT NULL AND role IN ('user', 'assistant', 'thinking', 'developer', 'system'))
+  UNION ALL SELECT session_id, pos, 100, 'trajectory:tool_call:' || {_ENC.format('id')}, 'tool_call', NULL, NULL FROM pl
+  UNION ALL SELECT session_id, pos, 110, 'trajectory:tool_result:' || {_ENC.format('id')}, 'tool_result', octet_length(encode(coalesce(output_text, ''))), octet_length(encode(coalesce(output_text, ''))) FROM pl WHERE coalesce(output_text, '') <> '' OR completed_at IS NOT NULL)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY source_sequence, suborder, id) - 1 AS sequence, id, role, original_bytes, returned_bytes FROM r"""
+)
+def trajectory_records(spark: SparkSession, base: str) -> DataFrame:
+    """The ordered records of every session."""
+    return _trajectory(spark, base)[0].select("session_id", "sequence", "id", "role", "original_bytes", "returned_bytes")
+
+
+@query(
+    f"""WITH {_EVENTS}
+SELECT session_id, 'omitted' AS kind, 'event' AS source_kind, id AS source_id, 'excluded_by_option' AS reason FROM sp WHERE said IS NOT NULL AND kind = 'reasoning'
+UNION ALL SELECT session_id, 'truncated', 'tool_result', id, 'tool_result_truncated' FROM pl WHERE octet_length(encode(output_text)) > 1000
+UNION ALL SELECT session_id, 'omitted', 'event', id, 'not_selected_for_agent_projection' FROM sp WHERE (said IS NULL OR role NOT IN ('user', 'assistant', 'thinking', 'developer', 'system')) AND (session_id, id) NOT IN (SELECT (session_id, event_id) FROM pl)"""
+)
+def trajectory_losses(spark: SparkSession, base: str) -> DataFrame:
+    """What a trajectory without reasoning and with results of at most 1,000 bytes leaves out."""
+    return _trajectory(spark, base, reasoning=False, most_bytes=1000)[1].select("session_id", "kind", "source_kind", "source_id", "reason")
+
+
+@query()
+def trajectory_faults(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions whose trajectory breaks a rule."""
+    return trajectory.trajectory_faults(_trajectory(spark, base)[0])
+
+
+@query()
+def letta_issues(spark: SparkSession, base: str) -> DataFrame:
+    """What the first exchange format could not carry, by kind."""
+    records = _trajectory(spark, base)[0]
+    return trajectory.letta_records(records, Store(spark, base).rows("sessions", "provider", "model"))[1].groupBy("kind").agg(F.count("*").alias("n_issues"))
+
+
+@query()
+def atif_steps(spark: SparkSession, base: str) -> DataFrame:
+    """The steps of the second exchange format."""
+    return trajectory.atif_steps(_trajectory(spark, base)[0])
+
+
+@query(
+    f"""WITH {_M}, e AS (SELECT session_id, event_id AS id, seq, model, model_provider FROM m), c AS (SELECT session_id, seq, model, model_provider FROM e WHERE seq % 3 = 0)
+SELECT e.session_id, e.id, (SELECT c.model FROM c WHERE c.session_id = e.session_id AND c.seq <= e.seq AND c.model IS NOT NULL ORDER BY c.seq DESC LIMIT 1) AS model,
+  (SELECT c.model_provider FROM c WHERE c.session_id = e.session_id AND c.seq <= e.seq AND c.model_provider IS NOT NULL ORDER BY c.seq DESC LIMIT 1) AS model_provider FROM e
+WHERE (e.session_id, e.seq) NOT IN (SELECT (session_id, seq) FROM e GROUP BY session_id, seq HAVING count(*) > 1)"""
+)
+def context_forward_fill(spark: SparkSession, base: str) -> DataFrame:
+    """The model in force at each message, when only every third one says it; messages that share a seq are left out."""
+    rows = Store(spark, base).rows("messages", "seq", "model", "model_provider")
+    events = rows.select("session_id", F.col("event_id").alias("id"), F.col("seq").alias("sequence"), F.lit(None).cast("string").alias("native_event_id"))
+    said = rows.where(F.col("seq") % 3 == 0).select("session_id", F.concat(F.lit("c"), "event_id").alias("id"), F.col("seq").alias("sequence"), F.lit("session").alias("scope"), F.lit(None).cast("string").alias("turn_id"), "model", "model_provider", F.lit(None).cast("string").alias("reasoning_effort"))
+    usage = rows.limit(0).select("session_id", "event_id", "model", "model_provider", F.lit(0).alias("order_index"))
+    once = rows.groupBy("session_id", "seq").count().where(F.col("count") == 1)
+    kept = rows.join(once, ["session_id", "seq"]).select("session_id", F.col("event_id").alias("id"))
+    return normalize.event_context(events, said, usage).join(kept, ["session_id", "id"], "left_semi").select("session_id", "id", "model", "model_provider")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence FROM events")
+def dense_sequences(spark: SparkSession, base: str) -> DataFrame:
+    """Events numbered without gaps within each user."""
+    rows = table(spark, base, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), F.col("ts").alias("position"))
+    return normalize.number_events(rows).select(F.col("id").alias("event_id"), "sequence")
+
+
+@query("SELECT id, count(*) AS n_rows FROM tool_calls GROUP BY 1 HAVING count(*) > 1")
+def duplicate_calls(spark: SparkSession, base: str) -> DataFrame:
+    """Tool calls that were delivered more than once."""
+    return normalize.duplicate_ids(table(spark, base, "tool_calls").select("id"), "id")
+
+
+@query("WITH p AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence FROM events), q AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM p) SELECT event_id AS from_id, c AS to_id FROM q WHERE event_type = 'purchase' AND c IS NOT NULL")
+def result_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Each purchase and the last click before it, as calls and results are paired."""
+    rows = table(spark, base, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), F.col("ts").alias("position"), F.when(F.col("event_type") == "click", "tool_call").when(F.col("event_type") == "purchase", "tool_result").otherwise("other").alias("kind"), F.lit("x").alias("tool_call_id"))
+    return normalize.result_edges(normalize.number_events(rows)).select("from_id", "to_id")
