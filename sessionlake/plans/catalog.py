@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from sessionlake.functions import hashing, text, vectors
 from sessionlake.operators import jobs, lineage, merge, normalize, redaction, search, store, trajectory
 from sessionlake.operators.store import Store
-from sessionlake.plans.query import Filters, point_lookup, select_messages, select_sessions, select_tool_calls
 from sessionlake.plans import query as spec
-from sessionlake.runtime import table
+from sessionlake.plans.query import Filters, point_lookup, select_messages, select_sessions, select_tool_calls
+from sessionlake.runtime import shared_folder, table
+from sessionlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -521,3 +523,13 @@ def result_pairs(spark: SparkSession, base: str) -> DataFrame:
     """Each purchase and the last click before it, as calls and results are paired."""
     rows = table(spark, base, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), F.col("ts").alias("position"), F.when(F.col("event_type") == "click", "tool_call").when(F.col("event_type") == "purchase", "tool_result").otherwise("other").alias("kind"), F.lit("x").alias("tool_call_id"))
     return normalize.result_edges(normalize.number_events(rows)).select("from_id", "to_id")
+
+
+# ---- streams
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_incremental(spark: SparkSession, base: str) -> DataFrame:
+    """Events by type and hour, counted by a stream that runs to the end of the table."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return ingest.event_counts(spark, base, f"{folder}/checkpoint", f"{folder}/out").withColumn("total", F.round("total", 4))
