@@ -203,7 +203,8 @@ def length_limits(hazards: DataFrame, source: str, reach: int = 40, rate: float
 def truncated_outputs(df: DataFrame, key: str, source: str, tool: str, text: str, reported: str, asked: str) -> DataFrame:
     """``key, source, tool, evidence`` (a list of names) and ``is_cut`` for each record, one row per key.
 
-    Null and empty texts are not cut and have no evidence; a null reported size says nothing; null
+    At a limit every text that ends there counts as cut: one that is whole and just as long cannot be told
+    apart. Null and empty texts are not cut and have no evidence; a null reported size says nothing; null
     sources and tools are groups of their own; re-delivered rows count once; other columns are ignored.
     """
     features = _features(df, key, [source, tool], text, reported, asked).dropDuplicates([key])
