@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Literals of the session model.
 PROVIDERS = ("codex", "claude", "opencode", "grok", "hermes", "kimi", "antigravity", "omp", "pi", "prime", "cursor", "devin", "amp")
 MESSAGE_ROLES = ("user", "assistant", "reasoning")
@@ -13,37 +11,34 @@ BLOCK_KINDS = ("text", "markdown", "thinking", "image", "file", "json")
 EDGE_KINDS = ("next", "parent", "tool_result_for", "forked_from", "subagent_of", "compacted_into", "artifact_of")
 
 
-def _table(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
-
-
-TABLES: dict[str, T.StructType] = {
-    "projects": _table("project_key string, display_name string, raw_path string"),
-    "sessions": _table(
+#: Columns of each table, as DDL.
+TABLES: dict[str, str] = {
+    "projects": "project_key string, display_name string, raw_path string",
+    "sessions": (
         "session_id string, project_key string, provider string, agent_name string, title string, started_at string, updated_at string, source_path string, source_fingerprint string, host string, "
         "identity_scheme_version int, normalization_version int, model string, model_provider string, assignment_role string, parent_session_id string, message_count bigint, tool_call_count bigint, ingested_at timestamp"
     ),
-    "messages": _table(
+    "messages": (
         "session_id string, event_id string, seq bigint, role string, text string, ts string, project_key string, content_hash string, execution_context_id string, model string, model_provider string, reasoning_effort string, ingested_at timestamp"
     ),
-    "tool_calls": _table(
+    "tool_calls": (
         "id string, session_id string, event_id string, seq bigint, tool_name string, status string, input_text string, output_text string, output_bytes bigint, input_hash string, output_hash string, started_at string, "
         "completed_at string, project_key string, provider string, execution_context_id string, model string, model_provider string, reasoning_effort string, ingested_at timestamp"
     ),
-    "message_vectors": _table(
+    "message_vectors": (
         "vec_rowid bigint, model string, modality string, session_id string, seq bigint, role string, project_key string, provider string, content_hash string, document_hash string, dimensions int, encoding string, vector array<float>, created_at string, updated_at string, ingested_at timestamp"
     ),
-    "session_events": _table("session_id string, id string, sequence bigint, fact_hash string, event_json string"),
-    "usage_records": _table("session_id string, id string, order_index bigint, timestamp string, fact_hash string, record_json string"),
-    "session_edges": _table("session_id string, id string, order_index bigint, fact_hash string, edge_json string"),
-    "session_artifacts": _table("session_id string, id string, order_index bigint, fact_hash string, artifact_json string"),
-    "execution_contexts": _table("session_id string, id string, sequence bigint, fact_hash string, context_json string"),
-    "session_enrichments": _table("session_id string, namespace string, protocol_version string, schema_version int, producer string, input_hash string, payload_json string, updated_at string"),
-    "embedding_cache": _table("model string, content_hash string, dimensions int, text_bytes bigint, encoding string, vector array<float>"),
-    "queue_jobs": _table(
+    "session_events": "session_id string, id string, sequence bigint, fact_hash string, event_json string",
+    "usage_records": "session_id string, id string, order_index bigint, timestamp string, fact_hash string, record_json string",
+    "session_edges": "session_id string, id string, order_index bigint, fact_hash string, edge_json string",
+    "session_artifacts": "session_id string, id string, order_index bigint, fact_hash string, artifact_json string",
+    "execution_contexts": "session_id string, id string, sequence bigint, fact_hash string, context_json string",
+    "session_enrichments": "session_id string, namespace string, protocol_version string, schema_version int, producer string, input_hash string, payload_json string, updated_at string",
+    "embedding_cache": "model string, content_hash string, dimensions int, text_bytes bigint, encoding string, vector array<float>",
+    "queue_jobs": (
         "job_id string, idempotency_key string, kind string, payload_json string, status string, attempts int, max_attempts int, leased_by string, lease_until timestamp, next_run_at timestamp, last_error string, updated_at timestamp"
     ),
-    "ingest_runs": _table("run_id string, provider string, status string, started_at string, completed_at string, seen bigint, written bigint, skipped bigint, failed bigint"),
+    "ingest_runs": "run_id string, provider string, status string, started_at string, completed_at string, seen bigint, written bigint, skipped bigint, failed bigint",
 }
 
 #: A block of an event's content.
