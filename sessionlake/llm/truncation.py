@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.arrow import map_lists
+from sessionlake.runtime import checkpoint
 
 #: Verbs of cutting and the units they count, in the languages the tools speak.
 _CUT = r"truncated|clipped|elided|omitted|removed|dropped|snipped|abbreviated|cut|exceeded|gekürzt|abgeschnitten|ausgelassen|tronquée?|coupée?|recortad[oa]|truncad[oa]|omitid[oa]|afgekapt|ingekort|обрезано?|усечено?|省略"
@@ -33,6 +34,8 @@ _DENIES = regex.compile(r"\b(?:nothing|not|no|never|none|nichts|nicht|rien|nada)
 _MORE_LINES = regex.compile(r"(?m)^[^\S\n]*(?:…|\.\.\.)[^\S\n]*\+?\d+[^\S\n]+(?:more[^\S\n]+)?(?:lines?|rows?|characters?|chars?|bytes?|tokens?)\b[^\n]{0,12}$")
 _BARE = regex.compile(r"(?m)^[^\S\n]*(?:\[(?:…|\.{3})\]|\((?:…|\.{3})\)|<(?:…|\.{3})>)[^\S\n\r]*\r?$")
 _HINT = regex.compile(rf"{_CUT}|(?:…|\.\.\.)[^\S\n]*(?:\+?\d|[\])>])", regex.IGNORECASE)
+#: Parts of the verbs and marks, one of which every notice has; a plain search for them spares most texts the pattern.
+_STEMS = ("trunc", "clipped", "elided", "omit", "removed", "dropped", "snipped", "abbreviated", "cut", "exceeded", "gekürzt", "abgeschnitten", "ausgelassen", "tronqu", "coup", "recort", "afgekapt", "ingekort", "обрезан", "усечен", "省略", "…", "...")
 _PAIRS = {"<<<": ">>>", "<": ">", "[": "]", "(": ")", "~~": "~~", "---": "---", "…": "…"}
 _PART = regex.compile(r"\"(?:limit|offset|head|tail|max_lines|range|lines|start|end)\"\s*:|\|\s*(?:head|tail)\b|\bsed -n\b|(?:head|tail) -n?\s*\d", regex.IGNORECASE)
 _JSON = regex.compile(r'"(?:[^"\\]|\\.)*+(?P<open>"?)|[\[\]{}]', regex.DOTALL)
@@ -44,7 +47,8 @@ NOTICE, SIZE, JSON_END, BROKEN_CHAR, LIMIT = 1, 2, 4, 8, 16
 
 def has_notice(text: str) -> bool:
     """A notice of cutting that stands at the end, alone on its line, or in the middle of a torn line."""
-    if not _HINT.search(text):
+    low = text.lower()
+    if not any(stem in low for stem in _STEMS) or not _HINT.search(text):
         return False
     if _MORE_LINES.search(text) or _BARE.search(text):
         return True
@@ -118,8 +122,8 @@ def ends_incomplete(text: str) -> bool:
     return False
 
 
-def evidence(text: str, reported: int | None, asked: str | None) -> tuple[int, bool, int, int]:
-    """Flags of what speaks for a cut, whether the end is incomplete, and the size in code points and bytes."""
+def evidence(text: str, reported: int | None, asked: str | None) -> tuple[int, int, int]:
+    """Flags of what speaks for a cut, and the size in code points and bytes."""
     chars = len(text)
     stored = chars if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
     flags = NOTICE if has_notice(text) else 0
@@ -133,18 +137,22 @@ def evidence(text: str, reported: int | None, asked: str | None) -> tuple[int, b
         flags |= BROKEN_CHAR
     if not part and json_is_open(text):
         flags |= JSON_END
-    torn = ends_incomplete(text)
-    return flags, torn or bool(flags & (JSON_END | BROKEN_CHAR)), chars, stored
+    return flags, chars, stored
+
+
+def is_torn(text: str) -> bool:
+    """Whether a text that ends at a possible limit ends there incomplete."""
+    return text.endswith("\ufffd") or json_is_open(text) or ends_incomplete(text)
 
 
 def _features(df: DataFrame, key: str, groups: list[str], text: str, reported: str, asked: str) -> DataFrame:
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *groups)}
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", flags int, torn boolean, n_chars int, n_bytes int"
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", flags int, n_chars int, n_bytes int"
 
     def make():
         def look(rows: dict) -> dict:
             found = [evidence(t, n, a) for t, n, a in zip(rows["_text"], rows["_reported"], rows["_asked"])]
-            return {c: rows[c] for c in kinds} | {name: [x[i] for x in found] for i, name in enumerate(("flags", "torn", "n_chars", "n_bytes"))}
+            return {c: rows[c] for c in kinds} | {name: [x[i] for x in found] for i, name in enumerate(("flags", "n_chars", "n_bytes"))}
 
         return look
 
@@ -153,18 +161,18 @@ def _features(df: DataFrame, key: str, groups: list[str], text: str, reported: s
 
 
 def length_hazards(features: DataFrame, source: str, reach: int = 40) -> DataFrame:
-    """``source, unit, length, ending, at_risk, near_ending, near_at_risk, torn``, one row per length that occurs.
+    """``source, unit, length, ending, at_risk, near_ending, near_at_risk``, one row per length that occurs.
 
     ``ending / at_risk`` is the discrete hazard: of the texts of at least that length, those that end
     there. The neighbours are the lengths within ``reach``, itself left out. The windows run over
     counts per length, of which a source has at most as many as its longest text has characters.
     """
-    long = features.select(source, "torn", F.explode(F.create_map(F.lit("chars"), F.col("n_chars"), F.lit("bytes"), F.col("n_bytes"))).alias("unit", "length"))
-    counts = long.groupBy(source, "unit", "length").agg(F.count("*").alias("ending"), F.sum(F.col("torn").cast("long")).alias("torn"))
+    long = features.select(source, F.explode(F.create_map(F.lit("chars"), F.col("n_chars"), F.lit("bytes"), F.col("n_bytes"))).alias("unit", "length"))
+    counts = long.groupBy(source, "unit", "length").agg(F.count("*").alias("ending"))
     by = Window.partitionBy(source, "unit")
     risk = counts.withColumn("at_risk", F.sum("ending").over(by.orderBy(F.desc("length"))))
     near = by.orderBy("length").rangeBetween(-reach, reach)
-    return risk.withColumns({"near_ending": F.sum("ending").over(near) - F.col("ending"), "near_at_risk": F.max("at_risk").over(near)}).select(source, "unit", "length", "ending", "at_risk", "near_ending", "near_at_risk", "torn")
+    return risk.withColumns({"near_ending": F.sum("ending").over(near) - F.col("ending"), "near_at_risk": F.max("at_risk").over(near)})
 
 
 def _poisson_tail(count: int, mean: float) -> float:
@@ -182,12 +190,11 @@ def _poisson_tail(count: int, mean: float) -> float:
     return min(1.0, total)
 
 
-def length_limits(hazards: DataFrame, source: str, reach: int = 40, rate: float = 0.001, least: int = 5, torn_share: float = 0.25) -> DataFrame:
-    """The lengths at which a source cuts: ``source, unit, limit_length, ending, expected, p_value``.
+def unusual_lengths(hazards: DataFrame, source: str, reach: int = 40, rate: float = 0.001, least: int = 5) -> DataFrame:
+    """The lengths whose hazard stands out: ``source, unit, limit_length, ending, expected, p_value``.
 
-    Each hazard is tested against the pooled hazard around it (Poisson tail), the p-values go through
-    Benjamini and Hochberg's step-up procedure at ``rate`` over all sources and lengths, and of the
-    discoveries those stay at which at least ``torn_share`` of the texts are incomplete.
+    Each hazard is tested against the pooled hazard around it (Poisson tail), and the p-values go through
+    Benjamini and Hochberg's step-up procedure at ``rate`` over all sources and lengths.
     """
     tail = F.pandas_udf(lambda n, mean: n.combine(mean, lambda a, b: _poisson_tail(int(a), float(b))), "double")
     expected: Column = F.col("at_risk") * F.greatest(F.col("near_ending"), F.lit(0.5)) / (2 * reach * F.greatest(F.col("near_at_risk"), F.lit(1)))
@@ -197,7 +204,48 @@ def length_limits(hazards: DataFrame, source: str, reach: int = 40, rate: float
     small = tested.where(F.col("p_value") <= rate)
     ranked = small.withColumn("_rank", F.row_number().over(Window.orderBy("p_value"))).crossJoin(F.broadcast(total))
     passing = F.max(F.when(F.col("p_value") <= rate * F.col("_rank") / F.col("_tests"), F.col("_rank"))).over(Window.partitionBy())
-    return ranked.withColumn("_last", passing).where((F.col("_rank") <= F.col("_last")) & (F.col("torn") >= torn_share * F.col("ending"))).select(source, "unit", F.col("length").alias("limit_length"), "ending", "expected", "p_value")
+    return ranked.withColumn("_last", passing).where(F.col("_rank") <= F.col("_last")).select(source, "unit", F.col("length").alias("limit_length"), "ending", "expected", "p_value")
+
+
+#: Unusual lengths that go into the condition of the second scan; were there more, it would look at every text.
+MOST_LENGTHS = 5000
+
+
+def _ends(df: DataFrame, key: str, source: str, text: str, lengths: DataFrame) -> DataFrame:
+    """``key, source, n_chars, n_bytes, torn`` of the texts that end at an unusual length of their source, or up to three bytes off one in bytes."""
+    rows = df.select(key, source, F.col(text).alias("_text"))
+    known = lengths.select(source, "unit", "limit_length").limit(MOST_LENGTHS + 1).collect()
+    if len(known) <= MOST_LENGTHS:
+        near: dict[tuple, set[int]] = {}
+        for r in known:
+            near.setdefault((r[0], r[1]), set()).update(range(r[2] - 3, r[2] + 3) if r[1] == "bytes" else [r[2]])
+        condition: Column = F.lit(False)
+        for (name, unit), sizes in sorted(near.items(), key=str):
+            size = F.length("_text") if unit == "chars" else F.octet_length("_text")
+            condition = condition | (F.col(source).eqNullSafe(F.lit(name)) & size.isin(*sorted(sizes)))
+        rows = rows.where(condition)
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, source)}
+
+    def make():
+        return lambda r: {key: r[key], source: r[source], "torn": [is_torn(t) for t in r["_text"]], "n_chars": [len(t) for t in r["_text"]], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in r["_text"]]}
+
+    return map_lists(rows.where(F.length("_text") > 0), make, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", torn boolean, n_chars int, n_bytes int").dropDuplicates([key])
+
+
+def cut_at_limits(ends: DataFrame, lengths: DataFrame, key: str, source: str, torn_share: float = 0.25) -> DataFrame:
+    """``key`` of the texts that end at a limit: an unusual length at which at least ``torn_share`` of the texts are incomplete.
+
+    A limit in bytes may drop or replace the last, split character: texts with such characters that end
+    incomplete within three bytes of it count too.
+    """
+    named = lengths.select(F.col(source).alias("_source"), F.col("unit").alias("_unit"), "limit_length")
+    size = F.when(F.col("_unit") == "chars", F.col("n_chars")).otherwise(F.col("n_bytes"))
+    close = (F.col("_unit") == "bytes") & (F.col("n_bytes") > F.col("n_chars")) & F.col("torn") & F.col("n_bytes").between(F.col("limit_length") - 3, F.col("limit_length") + 2)
+    met = ends.join(named, F.col(source).eqNullSafe(F.col("_source")) & ((size == F.col("limit_length")) | close))
+    exact = met.where(size == F.col("limit_length"))
+    limits = exact.groupBy("_source", "_unit", "limit_length").agg(F.count("*").alias("_n"), F.sum(F.col("torn").cast("long")).alias("_torn")).where(F.col("_torn") >= torn_share * F.col("_n")).select(F.col("_source").alias("_s"), F.col("_unit").alias("_u"), F.col("limit_length").alias("_l"))
+    kept = met.join(limits, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_unit") == F.col("_u")) & (F.col("limit_length") == F.col("_l")), "left_semi")
+    return kept.select(key).distinct()
 
 
 def truncated_outputs(df: DataFrame, key: str, source: str, tool: str, text: str, reported: str, asked: str) -> DataFrame:
@@ -207,23 +255,14 @@ def truncated_outputs(df: DataFrame, key: str, source: str, tool: str, text: str
     apart. Null and empty texts are not cut and have no evidence; a null reported size says nothing; null
     sources and tools are groups of their own; re-delivered rows count once; other columns are ignored.
     """
-    features = _features(df, key, [source, tool], text, reported, asked).dropDuplicates([key])
-    features = features.persist()
-    limits = length_limits(length_hazards(features, source), source).select(F.col(source).alias("_source"), F.col("unit").alias("_unit"), "limit_length")
-    # limits are few (those that pass the test), so each source holds a short list instead of being joined
-    per_source = limits.groupBy("_source").agg(F.collect_set(F.struct("_unit", "limit_length")).alias("_limits"))
-    joined = features.join(per_source, F.col(source).eqNullSafe(F.col("_source")), "left")
-    at_limit = F.exists(
-        F.coalesce(F.col("_limits"), F.array().cast("array<struct<_unit:string,limit_length:int>>")),
-        lambda x: ((x["_unit"] == "chars") & (F.col("n_chars") == x["limit_length"]))
-        | ((x["_unit"] == "bytes") & (F.col("n_bytes") == x["limit_length"]))
-        | ((x["_unit"] == "bytes") & (F.col("n_bytes") > F.col("n_chars")) & F.col("torn") & F.col("n_bytes").between(x["limit_length"] - 3, x["limit_length"] + 2)),
-    )
-    flags = F.col("flags").bitwiseOR(F.when(at_limit, F.lit(LIMIT)).otherwise(F.lit(0)))
+    features = checkpoint(_features(df, key, [source, tool], text, reported, asked).dropDuplicates([key]))
+    lengths = checkpoint(unusual_lengths(length_hazards(features, source), source))
+    limited = cut_at_limits(_ends(df, key, source, text, lengths), lengths, key, source).withColumn("_limited", F.lit(True))
+    flags = F.col("flags").bitwiseOR(F.when(F.col("_limited"), F.lit(LIMIT)).otherwise(F.lit(0)))
     names = {NOTICE: "notice", SIZE: "size", JSON_END: "open_json", BROKEN_CHAR: "broken_character", LIMIT: "length_limit"}
     listed = F.array_compact(F.array(*[F.when(flags.bitwiseAND(F.lit(bit)) > 0, F.lit(name)) for bit, name in names.items()]))
     quiet = df.where(F.coalesce(F.length(text), F.lit(0)) == 0).select(key, source, tool).dropDuplicates([key]).select("*", F.array().cast("array<string>").alias("evidence"), F.lit(False).alias("is_cut"))
-    found = joined.select(key, source, tool, listed.alias("evidence"), (flags > 0).alias("is_cut"))
+    found = features.join(limited, key, "left").select(key, source, tool, listed.alias("evidence"), (flags > 0).alias("is_cut"))
     return found.unionByName(quiet)
 
 
