@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import hashing, text, vectors
-from sessionlake.operators import jobs, lineage, merge, normalize, redaction, search, store, trajectory
+from sessionlake.operators import jobs, lineage, merge, normalize, redaction, search, store, trajectory, validate
 from sessionlake.operators.store import Store
 from sessionlake.plans import query as spec
 from sessionlake.plans.query import Filters, point_lookup, select_messages, select_sessions, select_tool_calls
@@ -533,3 +533,49 @@ def events_incremental(spark: SparkSession, base: str) -> DataFrame:
     """Events by type and hour, counted by a stream that runs to the end of the table."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return ingest.event_counts(spark, base, f"{folder}/checkpoint", f"{folder}/out").withColumn("total", F.round("total", 4))
+
+
+# ---- validation
+
+_HASHED = "coalesce(sha256({0}_text) <> {0}_hash, false)"
+
+
+@query(
+    f"""WITH {_S}, {_M}, {_T}, {_V}, d AS (SELECT session_id, seq FROM m GROUP BY 1, 2 HAVING count(*) > 1), r AS (
+  SELECT 'session.id_prefix' AS rule FROM s WHERE split_part(session_id, ':', 1) <> provider
+  UNION ALL SELECT 'session.time_order' FROM s WHERE {_TIME.format('updated_at')} < {_TIME.format('started_at')}
+  UNION ALL SELECT 'session.own_parent' FROM s WHERE parent_session_id = session_id
+  UNION ALL SELECT 'session.started_at' FROM s WHERE coalesce(started_at, '') <> '' AND {_TIME.format('started_at')} IS NULL
+  UNION ALL SELECT 'session.updated_at' FROM s WHERE coalesce(updated_at, '') <> '' AND {_TIME.format('updated_at')} IS NULL
+  UNION ALL SELECT 'message.session' FROM m WHERE session_id NOT IN (SELECT session_id FROM s)
+  UNION ALL SELECT 'message.project' FROM m JOIN s USING (session_id) WHERE m.project_key IS DISTINCT FROM s.project_key
+  UNION ALL SELECT 'message.role' FROM m WHERE role IS NULL OR role NOT IN ('user', 'assistant', 'reasoning')
+  UNION ALL SELECT 'message.text' FROM m WHERE trim(coalesce(text, ''), ' ') = ''
+  UNION ALL SELECT 'message.time' FROM m WHERE coalesce(ts, '') <> '' AND {_TIME.format('ts')} IS NULL
+  UNION ALL SELECT 'message.shared_seq' FROM m JOIN d ON d.session_id = m.session_id AND d.seq = m.seq
+  UNION ALL SELECT 'message.hash' FROM m WHERE coalesce(content_hash, '') = ''
+  UNION ALL SELECT 'tool_call.session' FROM t WHERE session_id NOT IN (SELECT session_id FROM s)
+  UNION ALL SELECT 'tool_call.provider' FROM t JOIN s USING (session_id) WHERE t.provider IS DISTINCT FROM s.provider
+  UNION ALL SELECT 'tool_call.input_hash' FROM t WHERE {_HASHED.format('input')}
+  UNION ALL SELECT 'tool_call.output_hash' FROM t WHERE {_HASHED.format('output')}
+  UNION ALL SELECT 'tool_call.time_order' FROM t WHERE {_TIME.format('completed_at')} < {_TIME.format('started_at')}
+  UNION ALL SELECT 'vector.missing' FROM v WHERE vector IS NULL
+  UNION ALL SELECT 'vector.dimensions' FROM v WHERE len(vector) <> dimensions
+  UNION ALL SELECT 'vector.finite' FROM v WHERE len(list_filter(vector, lambda x: NOT isfinite(x))) > 0)
+SELECT rule, count(*) AS n_records FROM r GROUP BY 1"""
+)
+def store_violations(spark: SparkSession, base: str) -> DataFrame:
+    """How many records break each rule of the store."""
+    return validate.violations(Store(spark, base)).groupBy("rule").agg(F.count("*").alias("n_records"))
+
+
+@query()
+def store_audit(spark: SparkSession, base: str) -> DataFrame:
+    """The broken rules with their first records."""
+    return validate.audit(Store(spark, base))
+
+
+@query()
+def hash_sample(spark: SparkSession, base: str) -> DataFrame:
+    """A hundred messages by the order of a hash; sampling is the feature."""
+    return validate.sample_by_hash(Store(spark, base).rows("messages", "seq"), "event_id", 100)

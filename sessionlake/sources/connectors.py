@@ -260,3 +260,66 @@ def node_chains(nodes: DataFrame, heads: DataFrame) -> DataFrame:
     complete = nodes.where(F.col("parent_node_id").isNull()).select(key(F.col("native_session_id"), F.col("node_id")).alias("root"))
     chain = tree.where(F.col("depth") >= 0).join(wanted, "id", "left_semi").join(complete, "root", "left_semi").select(F.posexplode("path").alias("depth", "_node"))
     return chain.select(F.split("_node", "\u0001")[0].alias("native_session_id"), F.split("_node", "\u0001")[1].cast("long").alias("node_id"), "depth")
+
+
+#: How injected wrappers begin; a message that is one is no turn of the user.
+WRAPPERS = ("<environment_context>", "<user_instructions>", "<permissions", "# AGENTS.md", "<system-reminder>", "<command-name>", "<turn_aborted>")
+
+
+def mark_preambles(events: DataFrame) -> DataFrame:
+    """Events whose messages that begin like an injected wrapper have the kind ``preamble``; their role stays."""
+    said = F.ltrim(F.coalesce("content_text", F.lit("")))
+    wrapped = F.lit(False)
+    for w in WRAPPERS:
+        wrapped = wrapped | F.startswith(said, F.lit(w))
+    return events.withColumn("kind", F.when((F.col("kind") == "message") & wrapped, "preamble").otherwise(F.col("kind")))
+
+
+def usage_of(events: DataFrame, records: DataFrame) -> DataFrame:
+    """``session_id, record_no, input_tokens, output_tokens, total_tokens`` of usage events, from the names the sources give them.
+
+    ``records`` has the parsed record of each (path, record_no). A missing total is the sum of the parts.
+    """
+    number = lambda *paths: F.coalesce(*[F.try_variant_get("record", p, "bigint") for p in paths])
+    prefix = ("$.payload.info.last_token_usage", "$.payload.info.total_token_usage", "$.message.usage", "$.usage", "$")
+    pick = lambda *names: number(*[f"{p}.{n}" for p in prefix for n in names])
+    joined = events.where(F.col("kind") == "usage").select("session_id", "path", "record_no").join(records.select("path", F.col("record_no").cast("long").alias("record_no"), "record"), ["path", "record_no"])
+    counted = joined.select("session_id", "record_no", pick("input_tokens", "inputTokens", "prompt_tokens").alias("input_tokens"), pick("output_tokens", "outputTokens", "completion_tokens").alias("output_tokens"), pick("total_tokens", "totalTokens").alias("_total"))
+    parts = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    return counted.select("session_id", "record_no", "input_tokens", "output_tokens", F.coalesce("_total", F.when(F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull(), parts)).alias("total_tokens"))
+
+
+def read_cursor(spark: SparkSession, root: str, root_field: int = 1) -> DataFrame:
+    """``path, position, message, complete`` of a content-addressed source: the root blob's references, in order, with the messages they name.
+
+    ``complete`` says whether every reference of the database was found. A blob that is no JSON has a null message.
+    """
+    from sessionlake.sources.files import blob_references
+
+    glob, sql, schema = SQLITE["cursor"]
+    blobs = read_sqlite(spark, root, glob, sql, schema).where(F.col("error").isNull())
+    parsed = blobs.withColumn("_refs", blob_references(F.col("data")))
+    named = parsed.where(F.size("_refs") > 0).select("path", "blob_id", F.posexplode("_refs").alias("position", "_ref"))
+    held = blobs.select("path", F.lower("blob_id").alias("_hash"), F.try_parse_json(F.decode("data", "UTF-8")).alias("_message"))
+    joined = named.where(F.col("_ref.field") == root_field).join(held, (named["path"] == held["path"]) & (F.col("_ref.hash") == F.col("_hash")), "left").select(named["path"], "blob_id", "position", F.to_json("_message").alias("message"), F.col("_hash").isNotNull().alias("_found"))
+    whole = F.min("_found").over(Window.partitionBy("path", "blob_id"))
+    return joined.withColumn("complete", whole).select("path", "position", "message", "complete")
+
+
+def read_threads(spark: SparkSession, root: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """Events of exported thread documents ({id, title, messages: [{role, content}]}), and a diagnostic for each file that is none."""
+    from sessionlake.sources.files import read_documents
+
+    documents, bad = read_documents(spark, root, glob)
+    thread = F.coalesce(F.try_variant_get("record", "$.id", "string"), F.regexp_extract("path", r"([^/]+?)\.json$", 1))
+    messages = documents.select("path", fingerprint(F.col("size"), F.col("modified")).alias("fingerprint"), thread.alias("native_session_id"), F.posexplode(F.try_variant_get("record", "$.messages", "array<variant>")).alias("_p", "record"))
+    content = _json("$.content")
+    blocks = content_blocks(content)
+    kind = F.when(F.col("_call").isNotNull(), "tool_call").when(F.col("_result").isNotNull(), "tool_result").otherwise("message")
+    shaped = messages.withColumns({"_call": _get("$.content[0].input", "$.content[0].name"), "_result": _get("$.content[0].toolUseID", "$.content[0].run.status"), "_text": event_text(F.when(~F.startswith(content, F.lit("[")), _get("$.content")), blocks)})
+    events = shaped.select(
+        F.lit("amp").alias("provider"), "path", "fingerprint", "native_session_id", session_id("amp", F.col("native_session_id")).alias("session_id"), (F.col("_p") + 1).cast("long").alias("record_no"), _get("$.role").alias("discriminator"), kind.alias("kind"),
+        F.coalesce(_get("$.role"), F.lit("unknown")).alias("role"), _get("$.meta.sentAt", "$.timestamp").alias("timestamp"), F.col("_text").alias("content_text"), _get("$.content[0].id", "$.content[0].toolUseID").alias("tool_call_id"), _get("$.content[0].name").alias("tool_name"), _json("$.content[0].input").alias("tool_input"),
+        _json("$.content[0].run").alias("tool_output"), _get("$.messageId").alias("native_event_id"), F.lit(None).cast("string").alias("parent_event_id"), F.lit(None).cast("string").alias("cwd"), _get("$.usage.model").alias("model"),
+    )
+    return events, bad

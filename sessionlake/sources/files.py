@@ -19,7 +19,7 @@ def fingerprint(size: Column, modified: Column) -> Column:
 
 
 def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """``path, size, modified`` of the files below ``root`` whose name matches, without reading them."""
+    """``path, size, modified`` of the files below ``root`` whose name matches, without reading them; empty files hold no session and are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
