@@ -68,16 +68,16 @@ CONNECTORS: dict[str, Connector] = {
         Connector(
             "codex", "rollout-*.jsonl", ("$.type", "$.payload.type"),
             {
-                **_same("system", "session_meta", "session_meta.session_meta"), **_same("summary", "compacted"),
-                **_same("message", "response_item.message", "event_msg.agent_message", "event_msg.user_message"),
-                **_same("tool_call", "response_item.function_call", "response_item.custom_tool_call", "response_item.local_shell_call", "response_item.web_search_call", "response_item.tool_search_call"),
-                **_same("tool_result", "response_item.function_call_output", "response_item.custom_tool_call_output", "response_item.local_shell_call_output", "response_item.tool_search_output", "event_msg.mcp_tool_call_end"),
-                **_same("reasoning", "response_item.reasoning", "event_msg.agent_reasoning"), **_same("usage", "event_msg.token_count"),
-                **_same("lifecycle", "event_msg.task_started", "event_msg.task_complete", "event_msg.turn_aborted"),
-                **_dropped("turn_context", "world_state", "event_msg.thread_settings_applied", "event_msg.exec_command_end", "event_msg.patch_apply_end", "event_msg.web_search_end", "event_msg.thread_goal_updated", "event_msg.context_compacted", "event_msg.item_completed", "event_msg.thread_name_updated", "event_msg.error"),
+                **_same("system", "session_meta", "session_meta.session_meta", "response_item.agent_message"), **_same("summary", "compacted"),
+                **_same("message", "response_item.message", "message", "event_msg.agent_message", "event_msg.user_message"),
+                **_same("tool_call", "response_item.function_call", "response_item.custom_tool_call", "response_item.local_shell_call", "response_item.web_search_call", "response_item.tool_search_call", "function_call"),
+                **_same("tool_result", "response_item.function_call_output", "response_item.custom_tool_call_output", "response_item.local_shell_call_output", "response_item.tool_search_output", "function_call_output", "event_msg.mcp_tool_call_end", "event_msg.image_generation_end"),
+                **_same("reasoning", "response_item.reasoning", "reasoning"), **_same("usage", "event_msg.token_count"),
+                **_same("lifecycle", "event_msg.task_started", "event_msg.task_complete", "event_msg.turn_aborted", "event_msg.sub_agent_activity", "event_msg.thread_rolled_back"),
+                **_dropped("turn_context", "world_state", "inter_agent_communication_metadata", "event_msg.thread_settings_applied", "event_msg.exec_command_end", "event_msg.patch_apply_end", "event_msg.web_search_end", "event_msg.thread_goal_updated", "event_msg.context_compacted", "event_msg.item_completed", "event_msg.thread_name_updated", "event_msg.collab_agent_spawn_end", "event_msg.collab_waiting_end", "event_msg.error"),
             },
-            session=("$.payload.id",), role=("$.payload.role",), content=("$.payload.content", "$.payload.message", "$.payload.text", "$.payload.summary"), call_id=("$.payload.call_id",),
-            tool_name=("$.payload.name",), tool_input=("$.payload.arguments", "$.payload.input", "$.payload.action"), tool_output=("$.payload.output", "$.payload.result"), event_id=("$.payload.id",), cwd=("$.payload.cwd",), model=("$.payload.model",),
+            session=("$.payload.id",), role=("$.payload.role", "$.role"), content=("$.payload.content", "$.payload.message", "$.payload.text", "$.payload.summary", "$.content", "$.summary"), call_id=("$.payload.call_id", "$.call_id"),
+            tool_name=("$.payload.name", "$.name"), tool_input=("$.payload.arguments", "$.payload.input", "$.payload.action", "$.arguments"), tool_output=("$.payload.output", "$.payload.result", "$.output"), event_id=("$.payload.id",), cwd=("$.payload.cwd",), model=("$.payload.model",),
             roles={"event_msg.agent_message": "assistant", "event_msg.user_message": "user"},
         ),
         Connector(
@@ -87,8 +87,8 @@ CONNECTORS: dict[str, Connector] = {
         ),
         Connector(
             "grok", "chat_history.jsonl", ("$.type",),
-            {**_same("message", "user", "assistant", "system_prompt"), **_same("reasoning", "reasoning"), **_same("tool_result", "tool_result"), **_same("system", "system"), **_dropped("usage_snapshot")},
-            session=(), role=("$.type",), tool_name=("$.tool_calls[0].name",), tool_input=("$.tool_calls[0].arguments",), tool_output=("$.content",), call_id=("$.tool_call_id", "$.tool_calls[0].id"),
+            {**_same("message", "user", "assistant"), **_same("reasoning", "reasoning"), **_same("tool_call", "backend_tool_call"), **_same("tool_result", "tool_result"), **_same("system", "system")},
+            session=(), role=("$.type",), content=("$.content", "$.summary"), tool_name=("$.tool_calls[0].name",), tool_input=("$.tool_calls[0].arguments",), tool_output=("$.content",), call_id=("$.tool_call_id", "$.tool_calls[0].id"),
         ),
         Connector(
             "kimi", "wire.jsonl", ("$.type", "$.event.type"),
@@ -111,13 +111,14 @@ CONNECTORS: dict[str, Connector] = {
         *(
             Connector(
                 p, "*.jsonl", ("$.type",),
-                {
-                    **_same("message", "message"), **_same("system", "session"), **_same("summary", "title", "title_change", "compaction", "branch_summary"), **_same("preamble", "custom_message"),
-                    **_same("lifecycle", "thinking_level_change", "model_change", "service_tier_change", "tool_choice_change", "custom", "label", "ttsr_injection", "mcp_tool_selection", "session_init", "mode_change", "session_info", "session_metadata", "checkpoint", "mode"),
-                },
+                {**_same("message", "message"), **_same("system", "session"), **_same("summary", "compaction", "branch_summary"), **_same("preamble", "custom_message"), **_same("lifecycle", "thinking_level_change", "model_change", "custom", "label", "session_info"), **more},
                 session=("$.id",), role=("$.message.role",), content=("$.message.content",), call_id=("$.message.toolCallId",), tool_name=("$.message.toolName",), tool_output=("$.message.content",), model=("$.message.model", "$.modelId"),
             )
-            for p in ("omp", "pi", "prime")
+            for p, more in (
+                ("omp", {**_same("summary", "title", "title_change"), **_same("lifecycle", "service_tier_change", "tool_choice_change", "ttsr_injection", "mcp_tool_selection", "session_init", "mode_change", "session_metadata", "checkpoint", "mode")}),
+                ("pi", {}),
+                ("prime", {}),
+            )
         ),
     )
 }
@@ -263,18 +264,24 @@ def node_chains(nodes: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 #: How injected wrappers begin; a message that is one is no turn of the user.
-WRAPPERS = ("<environment_context>", "<user_instructions>", "<permissions", "# AGENTS.md", "<system-reminder>", "<command-name>", "<turn_aborted>")
+WRAPPERS = ("<environment_context", "<user_instructions", "<turn_aborted", "<ide_context", "<skill>", "<subagent_notification", "<goal_context", "<codex_internal_context", "<proposed_plan", "<collaboration_mode", "<personality_spec", "<model_switch", "<app-context", "# AGENTS.md instructions")
+INSTRUCTIONS = r"^<[a-z][a-z0-9_-]*[_ ]instructions>"
 
 
 def mark_preambles(events: DataFrame) -> DataFrame:
     """Events whose messages that begin like an injected wrapper have the kind ``preamble``; their role stays."""
     said = F.ltrim(F.coalesce("content_text", F.lit("")))
-    wrapped = F.lit(False)
+    wrapped = said.rlike(INSTRUCTIONS)
     for w in WRAPPERS:
         wrapped = wrapped | F.startswith(said, F.lit(w))
     return events.withColumn("kind", F.when((F.col("kind") == "message") & wrapped, "preamble").otherwise(F.col("kind")))
 
 
+def without_hidden_reasoning(events: DataFrame) -> DataFrame:
+    """Events without reasoning that has no readable text (encrypted by its source)."""
+    return events.where((F.col("kind") != "reasoning") | (F.trim(F.coalesce("content_text", F.lit(""))) != ""))
+
+
 def usage_of(events: DataFrame, records: DataFrame) -> DataFrame:
     """``session_id, record_no, input_tokens, output_tokens, total_tokens`` of usage events, from the names the sources give them.
 
