@@ -9,12 +9,14 @@ from sessionlake.functions.text import parsed_timestamp
 from sessionlake.runtime import table
 from sessionlake.schemas import MESSAGE_ROLES
 
-KEYS = {"projects": ["project_key"], "sessions": ["session_id"], "messages": ["session_id", "event_id"], "tool_calls": ["id"], "message_vectors": ["vec_rowid"], "search_matches": ["search_id", "match_key"], "lineage_requests": ["request_id"]}
+KEYS = {"projects": ["project_key"], "sessions": ["session_id"], "messages": ["session_id", "event_id", "seq"], "tool_calls": ["id"], "message_vectors": ["vec_rowid"], "search_matches": ["search_id", "match_key"], "lineage_requests": ["request_id"]}
 
 
 class Store:
     """The tables below one folder.
 
+    A message is known by its session, event id and seq, so that those without event id stay apart.
+
     Re-delivered rows equal the first delivery in every column but ``ingested_at``, so a filter on any other
     column may run before they are removed, and any one of them may stay.
     """
