@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlake.operators.store import Store
 from sessionlake.runtime import latest_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +60,22 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return found.select("source_table", "record_id", "field", "line_no").distinct()
 
 
+def _rewritten(spark: SparkSession, base: str, change: Callable[[DataFrame, str, list[str]], DataFrame], calls: list[str]) -> DataFrame:
+    """``source_table, record_id, field, text``: messages.text and the named fields of tool_calls after ``change``, one row per record and field."""
+    store = Store(spark, base)
+    messages = change(store.rows("messages", "text"), "event_id", ["text"])
+    tools = change(store.rows("tool_calls", *calls), "id", calls)
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in calls])).alias("_f")
+    each = tools.select(F.lit("tool_calls").alias("source_table"), F.col("id").alias("record_id"), fields).select("source_table", "record_id", "_f.field", "_f.text")
+    return messages.select(F.lit("messages").alias("source_table"), F.col("event_id").alias("record_id"), F.lit("text").alias("field"), "text").unionByName(each)
+
+
 def p3_redacted(spark: SparkSession, base: str) -> DataFrame:
-    """The tool calls with their credentials redacted, one row per call."""
+    """The texts of the messages and of the tool calls with their credentials redacted, one row per record and field."""
     from .secrets import redact_secrets
     from .tokens import default_tokenizer
 
-    return redact_secrets(table(spark, base, "tool_calls"), "id", ["input_text", "output_text"], default_tokenizer()).dropDuplicates(["id"])
+    return _rewritten(spark, base, lambda df, key, fields: redact_secrets(df, key, fields, default_tokenizer()), ["input_text", "output_text"])
 
 
 # ---- 4: conversations
