@@ -163,10 +163,10 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_masked(spark: SparkSession, base: str) -> DataFrame:
-    """The messages with typed placeholders, one row per message."""
+    """The texts of the messages and the outputs of the tool calls with typed placeholders, one row per record and field."""
     from .pii import mask_pii
 
-    return mask_pii(table(spark, base, "messages"), "event_id", ["text"]).dropDuplicates(["event_id"])
+    return _rewritten(spark, base, mask_pii, ["output_text"])
 
 
 # ---- 8: encoding

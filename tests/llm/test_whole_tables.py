@@ -33,3 +33,8 @@ def _rewritten(spark, query, found, fields):
 def test_every_credential_found_is_redacted(spark):
     fields = [("messages", "event_id", ["text"]), ("tool_calls", "id", ["input_text", "output_text"])]
     assert _rewritten(spark, "p3_redacted", "p3_found", fields) == {"messages", "tool_calls"}
+
+
+def test_all_personal_information_found_is_masked(spark):
+    fields = [("messages", "event_id", ["text"]), ("tool_calls", "id", ["output_text"])]
+    assert _rewritten(spark, "p7_masked", "p7_found", fields) == {"messages", "tool_calls"}
