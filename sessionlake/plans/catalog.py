@@ -366,6 +366,15 @@ def index_terms(spark: SparkSession, base: str) -> DataFrame:
     return index.where(F.col("term").rlike("^[a-z]{4,}$")).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= 20)
 
 
+@query()
+def index_terms_all(spark: SparkSession, base: str) -> DataFrame:
+    """Occurrences and messages of every term of the inverted index, whatever its script, length and frequency."""
+    ordered = search.documents(Store(spark, base)).select(F.sort_array(F.slice("terms", 4, F.greatest(F.size("terms") - 3, F.lit(0)))).alias("term"))
+    # beside the one before it a term shows whether it is the message's first of its kind, so partial counts are made before the shuffle
+    beside = ordered.select(F.inline(F.arrays_zip("term", F.concat(F.array(F.lit(None).cast("string")), "term").alias("before")))).where(F.col("term").isNotNull())
+    return beside.groupBy("term").agg(F.count("*").alias("tf"), F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("df"))
+
+
 # ---- hashing, redaction
 
 
@@ -396,6 +405,13 @@ def redacted_inputs(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("id", redaction.redact(F.col("input_text")).alias("input_text"))
 
 
+@query()
+def redacted_inputs_all(spark: SparkSession, base: str) -> DataFrame:
+    """Every redacted tool input, those with assignments and null ones included."""
+    rows = Store(spark, base).rows("tool_calls", "input_text")
+    return rows.select("id", redaction.redact(F.col("input_text")).alias("input_text"))
+
+
 # ---- merging, jobs
 
 
@@ -505,6 +521,16 @@ def context_forward_fill(spark: SparkSession, base: str) -> DataFrame:
     return normalize.event_context(events, said, usage).join(kept, ["session_id", "id"], "left_semi").select("session_id", "id", "model", "model_provider")
 
 
+@query()
+def context_forward_fill_all(spark: SparkSession, base: str) -> DataFrame:
+    """The model in force at each message: its own, else the last one said up to its seq; of messages that share a seq the greater id counts as later."""
+    rows = Store(spark, base).rows("messages", "seq", "model", "model_provider")
+    events = rows.select("session_id", F.col("event_id").alias("id"), F.col("seq").alias("sequence"), F.lit(None).cast("string").alias("native_event_id"))
+    said = rows.select("session_id", F.concat(F.lit("c"), "event_id").alias("id"), F.col("seq").alias("sequence"), F.lit("turn").alias("scope"), F.col("event_id").alias("turn_id"), "model", "model_provider", F.lit(None).cast("string").alias("reasoning_effort"))
+    usage = rows.limit(0).select("session_id", "event_id", "model", "model_provider", F.lit(0).alias("order_index"))
+    return normalize.event_context(events, said, usage).select("session_id", "id", "model", "model_provider")
+
+
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence FROM events")
 def dense_sequences(spark: SparkSession, base: str) -> DataFrame:
     """Events numbered without gaps within each user."""
