@@ -5,7 +5,7 @@ ancestor 2**k links up, so a tree of depth d is done after log2(d) rounds, and w
 below a cycle. Components are then co-located and walked depth-first, without recursion, with node
 colours; the walk gives paths, the numbering in which a node's descendants are one interval, their
 count, and the back edges that close cycles. A component above a bounded size is never gathered: its
-paths and counts come from the same joins that found it.
+paths and counts come from the same joins that found it, its numbering from prefix sums over siblings.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,8 +169,8 @@ def hierarchy(nodes: DataFrame, walked: int = WALKED) -> DataFrame:
     """Every node of ``links`` with its place: ``id, parent, root, depth, path, on_cycle, back_edge, entered, left, n_descendants``.
 
     ``path`` leads from the root (on or below a cycle: from its smallest node) to the node. The descendants
-    of a node are the nodes of its root with ``entered`` between its own and ``left``; of a component above
-    ``walked`` nodes ``entered`` and ``left`` are null and ``descendants`` lists them from the paths. On or
+    of a node are the nodes of its root with ``entered`` between its own and ``left``. A component above
+    ``walked`` nodes gets the same rows from joins. On or
     below a cycle ``depth`` is -1; ``back_edge`` marks the node at which the cycle is closed, its counts are
     those of the walk, which cuts the cycle there. An empty table gives an empty result.
     """
@@ -197,9 +197,11 @@ def _large_components(placed: DataFrame) -> DataFrame:
     cycle_nodes = placed.where("cyclic").join(state, "id").where(F.col("id") == F.col("root")).select(F.col("root"), F.col("parent").alias("_last"))
     ends = cycle_nodes.join(state.select(F.col("id").alias("_last"), F.col("path").alias("_cycle")), "_last").select("root", "_cycle")
     ring = ends.select(F.explode("_cycle").alias("id"), F.lit(True).alias("_ring"))
+    sized = checkpoint(placed.join(below, "id", "left").select("id", F.when(~cut, F.col("parent")).alias("parent"), F.coalesce("count", F.lit(0)).alias("n")))
     return (
         placed.join(state.select("id", "path"), "id")
-        .join(below, "id", "left")
+        .join(sized.select("id", "n"), "id")
+        .join(_entered(sized), "id")
         .join(ring, "id", "left")
         .select(
             "id",
@@ -209,13 +211,35 @@ def _large_components(placed: DataFrame) -> DataFrame:
             "path",
             F.coalesce("_ring", F.lit(False)).alias("on_cycle"),
             (F.col("cyclic") & (F.col("id") == F.col("root"))).alias("back_edge"),
-            F.lit(None).cast("long").alias("entered"),
-            F.lit(None).cast("long").alias("left"),
-            F.coalesce("count", F.lit(0)).alias("n_descendants"),
+            "entered",
+            (F.col("entered") + F.col("n") + 1).alias("left"),
+            F.col("n").alias("n_descendants"),
         )
     )
 
 
+def _entered(sized: DataFrame) -> DataFrame:
+    """``id, entered``: the place of each node in the walk of its tree, from ``id, parent, n``, n being its descendants.
+
+    A node comes after its parent and all that hangs on its lesser siblings. Siblings may be many: they are
+    numbered within parts of a range partitioning, of which only the totals of a parent meet. The numbers are
+    then summed up to the root by pointer jumping.
+    """
+    ranged = checkpoint(sized.where(F.col("parent").isNotNull()).repartitionByRange("parent", "id").withColumn("_part", F.spark_partition_id()))
+    size = F.col("n") + 1
+    before = Window.partitionBy("parent", "_part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = ranged.groupBy("parent", "_part").agg(F.sum(size).alias("_total"))
+    parts = Window.partitionBy("parent").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = totals.select("parent", "_part", (F.sum("_total").over(parts) - F.col("_total")).alias("_earlier"))
+    within = ranged.select("id", "parent", "_part", (F.sum(size).over(before) - size).alias("_within"))
+    steps = within.join(earlier, ["parent", "_part"]).select("id", F.col("parent").alias("jump"), (F.col("_earlier") + F.col("_within") + 1).alias("entered"))
+    state = checkpoint(steps.unionByName(sized.where(F.col("parent").isNull()).select("id", F.lit(None).cast("string").alias("jump"), F.lit(0).cast("long").alias("entered"))))
+    while not state.where(F.col("jump").isNotNull()).isEmpty():
+        above = state.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("entered").alias("_entered"))
+        state = checkpoint(state.join(above, "jump", "left").select("id", F.col("_jump").alias("jump"), (F.col("entered") + F.coalesce("_entered", F.lit(0))).alias("entered")))
+    return state.select("id", "entered")
+
+
 def descendants(tree: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``ancestor, id, distance``: each node under each of its ancestors, itself at distance 0.
 
