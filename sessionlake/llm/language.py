@@ -403,3 +403,19 @@ def document_languages(passage_rows: DataFrame, key: str) -> DataFrame:
         F.round(F.max_by("_sure", F.struct("_words", "lang")) / total, 6).alias("confidence"),
         F.sum("_n").alias("n_passages"),
     )
+
+
+def with_short_documents(languages: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """``document_languages`` with a row for each document of ``df``, those without passages included.
+
+    Such a text, too short to tell or without prose, is English where it has a letter and of no language
+    (null) where it has none; its confidence is 0, nothing having been weighed, and it has no passages.
+    """
+    every = df.groupBy(F.col(key).alias("_key")).agg(F.max(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).alias("_worded"))
+    told = F.col("n_passages").isNotNull()
+    return every.join(languages, F.col("_key").eqNullSafe(F.col(key)), "left").select(
+        F.col("_key").alias(key),
+        F.when(told, F.col("lang")).when(F.col("_worded"), "en").alias("lang"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("n_passages", F.lit(0)).alias("n_passages"),
+    )

@@ -235,10 +235,11 @@ def p10_passages(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p10_documents(spark: SparkSession, base: str) -> DataFrame:
-    """The main language of each document, with its confidence."""
-    from .language import document_languages, passages
+    """The main language of each document, with its confidence; one row per document, short and empty ones included."""
+    from .language import document_languages, passages, with_short_documents
 
-    return document_languages(passages(table(spark, base, "documents"), "doc_id", "text", _field(spark, base)), "doc_id")
+    documents = table(spark, base, "documents")
+    return with_short_documents(document_languages(passages(documents, "doc_id", "text", _field(spark, base)), "doc_id"), documents, "doc_id", "text")
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p6_found, p6_nearest, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_documents)}

@@ -38,3 +38,16 @@ def test_every_credential_found_is_redacted(spark):
 def test_all_personal_information_found_is_masked(spark):
     fields = [("messages", "event_id", ["text"]), ("tool_calls", "id", ["output_text"])]
     assert _rewritten(spark, "p7_masked", "p7_found", fields) == {"messages", "tool_calls"}
+
+
+def test_every_document_has_a_language_row(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{BASE}/documents.parquet").collect()}
+    passages = {r["doc_id"] for r in QUERIES["p10_passages"](spark, BASE).collect()}
+    rows = QUERIES["p10_documents"](spark, BASE).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts) and passages < set(texts)
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        if r["doc_id"] in passages:
+            assert r["lang"] and r["n_passages"] > 0 and 0 < r["confidence"] <= 1
+        else:
+            assert (r["lang"], r["confidence"], r["n_passages"]) == ("en" if any(map(str.isalpha, text)) else None, 0.0, 0)
