@@ -74,6 +74,9 @@ _REFERENCE = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+(?:\(.*)?|[A-Za
 _SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PATHLIKE = re.compile(r"(?:\.{0,2}/)?(?:[\w.-]+/)+[\w.-]*\.\w{1,5}|[\w-]+\.(?:go|tsx?|jsx?|py|rs|sql|sh|md|ya?ml|json|toml|txt|html|css)(?::\d+)*:?")
 _WORDY = re.compile(r"[A-Za-z_]+(?:[_-][A-Za-z]+)*|[a-z]+(?:[A-Z][a-z]+)+")
+#: A label of words, versions and years, and its parts that are no words.
+_LABEL = re.compile(r"[a-z]+(?:[-_.](?:[a-z]+|v\d{1,2}|(?:19|20)\d\d))+")
+_LABEL_NUMBER = re.compile(r"[-_.](?:v\d{1,2}|(?:19|20)\d\d)(?![^-_.])")
 
 PLAIN_COST = 7.0
 SHORTEST_WORD, LONGEST_WORD = 4, 14
@@ -153,7 +156,7 @@ class Finder:
         """
         if _FORMAT.fullmatch(value):
             return len(set(value)) > 8
-        if len(value) < 6 or len(value) > 4096 or _PLACEHOLDER.fullmatch(value) or _PATHLIKE.fullmatch(value):
+        if len(value) < 6 or _PLACEHOLDER.fullmatch(value) or _PATHLIKE.fullmatch(value):
             return False
         if _REFERENCE.fullmatch(value) and not (quoted and re.search(r"\d", value)):
             return False
@@ -229,6 +232,8 @@ class Finder:
         unquoted_code = m["quoted"] is None and separator.strip() in ("=", ":", ":=") and re.fullmatch(r"[A-Za-z_]\w*", value) and not re.search(r"\d", value)
         if unquoted_code and _WORDY.fullmatch(value) and unexplained(value, self.words) < 10:
             return []
+        if not re.search(r"(?i)pass|pwd|pw$", name) and _LABEL.fullmatch(value) and not unexplained(_LABEL_NUMBER.sub("", value), self.words):
+            return []  # dictionary words with a version or year; under a password's name people do use them
         return [(a, b, "assigned") for a, b in parts] if self.plausible(value, False, m["quoted"] is not None) else []
 
     def find(self, text: str | None) -> list[tuple[int, int, str]]:

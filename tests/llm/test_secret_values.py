@@ -1,0 +1,19 @@
+"""Values that are labels, and values of any length."""
+
+import random
+
+import pytest
+
+from sessionlake.llm.secrets import Finder
+from sessionlake.llm.tokens import default_tokenizer
+
+
+@pytest.mark.parametrize("text,n", [('api_token = "user-service-v2-2024"', 0), ('db_password = "user-service-v2-2024"', 1), ('api_token = "user-service-x7qz9k-2024"', 1), ('client_secret = "Copper_Tern3280!"', 1)])
+def test_labels_are_no_tokens(text, n):
+    assert len(Finder(default_tokenizer()).find(text)) == n
+
+
+def test_a_long_value_is_found():
+    value = "".join(random.Random(1).choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789", k=6000))
+    text = f'api_token = "{value}"\n'
+    assert [(a, b) for a, b, _ in Finder(default_tokenizer()).find(text)] == [(13, 6013)]
