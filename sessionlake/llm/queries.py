@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.operators.store import Store
-from sessionlake.runtime import latest_rows, table
+from sessionlake.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,27 +20,48 @@ def _provider(session: str = "session_id"):
 # ---- 1: splitting oversized items
 
 
-def p1_pieces(spark: SparkSession, base: str) -> DataFrame:
-    """All messages as pieces within the limit of their provider."""
+def _pieces(messages: DataFrame, limits: DataFrame) -> DataFrame:
+    """The messages as pieces; a message is known by session, event id and seq, so that those without event id stay apart."""
     from .split import split_oversized
 
-    limits = table(spark, base, "split_limits").select(F.col("provider"), "max_chars", "overlap_chars")
-    messages = table(spark, base, "messages").select("event_id", "session_id", "text", "ingested_at")
-    bounded = messages.withColumn("provider", _provider()).join(limits, "provider", "left")
-    return split_oversized(bounded, "event_id", "text", "max_chars", "overlap_chars").dropDuplicates(["event_id", "piece_no"])
+    known = messages.select(F.struct("session_id", "event_id", "seq").alias("_of"), "session_id", "text").withColumn("provider", _provider()).join(limits, "provider", "left")
+    return split_oversized(known, "_of", "text", "max_chars", "overlap_chars").select("_of.*", F.col("*")).drop("_of")
+
+
+def _limits(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "split_limits").select("provider", "max_chars", "overlap_chars")
+
+
+def p1_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """All messages as pieces within the limit of their provider."""
+    return _pieces(Store(spark, base).rows("messages", "text"), _limits(spark, base))
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     """The messages that come out as more than one piece."""
     from .split import split_oversized
 
-    limits = table(spark, base, "split_limits").select("provider", "max_chars", "overlap_chars")
     messages = table(spark, base, "messages").select("event_id", "session_id", "text")
-    bounded = messages.withColumn("provider", _provider()).join(limits, "provider", "left")
+    bounded = messages.withColumn("provider", _provider()).join(_limits(spark, base), "provider", "left")
     pieces = split_oversized(bounded, "event_id", "text", "max_chars", "overlap_chars")
     return pieces.where(F.col("n_pieces") > 1).select("event_id").distinct()
 
 
+def p1_cuts(spark: SparkSession, base: str) -> DataFrame:
+    """How many cuts fall on a boundary of each strength."""
+    return p1_pieces(spark, base).where(F.col("boundary") != "end").groupBy("boundary").agg(F.count("*").alias("n_cuts"))
+
+
+def p1_rebuilt(spark: SparkSession, base: str) -> DataFrame:
+    """Each message put together again from its pieces without what they share, with its number of pieces above the limit: equal to the stored one."""
+    pieces = p1_pieces(spark, base).withColumn("provider", _provider()).join(_limits(spark, base), "provider", "left")
+    shared = F.least(F.coalesce("overlap_chars", F.lit(0)), F.col("max_chars") - 1)
+    own = F.when(F.col("piece_no") == 1, F.col("piece_text")).otherwise(F.substr(F.col("piece_text"), shared + 1))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", own.alias("own")))), lambda p: p["own"]), "")
+    over = F.sum((F.length("piece_text") > F.col("max_chars")).cast("long"))
+    return pieces.groupBy("session_id", "event_id", "seq").agg(F.md5(whole).alias("text_md5"), F.coalesce(over, F.lit(0)).alias("n_oversized")).select("session_id", "event_id", "seq", "text_md5", "n_oversized")
+
+
 # ---- 3: credentials
 
 
@@ -242,4 +263,4 @@ def p10_documents(spark: SparkSession, base: str) -> DataFrame:
     return with_short_documents(document_languages(passages(documents, "doc_id", "text", _field(spark, base)), "doc_id"), documents, "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p6_found, p6_nearest, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_documents)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p1_cuts, p1_rebuilt, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p6_found, p6_nearest, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_documents)}

@@ -18,15 +18,12 @@ from sessionlake.functions.arrow import map_lists
 
 GRAPHEME, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 
-#: One alternative a boundary, strongest first; the cut lies after the match.
-_BOUNDARY = regex.compile(
-    r"(?P<p>(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*)"
-    r"|(?P<l>\r\n|\n|\r)"
-    r"|(?P<s>[.!?…]+[\"'”’)\]]*\s+|[。！？]+[」』）]*)"
-    r"|(?P<c>[,;:、，；：]\s+|[、，；])"
-    r"|(?P<w>\s+)"
-)
-_STRENGTH = {"p": PARAGRAPH, "l": LINE, "s": SENTENCE, "c": CLAUSE, "w": WORD}
+NAMES = ("grapheme", "word", "clause", "sentence", "line", "paragraph")
+
+#: A mark with the white space after it, or white space alone; line breaks in the white space outrank the mark.
+_BOUNDARY = regex.compile(r"(?:(?P<s>[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[」』）]*)|(?P<c>[,;:](?=\s)|[、，；：]))\s*|(?P<w>\s+)")
+_STRENGTH = {"s": SENTENCE, "c": CLAUSE, "w": WORD}
+_BREAK = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028]|(?P<p>\u2029)")
 _GRAPHEMES = regex.compile(r"\X")
 
 
@@ -52,18 +49,22 @@ def atoms(text: str, most: int) -> tuple[list[int], list[int]]:
         start = end
 
     for m in _BOUNDARY.finditer(text):
-        close(m.end(), _STRENGTH[m.lastgroup])
+        breaks = list(_BREAK.finditer(text, m.start(), m.end()))
+        if breaks:  # what indents the next line stays with it
+            close(breaks[-1].end(), PARAGRAPH if len(breaks) > 1 or breaks[0]["p"] else LINE)
+        else:
+            close(m.end(), _STRENGTH[m.lastgroup])
     if start < len(text):
         close(len(text), PARAGRAPH)
     return ends, strengths
 
 
-def piece_bounds(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Start and end of each piece of ``text``, the overlap included; in order, covering the text."""
+def piece_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Start and end of each piece of ``text``, the overlap included, and the strength of the boundary at its end; in order, covering the text."""
     n = len(text)
     if limit < 1 or n <= limit:
-        return [(0, n)]
-    overlap = max(0, min(overlap, (limit - 1) // 2))
+        return [(0, n, PARAGRAPH)]
+    overlap = max(0, min(overlap, limit - 1))
     most = limit - overlap
     ends, strengths = atoms(text, most)
     count = len(ends)
@@ -75,7 +76,7 @@ def piece_bounds(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         _, size, i, j, end = heapq.heappop(heap)
         if not alive[i] or j >= count or not alive[j] or right[i] != j or ends[j] != end or ends[j] - starts[i] != size:
             continue
-        if size + overlap > limit:
+        if size + (overlap if i else 0) > limit:  # nothing precedes the first piece
             continue
         ends[i], strengths[i], alive[j], k = ends[j], strengths[j], False, right[j]
         right[i] = k
@@ -84,37 +85,48 @@ def piece_bounds(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             heapq.heappush(heap, (strengths[i], ends[k] - starts[i], i, k, ends[k]))
         if (h := left[i]) >= 0:
             heapq.heappush(heap, (strengths[h], ends[i] - starts[h], h, i, ends[i]))
-    kept = [[starts[i], ends[i]] for i in range(count) if alive[i]]
-    if kept[0][1] < overlap:  # too short to share; the first piece is preceded by nothing, so the pair fits
-        kept[:2] = [[0, kept[1][1]]]
-    return [(max(0, a - overlap), b) for a, b in kept]
+    kept = [(starts[i], ends[i], strengths[i]) for i in range(count) if alive[i]]
+    short = 0
+    while kept[short][1] < overlap:  # too short to share; with the next piece, of at most limit - overlap, it still fits
+        short += 1
+    kept[: short + 1] = [(0, *kept[short][1:])]
+    return [(max(0, a - overlap), b, strength) for a, b, strength in kept]
 
 
-def split_oversized(df: DataFrame, key: str, text: str, limit: str, overlap: str) -> DataFrame:
-    """The texts of ``df`` as pieces: ``key, piece_no, n_pieces, char_start, char_end, piece_text``.
+def piece_bounds(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Start and end of each piece of ``text``."""
+    return [(a, b) for a, b, _ in piece_cuts(text, limit, overlap)]
+
 
-    ``limit`` and ``overlap`` name columns in code points. A text within its limit, or one whose limit
-    is null or below 1, is one piece; so is the empty text. A null text gives no row. A null or negative
-    overlap counts as 0, one of half the limit or more as (limit - 1) // 2. Repeated rows give repeated
-    pieces, ties between equal boundaries go to the smaller, then the earlier pair. Other columns are
-    left out, so their names cannot clash. Rows within the limit never leave the JVM.
+def split_oversized(df: DataFrame, key: str, text: str, limit: str, overlap: str) -> DataFrame:
+    """The texts of ``df`` as pieces: ``key, piece_no, n_pieces, char_start, char_end, boundary, piece_text``.
+
+    ``limit`` and ``overlap`` name columns in code points. ``boundary`` names what a piece ends at, ``end`` for
+    the last. A text within its limit, or one whose limit is null or below 1, is one piece; so is the empty
+    text. A null text gives no row. A null or negative overlap counts as 0, one of the limit or more, which no
+    pieces could share, as limit - 1. The shared part is counted in code points as the limit is, so it may begin
+    inside a cluster; no piece ends inside one that fits. Repeated rows give repeated pieces, ties between equal
+    boundaries go to the smaller, then the earlier pair. Other columns are left out, so their names cannot
+    clash. Rows within the limit never leave the JVM.
     """
-    fields = f"{key} {df.schema[key].dataType.simpleString()}, piece_no int, n_pieces int, char_start int, char_end int, piece_text string"
+    columns = (key, "piece_no", "n_pieces", "char_start", "char_end", "boundary", "piece_text")
+    fields = f"`{key}` {df.schema[key].dataType.simpleString()}, piece_no int, n_pieces int, char_start int, char_end int, boundary string, piece_text string"
     base = df.select(key, F.col(text).alias("_text"), F.col(limit).cast("long").alias("_limit"), F.coalesce(F.col(overlap).cast("long"), F.lit(0)).alias("_overlap")).where(F.col("_text").isNotNull())
     over = F.coalesce((F.col("_limit") >= 1) & (F.length("_text") > F.col("_limit")), F.lit(False))
-    whole = base.where(~over).select(key, F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("char_start"), F.length("_text").alias("char_end"), F.col("_text").alias("piece_text"))
+    whole = base.where(~over).select(key, F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("char_start"), F.length("_text").alias("char_end"), F.lit("end").alias("boundary"), F.col("_text").alias("piece_text"))
 
     def make():
         def cut(rows: dict) -> dict:
-            out = {name: [] for name in (key, "piece_no", "n_pieces", "char_start", "char_end", "piece_text")}
+            out: dict[str, list] = {name: [] for name in columns}
             for k, t, most, shared in zip(rows[key], rows["_text"], rows["_limit"], rows["_overlap"]):
-                bounds = piece_bounds(t, most, shared)
+                bounds = piece_cuts(t, most, shared)
                 out[key] += [k] * len(bounds)
                 out["piece_no"] += range(1, len(bounds) + 1)
                 out["n_pieces"] += [len(bounds)] * len(bounds)
-                out["char_start"] += [a for a, _ in bounds]
-                out["char_end"] += [b for _, b in bounds]
-                out["piece_text"] += [t[a:b] for a, b in bounds]
+                out["char_start"] += [a for a, _, _ in bounds]
+                out["char_end"] += [b for _, b, _ in bounds]
+                out["boundary"] += [*(NAMES[strength] for _, _, strength in bounds[:-1]), "end"]
+                out["piece_text"] += [t[a:b] for a, b, _ in bounds]
             return out
 
         return cut

@@ -29,6 +29,7 @@ WHERE session_id IN (SELECT session_id FROM ({_FAULTS}) WHERE NOT (no_dialogue O
 
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT event_id FROM messages JOIN split_limits ON provider = split_part(session_id, ':', 1) WHERE length(text) > max_chars",
+    "p1_rebuilt": "SELECT DISTINCT session_id, event_id, seq, md5(text) AS text_md5, 0::bigint AS n_oversized FROM messages WHERE text IS NOT NULL",
     "p4_found": f"SELECT session_id FROM ({_FAULTS}) WHERE no_dialogue OR bad_role OR bad_sequence OR no_reply",
     "p4_faults": _FAULTS,
     "p4_turns": _TURNS,

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sessionlake.llm.split import atoms, piece_bounds, split_oversized
+from sessionlake.llm.split import LINE, PARAGRAPH, SENTENCE, atoms, piece_bounds, split_oversized
 
 SCHEMA = "id string, text string, most long, shared long, piece_no string, _text string"
 
@@ -12,8 +12,8 @@ def test_pieces_cover_share_and_fit(seed):
     rng = random.Random(seed)
     for _ in range(400):
         text = "".join(rng.choice(["a", "b ", ".\n", ". ", ", ", "é", "👍🏽", "日", "。", "\r\n", "\n\n", "x" * 20]) for _ in range(rng.randint(0, 120)))
-        limit, overlap = rng.randint(1, 80), rng.randint(0, 50)
-        bounds, shared = piece_bounds(text, limit, overlap), max(0, min(overlap, (limit - 1) // 2))
+        limit, overlap = rng.randint(1, 80), rng.randint(0, 90)
+        bounds, shared = piece_bounds(text, limit, overlap), min(overlap, limit - 1)
         assert bounds[0][0] == 0 and bounds[-1][1] == len(text)
         assert all(b - a <= limit for a, b in bounds)
         assert (len(bounds) > 1) == (len(text) > limit)
@@ -27,6 +27,22 @@ def test_cuts_at_the_strongest_boundaries():
     assert [text[a:b] for a, b in bounds] == ["One two three. Four five six.\n\n", "Seven eight nine. Ten eleven."]
 
 
+def test_line_breaks_outrank_the_mark_before_them():
+    ranks = {"One two.\n\nThree": PARAGRAPH, "One two.\nThree": LINE, "One two. Three": SENTENCE, "One \n\nThree": PARAGRAPH, "One,\nThree": LINE, "One,  \r\n \r\n Three": PARAGRAPH, "一。\n\n二": PARAGRAPH, "一。二": SENTENCE}
+    for text, rank in ranks.items():
+        assert rank in atoms(text, 100)[1][:-1], text
+        assert max(atoms(text, 100)[1][:-1]) == rank, text
+
+
+def test_cuts_at_a_paragraph_though_a_line_fits_better():
+    text = "First line of one.\nSecond line of one.\n\nFirst line of two.\nSecond line of two.\nThird line."
+    assert text[slice(*piece_bounds(text, 70, 0)[0])].endswith("one.\n\n")
+
+
+def test_the_indentation_stays_with_its_line():
+    assert atoms("a:\n    b", 100)[0] == [3, 8]
+
+
 def test_no_cut_inside_a_cluster():
     ends, _ = atoms("👍🏽" * 10, 5)
     assert all(e % 2 == 0 for e in ends)
