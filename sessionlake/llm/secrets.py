@@ -2,10 +2,11 @@
 
 An Aho-Corasick automaton over the whole text finds anchors: prefixes of known credential formats,
 names that announce a credential, and the phrases that introduce one. At each anchor a small pattern
-reads the value that is assigned there. The value is segmented by Viterbi into dictionary words (the
-alphabetic entries of a public tokenizer's vocabulary, cheaper the more frequent); what the words
-leave unexplained decides, with digits and symbols, whether it is a credential. Placeholders,
-references to variables or secret stores, public keys, digests and identifiers are not.
+reads the value that is assigned there. Values in a known hash or identifier format, placeholders and
+references to variables, files or secret stores are put aside first. Every other value is segmented by
+Viterbi into dictionary words (the alphabetic entries of a public tokenizer's vocabulary, cheaper the
+more frequent), and the letters and digits that the words leave unexplained decide: a value with a long
+enough residual is a credential. Under a password's name four words written as one are a passphrase.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ _LONG_FLAG = re.compile(r"""--(?:password|passwd|token|api-key|secret|access-key
 _ARGUMENT = re.compile(r"""\((?:\s*\\?["'][^"'\n]*["']\s*,)?\s*\\?["'][\w.@-]{1,40}\\?["']\s*,\s*\\?["'](?P<value>[^\s"'\\]{6,})\\?["']""")
 _PEM = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*?)PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----")
+#: Lines of a key whose END line is missing: headers, full lines, and a last one that is shorter.
+_PEM_BODY = re.compile(r"""(?:(?:\s|\\[nr]|["'+,])*(?:[A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)*:[^\n\\]*|[A-Za-z0-9+/=]{16,}))*(?:(?:\s|\\[nr])*[A-Za-z0-9+/]{1,15}={0,2}(?=[\n"'\\]|$))?""")
 _TOLD = r"\s*[\"'`「]?(?P<value>[^\s\"'`「」,;<>()\[\]{}、。\\]+)"
 #: After the phrase up to five words and a verb or colon; or the value at once.
 _PROSE = re.compile(
@@ -74,12 +77,21 @@ _REFERENCE = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+(?:\(.*)?|[A-Za
 _SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PATHLIKE = re.compile(r"(?:\.{0,2}/)?(?:[\w.-]+/)+[\w.-]*\.\w{1,5}|[\w-]+\.(?:go|tsx?|jsx?|py|rs|sql|sh|md|ya?ml|json|toml|txt|html|css)(?::\d+)*:?")
 _WORDY = re.compile(r"[A-Za-z_]+(?:[_-][A-Za-z]+)*|[a-z]+(?:[A-Z][a-z]+)+")
+#: Forms that say themselves that they are a hash, a checksum or an identifier.
+_HASHED = re.compile(
+    r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|(?:sha-?[0-9](?:[-_/]?\d+)*|md5|crc32c?|blake[23][bs]?(?:-?\d+)?|xxh(?:ash)?\d*)[:=$-][\w+/=:$.-]+|"
+    r"\$(?:1|2[abxy]?|5|6|7|y|gy|apr1|argon2(?:id?|d)|scrypt|pbkdf2[\w-]*|bcrypt-sha256)\$.*|(?:pbkdf2|bcrypt|argon2|scrypt|django|phpass)[\w:-]*\$.*|\{(?:S?SHA\d*|SSHA\d*|S?MD5|CRYPT|PBKDF2[\w-]*)\}.*"
+)
 #: A label of words, versions and years, and its parts that are no words.
-_LABEL = re.compile(r"[a-z]+(?:[-_.](?:[a-z]+|v\d{1,2}|(?:19|20)\d\d))+")
-_LABEL_NUMBER = re.compile(r"[-_.](?:v\d{1,2}|(?:19|20)\d\d)(?![^-_.])")
+_LABEL = re.compile(r"[a-z]+(?:[-_.](?:[a-z]+|v?\d{1,2}|(?:19|20)\d\d))+")
+_LABEL_NUMBER = re.compile(r"[-_.](?:v?\d{1,2}|(?:19|20)\d\d)(?![^-_.])")
 
 PLAIN_COST = 7.0
 SHORTEST_WORD, LONGEST_WORD = 4, 14
+#: Unexplained letters and digits of a credential: of a value with digits, of letters alone (and at least half of them), of an issuer's format.
+LEAST_RESIDUAL, LEAST_LETTERS, LEAST_IN_FORMAT = 3, 6, 8
+#: Words written as one that make a passphrase.
+PASSPHRASE_WORDS = 4
 
 
 @cache
@@ -97,19 +109,24 @@ def dictionary(path: str) -> dict[str, float]:
     return words
 
 
-def unexplained(value: str, words: dict[str, float]) -> int:
-    """Letters and digits of ``value`` that the cheapest segmentation into words leaves over."""
+def segment(value: str, words: dict[str, float]) -> tuple[int, int]:
+    """The cheapest segmentation of ``value`` into words: how many letters and digits it leaves over, and how many words it has."""
     low = value.lower()
     n = len(low)
-    best, left = [0.0] * (n + 1), [0] * (n + 1)
+    best, left, used = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     for i in range(1, n + 1):
         c = low[i - 1]
-        best[i], left[i] = best[i - 1] + (PLAIN_COST if c.isalnum() else 1.0), left[i - 1] + c.isalnum()
+        best[i], left[i], used[i] = best[i - 1] + (PLAIN_COST if c.isalnum() else 1.0), left[i - 1] + c.isalnum(), used[i - 1]
         if c.isalpha():
             for j in range(max(0, i - LONGEST_WORD), i - SHORTEST_WORD + 1):
                 if (cost := words.get(low[j:i])) is not None and best[j] + cost < best[i]:
-                    best[i], left[i] = best[j] + cost, left[j]
-    return left[n]
+                    best[i], left[i], used[i] = best[j] + cost, left[j], used[j] + 1
+    return left[n], used[n]
+
+
+def unexplained(value: str, words: dict[str, float]) -> int:
+    """Letters and digits of ``value`` that the cheapest segmentation into words leaves over."""
+    return segment(value, words)[0]
 
 
 def names_secret(name: str) -> bool:
@@ -148,14 +165,16 @@ class Finder:
         automaton.make_automaton()
         self.automaton = automaton
 
-    def plausible(self, value: str, strict: bool, quoted: bool = False) -> bool:
-        """Whether a value may be a credential.
+    def plausible(self, value: str, strict: bool, quoted: bool = False, password: bool = False) -> bool:
+        """Whether a value may be a credential: what known formats and shapes do not exclude, the residual of its segmentation decides.
 
         ``strict``: it stands in prose or among arguments, where any word could; ``quoted``: it is a
-        literal, so a dotted name with digits is no reference.
+        literal, so a dotted name with digits is no reference; ``password``: a password's name is before it.
         """
+        if _HASHED.fullmatch(value):
+            return False
         if _FORMAT.fullmatch(value):
-            return len(set(value)) > 8
+            return unexplained(value, self.words) >= LEAST_IN_FORMAT
         if len(value) < 6 or _PLACEHOLDER.fullmatch(value) or _PATHLIKE.fullmatch(value):
             return False
         if _REFERENCE.fullmatch(value) and not (quoted and re.search(r"\d", value)):
@@ -166,15 +185,14 @@ class Finder:
             return False
         if not value.isascii() and strict:
             return False
-        symbols = len(value) - digits - letters
         if strict:
             if len(value) < 8 or digits < 1 or letters < 4 or re.fullmatch(r"[A-Za-z]{0,3}[-#]?\d{1,8}|[vV]?\d+(?:\.\d+)+.*|\d{4}-\d\d.*|\d+[a-z]{1,2}", value) or "://" in value or value.endswith(("()", ")", ":")):
                 return False
+        # versions and years explain themselves in a label; under a password's name people do use them
+        rest, used = segment(_LABEL_NUMBER.sub("", value) if not password and _LABEL.fullmatch(value) else value, self.words)
         if _WORDY.fullmatch(value):  # letters only, perhaps several words
-            return unexplained(value, self.words) >= max(6, len(value) // 2)
-        if digits >= 2 and letters >= 4:
-            return True
-        return unexplained(value, self.words) >= 4 or (digits >= 1 and symbols >= 1)
+            return rest >= max(LEAST_LETTERS, len(value) // 2) or password and used >= PASSPHRASE_WORDS and rest < LEAST_RESIDUAL and value.isalpha() and value.islower()
+        return rest >= LEAST_RESIDUAL
 
     def _assigned(self, text: str, at: int, size: int) -> list[tuple[int, int, str]]:
         start = at
@@ -232,9 +250,18 @@ class Finder:
         unquoted_code = m["quoted"] is None and separator.strip() in ("=", ":", ":=") and re.fullmatch(r"[A-Za-z_]\w*", value) and not re.search(r"\d", value)
         if unquoted_code and _WORDY.fullmatch(value) and unexplained(value, self.words) < 10:
             return []
-        if not re.search(r"(?i)pass|pwd|pw$", name) and _LABEL.fullmatch(value) and not unexplained(_LABEL_NUMBER.sub("", value), self.words):
-            return []  # dictionary words with a version or year; under a password's name people do use them
-        return [(a, b, "assigned") for a, b in parts] if self.plausible(value, False, m["quoted"] is not None) else []
+        password = re.search(r"(?i)pass|pwd|pw$", name) is not None
+        return [(a, b, "assigned") for a, b in parts] if self.plausible(value, False, m["quoted"] is not None, password) else []
+
+    def _key_block(self, text: str, m: re.Match) -> tuple[int, int] | None:
+        """The private key block that ``m`` begins: up to its END line, or, where that is missing, to the end of what can be its lines."""
+        other = _PEM.search(text, m.end())
+        end = _PEM_END.search(text, m.end(), other.start() if other else len(text))
+        stop = end.start() if end else _PEM_BODY.match(text, m.end()).end()
+        body = text[m.end() : stop]
+        if len(re.findall(r"[A-Za-z0-9+/=]", body.replace("\\n", "").replace("\\r", ""))) < 16 or re.search(r"(?i)redacted|\*\*\*|<[a-z]|xxxx", body):
+            return None
+        return m.start(), end.end() if end else stop
 
     def find(self, text: str | None) -> list[tuple[int, int, str]]:
         """Start, end and kind of each credential of ``text``, in order, overlaps merged; parts of one count each."""
@@ -245,22 +272,20 @@ class Finder:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         found: list[tuple[int, int, str]] = []
         lines: set[tuple[str, int]] = set()
+        closed = 0
         for last, (size, groups) in self.automaton.iter(low):
             at = last - size + 1
             for group in groups:
                 if group == "format":
                     if (m := _FORMAT.match(text, at)) and not (at and _BEFORE.match(text[at - 1])) or (m and at >= 2 and text[at - 2] == "\\"):
-                        if len(set(m[0])) > 8:
+                        if unexplained(m[0], self.words) >= LEAST_IN_FORMAT:
                             found.append((m.start(), m.end(), m.lastgroup))
                 elif group == "name":
                     found += self._assigned(text, at, size)
                 elif group == "pem":
-                    if m := _PEM.match(text, at):
-                        end = _PEM_END.search(text, m.end())
-                        stop = end.end() if end else len(text)
-                        body = text[m.end() : end.start() if end else min(len(text), m.end() + 4000)]
-                        if len(re.findall(r"[A-Za-z0-9+/=]", body.replace("\\n", "").replace("\\r", ""))) >= 16 and not re.search(r"(?i)redacted|\*\*\*|<[a-z]|xxxx", body):
-                            found.append((at, stop if end else m.end() + len(body), "private_key"))
+                    if at >= closed and (m := _PEM.match(text, at)) and (block := self._key_block(text, m)):
+                        found.append((*block, "private_key"))
+                        closed = block[1]
                 elif group == "bearer":
                     m = _BEARER.match(text, at)
                     if m and self.plausible(m["value"].rstrip(".,;:"), True):
