@@ -148,6 +148,18 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return _outputs(spark, base).where("is_cut").select("id")
 
 
+def p5_evidence(spark: SparkSession, base: str) -> DataFrame:
+    """How many cut outputs each combination of evidence stands for."""
+    return _outputs(spark, base).where("is_cut").groupBy(F.array_join("evidence", "+").alias("evidence")).agg(F.count("*").alias("n_cut"))
+
+
+def p5_limits(spark: SparkSession, base: str) -> DataFrame:
+    """The size limits found from the hazards of the lengths."""
+    from .truncation import found_limits, measured
+
+    return found_limits(*measured(table(spark, base, "tool_calls"), "id", "provider", "tool_name", "output_text", "output_bytes", "input_text"), "provider")
+
+
 def p5_rates(spark: SparkSession, base: str) -> DataFrame:
     """How often each provider and tool is cut."""
     from .truncation import truncation_rates
@@ -263,4 +275,4 @@ def p10_documents(spark: SparkSession, base: str) -> DataFrame:
     return with_short_documents(document_languages(passages(documents, "doc_id", "text", _field(spark, base)), "doc_id"), documents, "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p1_cuts, p1_rebuilt, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p6_found, p6_nearest, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_documents)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p1_cuts, p1_rebuilt, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p5_evidence, p5_limits, p6_found, p6_nearest, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_documents)}

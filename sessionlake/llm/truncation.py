@@ -1,12 +1,13 @@
 """Outputs that were cut on the way into the store.
 
-Four independent kinds of evidence are gathered in one pass over the texts: a notice the cutting
-program left, a reported size that the stored text cannot explain, a JSON document or replacement
-character that ends in the middle, and a last line that breaks the shape of its text. Size limits
-are found from the data: discrete hazards of the length (the share of texts at least that long that
-end right there) come from window functions, each is tested against the hazards around it, false
-discoveries are controlled over all lengths of all sources, and a length whose hazard stands out
-counts as a limit where the texts that end there are, more often than elsewhere, incomplete.
+Size limits are found from the data: discrete hazards of the length (the share of texts at least that
+long that end right there) come from window functions over the lengths alone, each is tested against the
+hazards around it, and false discoveries are controlled over all lengths of all sources. The texts are
+then read once: one that ends at a significant length is looked at for an incomplete end, and a length
+counts as a limit where its texts are, more often than elsewhere, incomplete. A cut at no fixed length
+leaves no hazard, so the same reading gathers what else speaks for one: a notice the cutting program left,
+a reported size that the stored text cannot explain, and a JSON document or character that ends in the
+middle. Each kind of evidence is named in the result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from sessionlake.functions.arrow import map_lists
 from sessionlake.runtime import checkpoint
 
 #: Verbs of cutting and the units they count, in the languages the tools speak.
-_CUT = r"truncated|clipped|elided|omitted|removed|dropped|snipped|abbreviated|cut|exceeded|gekürzt|abgeschnitten|ausgelassen|tronquée?|coupée?|recortad[oa]|truncad[oa]|omitid[oa]|afgekapt|ingekort|обрезано?|усечено?|省略"
+_CUT = r"truncated|clipped|elided|omitted|removed|dropped|snipped|abbreviated|shortened|hidden|suppressed|cut|exceeded|gekürzt|abgeschnitten|ausgelassen|tronquée?|coupée?|recortad[oa]|truncad[oa]|omitid[oa]|afgekapt|ingekort|обрезано?|усечено?|省略"
 _UNIT = r"lines?|characters?|chars?|bytes?|tokens?|rows?|more|output|remainder|rest|middle|response|content|Ausgabe|Zeilen|Zeichen|sortie|lignes?|salida|líneas?|saída|linhas?|uitvoer|regels?|вывод|строк"
 #: A notice stands between brackets or rules, names both, and denies nothing.
 _NOTICE = regex.compile(
@@ -35,7 +36,7 @@ _MORE_LINES = regex.compile(r"(?m)^[^\S\n]*(?:…|\.\.\.)[^\S\n]*\+?\d+[^\S\n]+(
 _BARE = regex.compile(r"(?m)^[^\S\n]*(?:\[(?:…|\.{3})\]|\((?:…|\.{3})\)|<(?:…|\.{3})>)[^\S\n\r]*\r?$")
 _HINT = regex.compile(rf"{_CUT}|(?:…|\.\.\.)[^\S\n]*(?:\+?\d|[\])>])", regex.IGNORECASE)
 #: Parts of the verbs and marks, one of which every notice has; a plain search for them spares most texts the pattern.
-_STEMS = ("trunc", "clipped", "elided", "omit", "removed", "dropped", "snipped", "abbreviated", "cut", "exceeded", "gekürzt", "abgeschnitten", "ausgelassen", "tronqu", "coup", "recort", "afgekapt", "ingekort", "обрезан", "усечен", "省略", "…", "...")
+_STEMS = ("trunc", "clipped", "elided", "omit", "removed", "dropped", "snipped", "abbreviated", "shortened", "hidden", "suppress", "cut", "exceeded", "gekürzt", "abgeschnitten", "ausgelassen", "tronqu", "coup", "recort", "afgekapt", "ingekort", "обрезан", "усечен", "省略", "…", "...")
 _PAIRS = {"<<<": ">>>", "<": ">", "[": "]", "(": ")", "~~": "~~", "---": "---", "…": "…"}
 _PART = regex.compile(r"\"(?:limit|offset|head|tail|max_lines|range|lines|start|end)\"\s*:|\|\s*(?:head|tail)\b|\bsed -n\b|(?:head|tail) -n?\s*\d", regex.IGNORECASE)
 _JSON = regex.compile(r'"(?:[^"\\]|\\.)*+(?P<open>"?)|[\[\]{}]', regex.DOTALL)
@@ -145,14 +146,28 @@ def is_torn(text: str) -> bool:
     return text.endswith("\ufffd") or json_is_open(text) or ends_incomplete(text)
 
 
-def _features(df: DataFrame, key: str, groups: list[str], text: str, reported: str, asked: str) -> DataFrame:
+#: The significant lengths of each source and unit.
+Lengths = dict[tuple[str | None, str], frozenset[int]]
+
+
+def _features(df: DataFrame, key: str, groups: list[str], text: str, reported: str, asked: str, lengths: Lengths) -> DataFrame:
+    """``key, groups, flags, n_chars, n_bytes, torn``; ``torn`` only of texts that end at a significant length of their source, the first group, or in bytes within three of one."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *groups)}
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", flags int, n_chars int, n_bytes int"
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", flags int, n_chars int, n_bytes int, torn boolean"
+    shared = df.sparkSession.sparkContext.broadcast(lengths)  # some lengths up to the longest text, whatever the number of texts
 
     def make():
+        near: Lengths = {(source, unit): sizes if unit == "chars" else frozenset(n + d for n in sizes for d in range(-3, 3)) for (source, unit), sizes in shared.value.items()}
+        none: frozenset[int] = frozenset()
+
         def look(rows: dict) -> dict:
-            found = [evidence(t, n, a) for t, n, a in zip(rows["_text"], rows["_reported"], rows["_asked"])]
-            return {c: rows[c] for c in kinds} | {name: [x[i] for x in found] for i, name in enumerate(("flags", "n_chars", "n_bytes"))}
+            out = {c: rows[c] for c in kinds} | {c: [] for c in ("flags", "n_chars", "n_bytes", "torn")}
+            for source, t, n, a in zip(rows[groups[0]], rows["_text"], rows["_reported"], rows["_asked"]):
+                flags, chars, stored = evidence(t, n, a)
+                at_limit = chars in near.get((source, "chars"), none) or stored in near.get((source, "bytes"), none)
+                for c, v in (("flags", flags), ("n_chars", chars), ("n_bytes", stored), ("torn", is_torn(t) if at_limit else None)):
+                    out[c].append(v)
+            return out
 
         return look
 
@@ -175,30 +190,24 @@ def length_hazards(features: DataFrame, source: str, reach: int = 40) -> DataFra
     return risk.withColumns({"near_ending": F.sum("ending").over(near) - F.col("ending"), "near_at_risk": F.max("at_risk").over(near)})
 
 
-def _poisson_tail(count: int, mean: float) -> float:
-    """P(X >= count) for a Poisson variable."""
-    if count <= 0:
-        return 1.0
-    term = math.exp(-mean + count * math.log(mean) - math.lgamma(count + 1)) if mean > 0 else 0.0
-    total, k = 0.0, count
-    while term > 1e-300 and k < count + 1000:
-        total += term
-        k += 1
-        term *= mean / k
-        if term < total * 1e-12:
-            break
-    return min(1.0, total)
+def poisson_tail_bound(count: Column, mean: Column) -> Column:
+    """The least simple upper bound of P(X >= count) for a Poisson variable, close where the count is far above the mean; 1 where it is not above it.
+
+    The probability of the count itself by Stirling's series, times the geometric sum that bounds the rest.
+    """
+    log_factorial = count * F.log(count) - count + 0.5 * F.log(2 * math.pi * count) + 1 / (12 * count) - 1 / (360 * F.pow(count, F.lit(3)))
+    at_count = F.exp(count * F.log(mean) - mean - log_factorial)
+    return F.when((count < 1) | (count <= mean), 1.0).when(mean <= 0, 0.0).otherwise(F.least(F.lit(1.0), at_count * (count + 1) / (count + 1 - mean)))
 
 
 def unusual_lengths(hazards: DataFrame, source: str, reach: int = 40, rate: float = 0.001, least: int = 5) -> DataFrame:
     """The lengths whose hazard stands out: ``source, unit, limit_length, ending, expected, p_value``.
 
-    Each hazard is tested against the pooled hazard around it (Poisson tail), and the p-values go through
-    Benjamini and Hochberg's step-up procedure at ``rate`` over all sources and lengths.
+    Each hazard is tested against the pooled hazard around it (Poisson tail, bounded from above), and the
+    p-values go through Benjamini and Hochberg's step-up procedure at ``rate`` over all sources and lengths.
     """
-    tail = F.pandas_udf(lambda n, mean: n.combine(mean, lambda a, b: _poisson_tail(int(a), float(b))), "double")
     expected: Column = F.col("at_risk") * F.greatest(F.col("near_ending"), F.lit(0.5)) / (2 * reach * F.greatest(F.col("near_at_risk"), F.lit(1)))
-    tested = hazards.withColumn("expected", expected).withColumn("p_value", F.when(F.col("ending") >= least, tail(F.col("ending").cast("double"), F.col("expected"))).otherwise(F.lit(1.0)))
+    tested = hazards.withColumn("expected", expected).withColumn("p_value", F.when(F.col("ending") >= least, poisson_tail_bound(F.col("ending").cast("double"), F.col("expected"))).otherwise(F.lit(1.0)))
     # the step-up needs ranks only among the small p-values and the number of all tests
     total = tested.agg(F.count("*").alias("_tests"))
     small = tested.where(F.col("p_value") <= rate)
@@ -207,47 +216,49 @@ def unusual_lengths(hazards: DataFrame, source: str, reach: int = 40, rate: floa
     return ranked.withColumn("_last", passing).where(F.col("_rank") <= F.col("_last")).select(source, "unit", F.col("length").alias("limit_length"), "ending", "expected", "p_value")
 
 
-#: Unusual lengths that go into the condition of the second scan; were there more, it would look at every text.
-MOST_LENGTHS = 5000
-
-
-def _ends(df: DataFrame, key: str, source: str, text: str, lengths: DataFrame) -> DataFrame:
-    """``key, source, n_chars, n_bytes, torn`` of the texts that end at an unusual length of their source, or up to three bytes off one in bytes."""
-    rows = df.select(key, source, F.col(text).alias("_text"))
-    known = lengths.select(source, "unit", "limit_length").limit(MOST_LENGTHS + 1).collect()
-    if len(known) <= MOST_LENGTHS:
-        near: dict[tuple, set[int]] = {}
-        for r in known:
-            near.setdefault((r[0], r[1]), set()).update(range(r[2] - 3, r[2] + 3) if r[1] == "bytes" else [r[2]])
-        condition: Column = F.lit(False)
-        for (name, unit), sizes in sorted(near.items(), key=str):
-            size = F.length("_text") if unit == "chars" else F.octet_length("_text")
-            condition = condition | (F.col(source).eqNullSafe(F.lit(name)) & size.isin(*sorted(sizes)))
-        rows = rows.where(condition)
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, source)}
-
-    def make():
-        return lambda r: {key: r[key], source: r[source], "torn": [is_torn(t) for t in r["_text"]], "n_chars": [len(t) for t in r["_text"]], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in r["_text"]]}
-
-    return map_lists(rows.where(F.length("_text") > 0), make, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", torn boolean, n_chars int, n_bytes int").dropDuplicates([key])
+def significant_lengths(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """``unusual_lengths`` of the texts of ``df``, each record counted once; the texts themselves are only measured."""
+    sizes = df.select(key, source, F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes")).where(F.col("n_chars") > 0).dropDuplicates([key])
+    return unusual_lengths(length_hazards(sizes, source), source)
 
 
-def cut_at_limits(ends: DataFrame, lengths: DataFrame, key: str, source: str, torn_share: float = 0.25) -> DataFrame:
-    """``key`` of the texts that end at a limit: an unusual length at which at least ``torn_share`` of the texts are incomplete.
+def _at_lengths(features: DataFrame, lengths: DataFrame, source: str) -> DataFrame:
+    """The features of texts that end at a significant length, once for each, with ``_unit``, ``limit_length`` and ``_exact``.
 
     A limit in bytes may drop or replace the last, split character: texts with such characters that end
-    incomplete within three bytes of it count too.
+    incomplete within three bytes of it are met too, without being exact.
     """
-    named = lengths.select(F.col(source).alias("_source"), F.col("unit").alias("_unit"), "limit_length")
+    named = lengths.select(F.col(source).alias("_source"), F.col("unit").alias("_unit"), "limit_length", "ending", "expected", "p_value")
     size = F.when(F.col("_unit") == "chars", F.col("n_chars")).otherwise(F.col("n_bytes"))
     close = (F.col("_unit") == "bytes") & (F.col("n_bytes") > F.col("n_chars")) & F.col("torn") & F.col("n_bytes").between(F.col("limit_length") - 3, F.col("limit_length") + 2)
-    met = ends.join(named, F.col(source).eqNullSafe(F.col("_source")) & ((size == F.col("limit_length")) | close))
-    exact = met.where(size == F.col("limit_length"))
-    limits = exact.groupBy("_source", "_unit", "limit_length").agg(F.count("*").alias("_n"), F.sum(F.col("torn").cast("long")).alias("_torn")).where(F.col("_torn") >= torn_share * F.col("_n")).select(F.col("_source").alias("_s"), F.col("_unit").alias("_u"), F.col("limit_length").alias("_l"))
-    kept = met.join(limits, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_unit") == F.col("_u")) & (F.col("limit_length") == F.col("_l")), "left_semi")
+    met = features.where(F.col("torn").isNotNull()).join(named, F.col(source).eqNullSafe(F.col("_source")) & ((size == F.col("limit_length")) | close))
+    return met.withColumn("_exact", size == F.col("limit_length"))
+
+
+def found_limits(features: DataFrame, lengths: DataFrame, source: str, torn_share: float = 0.25) -> DataFrame:
+    """``source, unit, limit_length, ending, expected, p_value, n_torn``: the significant lengths at which at least ``torn_share`` of the texts are incomplete."""
+    exact = _at_lengths(features, lengths, source).where("_exact")
+    limits = exact.groupBy("_source", "_unit", "limit_length", "ending", "expected", "p_value").agg(F.count("*").alias("_n"), F.sum(F.col("torn").cast("long")).alias("n_torn"))
+    return limits.where(F.col("n_torn") >= torn_share * F.col("_n")).select(F.col("_source").alias(source), F.col("_unit").alias("unit"), "limit_length", "ending", "expected", "p_value", "n_torn")
+
+
+def cut_at_limits(features: DataFrame, lengths: DataFrame, key: str, source: str, torn_share: float = 0.25) -> DataFrame:
+    """``key`` of the texts that end at a limit."""
+    limits = found_limits(features, lengths, source, torn_share).select(F.col(source).alias("_s"), F.col("unit").alias("_u"), F.col("limit_length").alias("_l"))
+    kept = _at_lengths(features, lengths, source).join(limits, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_unit") == F.col("_u")) & (F.col("limit_length") == F.col("_l")), "left_semi")
     return kept.select(key).distinct()
 
 
+def measured(df: DataFrame, key: str, source: str, tool: str, text: str, reported: str, asked: str) -> tuple[DataFrame, DataFrame]:
+    """The features of each record with a text, one row per key, and the significant lengths; both checkpointed."""
+    lengths = checkpoint(significant_lengths(df, key, source, text))
+    known: dict[tuple, set[int]] = {}
+    for r in lengths.select(source, "unit", "limit_length").collect():  # outliers among the lengths of a few named sources
+        known.setdefault((r[0], r[1]), set()).add(r[2])
+    features = _features(df, key, [source, tool], text, reported, asked, {at: frozenset(sizes) for at, sizes in known.items()})
+    return checkpoint(features.dropDuplicates([key])), lengths
+
+
 def truncated_outputs(df: DataFrame, key: str, source: str, tool: str, text: str, reported: str, asked: str) -> DataFrame:
     """``key, source, tool, evidence`` (a list of names) and ``is_cut`` for each record, one row per key.
 
@@ -255,11 +266,10 @@ def truncated_outputs(df: DataFrame, key: str, source: str, tool: str, text: str
     apart. Null and empty texts are not cut and have no evidence; a null reported size says nothing; null
     sources and tools are groups of their own; re-delivered rows count once; other columns are ignored.
     """
-    features = checkpoint(_features(df, key, [source, tool], text, reported, asked).dropDuplicates([key]))
-    lengths = checkpoint(unusual_lengths(length_hazards(features, source), source))
-    limited = cut_at_limits(_ends(df, key, source, text, lengths), lengths, key, source).withColumn("_limited", F.lit(True))
+    features, lengths = measured(df, key, source, tool, text, reported, asked)
+    limited = cut_at_limits(features, lengths, key, source).withColumn("_limited", F.lit(True))
     flags = F.col("flags").bitwiseOR(F.when(F.col("_limited"), F.lit(LIMIT)).otherwise(F.lit(0)))
-    names = {NOTICE: "notice", SIZE: "size", JSON_END: "open_json", BROKEN_CHAR: "broken_character", LIMIT: "length_limit"}
+    names = {LIMIT: "length_limit", NOTICE: "notice", SIZE: "size", JSON_END: "open_json", BROKEN_CHAR: "broken_character"}
     listed = F.array_compact(F.array(*[F.when(flags.bitwiseAND(F.lit(bit)) > 0, F.lit(name)) for bit, name in names.items()]))
     quiet = df.where(F.coalesce(F.length(text), F.lit(0)) == 0).select(key, source, tool).dropDuplicates([key]).select("*", F.array().cast("array<string>").alias("evidence"), F.lit(False).alias("is_cut"))
     found = features.join(limited, key, "left").select(key, source, tool, listed.alias("evidence"), (flags > 0).alias("is_cut"))

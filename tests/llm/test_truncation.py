@@ -1,8 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from sessionlake.llm.truncation import BROKEN_CHAR, JSON_END, NOTICE, SIZE, _poisson_tail, evidence, truncated_outputs, truncation_rates
+from sessionlake.llm.truncation import BROKEN_CHAR, JSON_END, NOTICE, SIZE, evidence, found_limits, measured, poisson_tail_bound, truncated_outputs, truncation_rates
 
 CUT = [
     ("some text<truncated 620 bytes>", None, NOTICE),
@@ -20,6 +21,7 @@ CUT = [
     ("short", 900, SIZE),
     ('{"items": [{"id": 1}, {"no', None, JSON_END),
     ("text that ends in �", None, BROKEN_CHAR),
+    ("a\n[log shortened: 300 lines hidden]", None, NOTICE),
 ]
 WHOLE = [
     ("48 rows, nothing omitted.", None),
@@ -50,9 +52,12 @@ def test_a_part_that_was_asked_for_is_whole():
     assert evidence('{"items": [', None, '{"path": "a", "limit": 20}')[0] == 0
 
 
-def test_tail():
-    exact = 1 - sum(math.exp(-2.0) * 2.0**k / math.factorial(k) for k in range(5))
-    assert abs(_poisson_tail(5, 2.0) - exact) < 1e-12 and _poisson_tail(0, 1.0) == 1.0 and _poisson_tail(3, 0.0) == 0.0
+def test_the_tail_is_bounded_from_above_and_closely(spark):
+    rows = [(5.0, 2.0), (5.0, 0.01), (40.0, 3.0), (1.0, 0.5), (7.0, 6.9), (0.0, 1.0), (3.0, 4.0), (3.0, 0.0)]
+    got = [r[2] for r in spark.createDataFrame(rows, "n double, mean double").select("n", "mean", poisson_tail_bound(F.col("n"), F.col("mean"))).collect()]
+    for (n, mean), bound in zip(rows, got):
+        exact = 1.0 if n <= mean or n < 1 else sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(int(n), 400)) if mean else 0.0
+        assert exact * (1 - 1e-6) <= bound <= min(1.0, 3 * exact), (n, mean, exact, bound)
 
 
 SCHEMA = "id string, provider string, tool string, text string, reported long, asked string, flags string, _limits string"
@@ -68,6 +73,8 @@ def test_limits_come_from_the_data(spark):
     assert len(got) == 462
     assert {i for i, r in got.items() if r["is_cut"]} == {f"c{i}" for i in range(30)}
     assert got["c1"]["evidence"] == ["length_limit"] and not got["n"]["evidence"] and not got["e"]["is_cut"]
+    limits = found_limits(*measured(spark.createDataFrame(rows, SCHEMA), "id", "provider", "tool", "text", "reported", "asked"), "provider").collect()
+    assert {(r["provider"], r["unit"], r["limit_length"], r["n_torn"]) for r in limits} == {("a", u, 500, 30) for u in ("chars", "bytes")}
     rates = {(r["provider"], r["tool"]): (r["n_calls"], r["n_cut"]) for r in truncation_rates(spark.createDataFrame(list(got.values())), "provider", "tool").collect()}
     assert rates[("a", "t")] == (461, 30) and rates[(None, None)] == (1, 0)
 
