@@ -6,8 +6,9 @@ distance, with a heap, until the cells seen hold enough vectors, and the vectors
 ranked by their exact similarity. Equal vectors are indexed once, with the smallest ids that share them,
 so a group of copies costs one entry however large it is.
 
-For the ranking, index and queries meet by the first half's centroid: an entry is sent once, a query once
-for each first centroid among its cells. A centroid with many entries is cut into parts of bounded size.
+For the ranking, index and queries meet by groups of near first centroids: an entry is sent once, a query
+once for each group among its cells. A group with many entries is cut into parts of bounded size. Where
+every vector is a query, a pair that one of its sides finds counts for the other too.
 """
 
 from __future__ import annotations
@@ -24,19 +25,37 @@ from pyspark.sql import types as T
 
 from sessionlake.runtime import checkpoint
 
-#: Vectors of one model that fit the codebooks, in the order of a hash of their id.
+#: Vectors of one model that fit the codebooks, about as many, picked by a hash of the vector.
 SAMPLE = 20_000
-#: Index entries of a first centroid that one task ranks against at a time.
+#: Index entries that one task ranks against at a time, about as many.
 PART = 20_000
+#: Centroids of a half: what the driver and the tasks hold grows with their square. Beyond it the cells hold more.
+MOST_CENTROIDS = 512
+#: Entries a query looks at: LOOKED * n ** GROWTH of its model's n, LEAST_LOOKED at least. Fitted to the rank of near partners at three sizes.
+LOOKED, GROWTH, LEAST_LOOKED = 0.2, 0.75, 500
 
 
 @dataclass
 class Codebooks:
-    """Centroids of both halves, and how many entries each cell holds."""
+    """Centroids of both halves, how many entries each cell holds, and the group of each first centroid with the parts it is cut into."""
 
     first: np.ndarray
     second: np.ndarray
     cells: np.ndarray
+    group: np.ndarray
+    parts: np.ndarray
+
+    def fill(self, cells: np.ndarray) -> None:
+        """Takes the entries a cell, and forms groups of near first centroids with about PART entries each."""
+        self.cells = cells
+        held = cells.reshape(len(self.first), -1).sum(axis=1)
+        centred = self.first - self.first.mean(axis=0)
+        along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+        order = np.argsort(along, kind="stable")
+        before = np.cumsum(held[order]) - held[order]
+        self.group = np.zeros(len(self.first), dtype=np.int64)
+        self.group[order] = np.unique(before // PART, return_inverse=True)[1]
+        self.parts = np.maximum(1, -(-np.bincount(self.group, weights=held).astype(np.int64) // (2 * PART)))
 
     def assign(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.first.shape[1]
@@ -134,19 +153,24 @@ def representatives(vectors: DataFrame, kept: int) -> DataFrame:
 
 
 def codebooks_for(entries: DataFrame, dimensions: int, occupancy: int) -> dict[str, Codebooks]:
-    """Codebooks of each model, fitted on at most SAMPLE of its vectors; a cell holds about ``occupancy`` entries.
+    """Codebooks of each model, fitted on about SAMPLE of its vectors; a cell holds about ``occupancy`` entries.
 
-    The number of centroids grows with the square root of the entries, so a query's cells hold about as
-    many entries at every size. Models are few and named; their number bounds the loop.
+    The number of centroids grows with the square root of the entries. Models are few and named; the driver
+    holds the sample of each.
     """
     sizes = {r[0]: r[1] for r in entries.groupBy("_model").count().collect()}
+    if not sizes:
+        return {}
+    # a threshold on the hash, so that no partition sends more than its share
+    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, SAMPLE / n) * (1 << 30)))]), F.col("_model"))
+    sample = entries.where(F.pmod(F.xxhash64("_v", F.lit(7)), F.lit(1 << 30)) < share).select("_model", "_v").toPandas()
     books: dict[str, Codebooks] = {}
-    for name, n in sizes.items():
-        sample = entries.where(F.col("_model") == name).orderBy(F.xxhash64("_v")).limit(SAMPLE).select("_v").toPandas()
-        unit = _units(sample["_v"], dimensions)
-        k = int(np.clip(np.sqrt(n / occupancy), 1, 512))
+    for name, rows in sample.groupby("_model"):
+        unit = _units(rows["_v"].sort_values(), dimensions)  # in a fixed order, so that the same rows give the same centroids
+        k = int(np.clip(np.sqrt(sizes[name] / occupancy), 1, MOST_CENTROIDS))
         half = dimensions // 2
-        books[name] = Codebooks(fit_centroids(unit[:, :half], k), fit_centroids(unit[:, half:], k), np.zeros(k * k, dtype=np.int64))
+        first, second = fit_centroids(unit[:, :half], k), fit_centroids(unit[:, half:], k)
+        books[name] = Codebooks(first, second, np.zeros(len(first) * len(second), dtype=np.int64), np.zeros(len(first), dtype=np.int64), np.ones(1, dtype=np.int64))
     return books
 
 
@@ -166,9 +190,9 @@ def nearest_neighbours(
     k: int = 10,
     dimensions: int = 64,
     least: float = -1.0,
-    enough: int = 3000,
+    enough: int | None = None,
     share: float = 0.0,
-    occupancy: int = 100,
+    occupancy: int = 50,
     queries_of: Callable[[Column], Column] | None = None,
     every_member: bool = True,
 ) -> DataFrame:
@@ -176,9 +200,9 @@ def nearest_neighbours(
 
     Ties in similarity go to the smaller id. Vectors that are null, of another length, zero or not finite
     take no part, nor do rows without id or model; re-delivered rows count once. ``least`` leaves out less
-    similar pairs before they are sent; a query looks at ``enough`` entries, or at ``share`` of its model's if
-    those are more, which sets the accuracy (near-duplicates are found among few, a full list needs a share);
-    ``queries_of`` is a condition on the id that picks the queries, all rows being indexed. Without
+    similar pairs before they are sent; a query looks at ``enough`` entries, by default at LOOKED * n ** GROWTH of
+    its model's n, or at ``share`` of them if those are more, which sets the accuracy (near-duplicates are found among few, a full
+    list needs a share; a share of 1 is exact); ``queries_of`` is a condition on the id that picks the queries, all rows being indexed. Without
     ``every_member`` only the k + 1 smallest ids of a group of copies are asked for: for mutual pairs that is
     enough, since a later copy's neighbours are the first k, which do not have it among theirs. Other columns are ignored. An empty table gives an empty result.
     """
@@ -188,51 +212,61 @@ def nearest_neighbours(
     spark = df.sparkSession
     if not books:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(books)  # at most 2 * 512 centroids a model
+    shared = spark.sparkContext.broadcast(books)  # at most 2 * MOST_CENTROIDS centroids a model
 
     def place(batches):
         for pdf in batches:
             for name, part in pdf.groupby("_model"):
-                a, b = shared.value[name].assign(_units(part["_v"], dimensions))
-                yield part.assign(_a=a.astype(np.int32), _b=b.astype(np.int32))
-
-    placed = checkpoint(entries.mapInPandas(place, "_model string, _v binary, _ids array<long>, _a int, _b int"))
-    for r in placed.groupBy("_model", "_a", "_b").count().collect():  # at most a row for each cell
-        books[r[0]].cells[r[1] * len(books[r[0]].second) + r[2]] = r[3]
+                book = shared.value[name]
+                a, b = book.assign(_units(part["_v"], dimensions))
+                yield part.assign(_cell=(a * len(book.second) + b).astype(np.int32))
+
+    placed = checkpoint(entries.mapInPandas(place, "_model string, _v binary, _ids array<long>, _cell int"))
+    cells = {name: np.zeros(len(book.cells), dtype=np.int64) for name, book in books.items()}
+    for r in placed.groupBy("_model", "_cell").count().collect():  # at most a row for each cell
+        cells[r[0]][r[1]] = r[2]
+    for name, book in books.items():
+        book.fill(cells[name])
     shared = spark.sparkContext.broadcast(books)
-    parts_of = {name: np.maximum(1, -(-book.cells.reshape(len(book.first), -1).sum(axis=1) // PART)) for name, book in books.items()}
 
     def ask(batches):
         for pdf in batches:
             for name, part in pdf.groupby("_model"):
                 book = shared.value[name]
-                width = len(book.second)
-                rows: dict[str, list] = {c: [] for c in ("_model", "_a", "_part", "_q", "_v", "_cells")}
-                for v, ids, cells in zip(part["_v"], part["_ids"], book.walk(_units(part["_v"], dimensions), max(enough, int(share * book.cells.sum())))):
-                    by_first: dict[int, list[int]] = {}
-                    for cell in cells:
-                        by_first.setdefault(cell // width, []).append(cell % width)
-                    for a, bs in by_first.items():
-                        for p in range(int(parts_of[name][a])):
-                            for c, x in zip(rows, (name, a, p, ids[0], v, bs)):
+                width, n = len(book.second), int(book.cells.sum())
+                looked = max(enough or max(LEAST_LOOKED, int(LOOKED * n**GROWTH)), int(share * n))
+                rows: dict[str, list] = {c: [] for c in ("_model", "_group", "_part", "_q", "_v", "_cells")}
+                for v, ids, seen in zip(part["_v"], part["_ids"], book.walk(_units(part["_v"], dimensions), looked)):
+                    by_group: dict[int, list[int]] = {}
+                    for cell in seen:
+                        by_group.setdefault(int(book.group[cell // width]), []).append(cell)
+                    for g, own in by_group.items():
+                        for p in range(int(book.parts[g])):
+                            for c, x in zip(rows, (name, g, p, ids[0], v, own)):
                                 rows[c].append(x)
                 yield pd.DataFrame(rows)
 
+    def lay(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby("_model"):
+                book = shared.value[name]
+                g = book.group[part["_cell"].to_numpy() // len(book.second)]
+                yield pd.DataFrame({"_model": name, "_group": g.astype(np.int32), "_part": (part["_hash"].to_numpy() % book.parts[g]).astype(np.int32), "_e": part["_e"], "_v": part["_v"], "_cell": part["_cell"]})
+
     asking, members = placed, None
     if every_member:
         members = usable(df, key, model, vector, dimensions).distinct()
         if queries_of is not None:
             members = members.where(queries_of(F.col("_id")))
             asking = placed.join(members.select("_model", "_v").distinct(), ["_model", "_v"], "left_semi")
-    questions = asking.mapInPandas(ask, "_model string, _a int, _part int, _q long, _v binary, _cells array<int>")
-    parts = F.create_map(*[x for name, p in parts_of.items() for x in (F.lit(name), F.array(*[F.lit(int(n)) for n in p]))])
-    index = placed.select("_model", "_a", F.pmod(F.xxhash64("_v"), F.element_at(parts, F.col("_model"))[F.col("_a")]).cast("int").alias("_part"), F.element_at("_ids", 1).alias("_e"), "_v", "_b")
+    questions = asking.mapInPandas(ask, "_model string, _group int, _part int, _q long, _v binary, _cells array<int>")
+    index = placed.select("_model", F.element_at("_ids", 1).alias("_e"), "_v", "_cell", F.pmod(F.xxhash64("_v"), F.lit(1 << 30)).alias("_hash")).mapInPandas(lay, "_model string, _group int, _part int, _e long, _v binary, _cell int")
 
     def rank(question: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         found: list[pd.DataFrame] = []
         if len(question) and len(entry):
-            entry = entry.sort_values("_b", kind="stable")
-            cells = entry["_b"].to_numpy()
+            entry = entry.sort_values("_cell", kind="stable")
+            cells = entry["_cell"].to_numpy()
             ids = entry["_e"].to_numpy()
             have64, asked64 = (_units(x["_v"], dimensions, np.float64) for x in (entry, question))
             have, asked = have64.astype(np.float32), asked64.astype(np.float32)
@@ -260,8 +294,11 @@ def nearest_neighbours(
         out = pd.concat(found) if found else pd.DataFrame({"_q": [], "_e": [], "_s": []})
         return out.assign(_model=question["_model"].iloc[0] if len(question) else "")[["_model", "_q", "_e", "_s"]]
 
-    by = ["_model", "_a", "_part"]
+    by = ["_model", "_group", "_part"]
     pairs = questions.groupBy(*by).cogroup(index.groupBy(*by)).applyInPandas(rank, "_model string, _q long, _e long, _s double")
+    if queries_of is None:  # both sides asked: what one has found the other has too
+        both = pairs.select("_model", "_q", F.explode(F.array(F.struct(F.col("_q").alias("q"), F.col("_e").alias("e")), F.struct(F.col("_e").alias("q"), F.col("_q").alias("e")))).alias("_way"), "_s")
+        pairs = both.select("_model", F.col("_way.q").alias("_q"), F.col("_way.e").alias("_e"), "_s").repartition("_model", "_q").groupBy("_model", "_q", "_e").agg(F.max("_s").alias("_s"))
     # copies of a vector are neighbours of similarity 1 of each other; entries expand to the ids they stand for
     ids_of = placed.select("_model", F.element_at("_ids", 1).alias("_first"), "_ids")
     best = Window.partitionBy("_model", "_q").orderBy(F.desc("_s"), "_e")

@@ -174,7 +174,7 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of a similarity of at least 0.90, each among the other's ten most similar."""
     from .neighbours import mutual_pairs, nearest_neighbours
 
-    near = nearest_neighbours(table(spark, base, "message_vectors"), "vec_rowid", "model", "vector", k=10, least=0.90, enough=2000, every_member=False)
+    near = nearest_neighbours(table(spark, base, "message_vectors"), "vec_rowid", "model", "vector", k=10, least=0.90, every_member=False)
     return mutual_pairs(near, 0.90).select(F.col("id_a").alias("vec_rowid_a"), F.col("id_b").alias("vec_rowid_b"))
 
 
