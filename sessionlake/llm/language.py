@@ -313,11 +313,26 @@ class Tagger:
         """Runs of words of one language: first word, end, language and mean marginal."""
         out: list[tuple[int, int, str, float]] = []
         for _, m in self.marginals([[self._row(w) for w in words]]):
-            best = m.argmax(axis=1)
-            cuts = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1), len(best)]
-            out = [(int(a), int(b), self.crf.languages[best[a]], float(m[a:b, best[a]].mean())) for a, b in zip(cuts, cuts[1:])]
+            out = self.runs(m)
         return out
 
+    def runs(self, m: np.ndarray, least: int = 1) -> list[tuple[int, int, str, float]]:
+        """The runs of the likeliest languages of marginals; one of fewer than ``least`` words joins its more likely neighbour."""
+        best = m.argmax(axis=1)
+        cuts = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), len(best)]
+        held = [[a, b, int(best[a])] for a, b in zip(cuts, cuts[1:])]
+        while len(held) > 1 and (short := min(range(len(held)), key=lambda i: held[i][1] - held[i][0])) >= 0 and held[short][1] - held[short][0] < least:
+            a, b, _ = held[short]
+            beside = [i for i in (short - 1, short + 1) if 0 <= i < len(held)]
+            into = max(beside, key=lambda i: float(m[a:b, held[i][2]].sum()))
+            held[into] = [min(a, held[into][0]), max(b, held[into][1]), held[into][2]]
+            del held[short]
+            for i in range(len(held) - 1, 0, -1):
+                if held[i][2] == held[i - 1][2]:
+                    held[i - 1][1] = held[i][1]
+                    del held[i]
+        return [(a, b, self.crf.languages[k], float(m[a:b, k].mean())) for a, b, k in held]
+
 
 def train_from(samples: DataFrame, lang: str = "lang", text: str = "text", most: int = MOST_SAMPLES) -> Crf:
     """A field trained on at most ``most`` labelled rows, taken in the order of a hash of the text; null and blank rows are left out."""
@@ -365,6 +380,48 @@ def passages(df: DataFrame, key: str, text: str, crf: Crf) -> DataFrame:
     return map_lists(df.select(key, F.col(text).alias("_text")), make, f"`{key}` {kind}, passage_no int, lang string, confidence double, n_words int")
 
 
+def passage_segments(df: DataFrame, key: str, text: str, crf: Crf) -> DataFrame:
+    """``key, passage_no, segment_no, word_start, word_end, lang, confidence, segment_text``: the runs of one language in each passage of ``passages``.
+
+    Words are counted from 0 over the passage, its white space cut as single spaces; a passage in one language
+    is one segment. A run of fewer than three words, such as a borrowed term, joins its neighbour. The
+    confidence is the mean marginal of the language over the run. Cases as in ``passages``.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(crf)
+    columns = ("passage_no", "segment_no", "word_start", "word_end", "lang", "confidence", "segment_text")
+
+    def make():
+        tagger = Tagger(shared.value)
+
+        def run(rows: dict) -> dict:
+            out: dict[str, list] = {c: [] for c in (key, *columns)}
+            if not tagger.crf.languages:
+                return out
+            if len(tagger.tokens) > tagger.kept:
+                tagger._forget()
+            owners, tokens, lists = [], [], []
+            for i, found in enumerate(rows["_text"]):
+                mine = [(part, ids) for part in (blocks(found) if found else []) if len(ids := tagger.numbers(part)) >= LEAST_WORDS]
+                if sum(len(ids) for _, ids in mine) > FEW_WORDS:
+                    owners += [(i, n) for n in range(1, len(mine) + 1)]
+                    tokens += [part for part, _ in mine]
+                    lists += [ids for _, ids in mine]
+            runs = {at: tagger.runs(m, LEAST_WORDS) for at, m in tagger.marginals(lists)}
+            for at, (i, n) in enumerate(owners):
+                # a token may have no word or several; a segment begins at the token of its first word
+                owner = [t for t, token in enumerate(tokens[at]) for _ in tagger.tokens[token]]
+                starts = [0, *(owner[a] for a, *_ in runs[at][1:]), len(tokens[at])]
+                for no, (a, b, (_, _, lang, sure)) in enumerate(zip(starts, starts[1:], runs[at]), 1):
+                    for c, v in zip((key, *columns), (rows[key][i], n, no, a, b, lang, round(sure, 6), " ".join(tokens[at][a:b]))):
+                        out[c].append(v)
+            return out
+
+        return run
+
+    return map_lists(df.select(key, F.col(text).alias("_text")), make, f"`{key}` {kind}, passage_no int, segment_no int, word_start int, word_end int, lang string, confidence double, segment_text string")
+
+
 def unlabelled_languages(df: DataFrame, key: str, text: str, label: str, crf: Crf) -> DataFrame:
     """``key, lang, n_passages, confidence``: each language that holds a whole passage and that ``label`` does not name.
 

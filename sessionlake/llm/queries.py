@@ -182,7 +182,7 @@ def p6_nearest(spark: SparkSession, base: str) -> DataFrame:
     """The ten most similar vectors of every vector whose id is divisible by 50, against all rows."""
     from .neighbours import nearest_neighbours
 
-    return nearest_neighbours(table(spark, base, "message_vectors"), "vec_rowid", "model", "vector", k=10, share=0.3, queries_of=lambda i: i % 50 == 0)
+    return nearest_neighbours(table(spark, base, "message_vectors"), "vec_rowid", "model", "vector", k=10, enough=5000, share=0.1, queries_of=lambda i: i % 50 == 0)
 
 
 # ---- 7: personal information
@@ -267,6 +267,13 @@ def p10_passages(spark: SparkSession, base: str) -> DataFrame:
     return passages(table(spark, base, "documents"), "doc_id", "text", _field(spark, base))
 
 
+def p10_segments(spark: SparkSession, base: str) -> DataFrame:
+    """The runs of one language within each passage, with their confidence."""
+    from .language import passage_segments
+
+    return passage_segments(table(spark, base, "documents"), "doc_id", "text", _field(spark, base))
+
+
 def p10_documents(spark: SparkSession, base: str) -> DataFrame:
     """The main language of each document, with its confidence; one row per document, short and empty ones included."""
     from .language import document_languages, passages, with_short_documents
@@ -275,4 +282,4 @@ def p10_documents(spark: SparkSession, base: str) -> DataFrame:
     return with_short_documents(document_languages(passages(documents, "doc_id", "text", _field(spark, base)), "doc_id"), documents, "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p1_cuts, p1_rebuilt, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p5_evidence, p5_limits, p6_found, p6_nearest, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_documents)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_pieces, p1_cuts, p1_rebuilt, p3_found, p3_redacted, p4_found, p4_faults, p4_turns, p4_matches, p5_found, p5_rates, p5_evidence, p5_limits, p6_found, p6_nearest, p7_found, p7_masked, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_passages, p10_segments, p10_documents)}

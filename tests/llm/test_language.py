@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sessionlake.llm.language import Tagger, _plain, blocks, document_languages, forward_backward, label_code, passages, train, train_from, unlabelled_languages
+from sessionlake.llm.language import passage_segments, Tagger, _plain, blocks, document_languages, forward_backward, label_code, passages, train, train_from, unlabelled_languages
 
 SAMPLES = [
     ("en", "The session continues where the earlier one stopped. We should read the log before we change anything."),
@@ -87,3 +87,17 @@ def test_without_samples(spark):
     none = train_from(spark.createDataFrame([(None, "x"), ("en", None), ("en", "  ")], "lang string, text string"))
     df = spark.createDataFrame([(1, "some words of a text that is long enough", "en", None, None)], SCHEMA)
     assert passages(df, "doc_id", "text", none).count() == 0 and unlabelled_languages(df, "doc_id", "text", "lang", none).count() == 0
+
+
+def test_segments_within_a_passage(spark):
+    english = "The queue was drained before the worker could take the next job from the list"
+    german = "Der Speicher wurde erst danach geleert und niemand hat den Fehler sofort bemerkt"
+    rows = [(1, f"{english}. {german}. {english}.", "en", None, None), (2, f"{english}.\n\n{german}.", "en", None, None), (3, None, "en", None, None), (4, "", "en", None, None), (5, "two words", "en", None, None), (1, f"{english}. {german}. {english}.", "en", None, None)]
+    field = train_from(spark.read.parquet("/root/testdata/sf0.001/lang_samples.parquet"))
+    got = {}
+    for r in passage_segments(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", field).orderBy("doc_id", "passage_no", "segment_no").collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == {1, 2} and len(got[1]) == 6
+    assert [r["lang"] for r in got[1]] == ["en", "en", "de", "de", "en", "en"] and [(r["passage_no"], r["lang"]) for r in got[2]] == [(1, "en"), (2, "de")]
+    assert " ".join(r["segment_text"] for r in got[1][::2]) == rows[0][1] and all(0 < r["confidence"] <= 1 for r in got[1])
+    assert abs(got[1][2]["word_start"] - len(english.split())) <= 2 and got[1][0]["word_start"] == 0 and got[1][-1]["word_end"] == len(rows[0][1].split())
