@@ -1,9 +1,10 @@
 """Personal information in free text, by anchor expansion.
 
 An Aho-Corasick automaton over the whole text finds anchors: at-signs and their spelt forms, cues of
-identity and telephone numbers, street words, post boxes, titles and the phrases that introduce a
-name. Around each anchor a deterministic parser expands to the boundaries of the address, number or
-name and validates it. Digits that could be a telephone number are anchors of their own.
+identity and telephone numbers, street words, post boxes, titles, given names and the phrases that
+introduce a name. Around each anchor a deterministic parser expands to the boundaries of the address,
+number or name and validates it; it looks at words, so no length of theirs hides one. Telephone numbers
+and the national numbers of a fixed form need no cue: runs of digits are anchors of their own.
 """
 
 from __future__ import annotations
@@ -30,14 +31,22 @@ _TITLES = ("mr", "mrs", "ms", "mx", "miss", "dr", "prof", "sir", "herr", "frau",
 _NAME_AFTER = ("reported by ", "written by ", "reviewed by ", "approved by ", "assigned to ", "signed-off-by", "co-authored-by", "reviewed-by", "acked-by", "reported-by", "author:", "author=", "committer:", "reporter=", "reporter:", "owner=", "assignee=", "assignee:", "my name is ", "i am called ", "mein name ist ", "je m'appelle ", "me llamo ", "mi nombre es ", "meu nome é ", "mijn naam is ", "меня зовут ", "attention ", "attn", "z. hd.", "zu händen", "à l'attention de ", "cc ", "ask ", "contact ", "dear ", "bitte an ", "rechnung an ", "signed ", "from: ", "to: ", "name: ", "name=", '"name": "', "customer ", "client ", "patient ")
 _NAME_BEFORE = (" asked for this", " reported this", " called about", " wrote to us", " signed off", " and i own this", " hat angerufen", " a appelé", " llamó")
 _SIGN_OFF = ("thanks", "thank you", "regards", "best", "cheers", "grüße", "gruß", "cordialement", "saludos", "gracias", "merci", "danke", "atenciosamente", "obrigado", "obrigada", "groeten", "bedankt", "с уважением", "спасибо", "sincerely", "yours")
+#: Given names of the eight languages' countries and their neighbours; with a surname after one a name needs no phrase.
+_GIVEN = ("adam", "aisha", "alejandro", "alexander", "alice", "amina", "amy", "ana", "andrea", "andreas", "andrew", "anna", "anna-lena", "anne", "antoine", "antonio", "beatriz", "ben", "bruno", "camille", "carla", "carlos", "caroline", "catarina", "charlotte", "chloe", "christian", "christine", "claire", "claudia", "daan", "daniel", "david", "diego", "dmitri", "eduardo", "elena", "eleanor", "elizabeth", "emily", "emma", "eva", "fatima", "felix", "fernando", "florian", "francisco", "frank", "gabriel", "george", "giulia", "guilherme", "hannah", "hans", "helen", "henry", "hiroshi", "hugo", "ines", "isabel", "ivan", "jack", "james", "jan", "jane", "javier", "jean", "jennifer", "joana", "johanna", "johannes", "john", "jonas", "jonathan", "jorge", "jose", "josé", "juan", "julia", "julien", "jürgen", "kate", "katharina", "kenji", "klaus", "laura", "lea", "lena", "leon", "linda", "lisa", "louis", "lucas", "lucia", "lucía", "luis", "lukas", "manuel", "marc", "marco", "maria", "maría", "marie", "mario", "mark", "markus", "martin", "mary", "mathilde", "matthias", "maximilian", "mehmet", "michael", "miguel", "mohammed", "nadia", "natalia", "nicolas", "nina", "nora", "oliver", "olivia", "olga", "omar", "pablo", "patricia", "paul", "paula", "pedro", "peter", "philipp", "pierre", "priya", "rachel", "rafael", "ravi", "raquel", "ricardo", "robert", "roberto", "rosa", "sabine", "samuel", "sara", "sarah", "sebastian", "sergei", "sofia", "sophie", "stefan", "stephen", "susan", "sven", "svetlana", "tatiana", "teresa", "thomas", "tiago", "tim", "tobias", "tom", "ursula", "victor", "wei", "william", "wolfgang", "yuki", "yusuf")
+#: What follows a name in a script without case, and the words it also follows.
+_HONORIFICS = ("さん", "様", "氏")
+_NO_HONORIFIC = ("皆", "皆様", "お客", "客", "仕", "同", "多", "模", "異", "有", "各", "両", "奥", "神", "王", "ユーザー", "オーナー", "メンバー", "リーダー", "マネージャー", "エンジニア", "スタッフ", "チーム", "利用者", "担当者", "管理者", "開発者")
 _NO_NAME = {"the", "a", "an", "this", "that", "it", "we", "you", "they", "me", "him", "her", "us", "them", "everyone", "someone", "anyone", "nobody", "who", "what", "whoever", "team", "user", "users", "bot", "build", "merge", "queue", "service", "server", "admin", "root", "system", "agent", "assistant", "reviewer", "owner", "maintainer", "maintainers", "support", "null", "none", "true", "false", "before", "after", "for", "to", "in", "on", "at", "by", "with", "from", "of", "about", "how", "why", "when", "where", "if", "and", "or", "not", "my", "your", "our", "his", "their", "all", "any", "each", "last", "next", "new", "old", "first", "only", "just", "still", "here", "there", "please", "again", "der", "die", "das", "ein", "eine", "le", "la", "les", "un", "une", "el", "los", "las", "il", "de", "is", "are", "was", "be", "has", "have", "row", "rows", "file", "files", "test", "tests", "code", "data", "line", "lines", "index", "node", "nodes", "email", "phone", "address", "ticket", "order", "token", "key", "id", "dev", "box", "api", "db", "error", "warn", "info", "debug", "update", "add", "begin", "end", "patch", "select", "insert", "into", "values", "open", "active", "closed"}
 
+#: Words that after a given name make it a place, a product or a plan.
+_COMMON_AFTER = {"street", "road", "avenue", "lane", "hall", "room", "school", "university", "hospital", "project", "server", "service", "cluster", "node", "build", "release", "branch", "team", "meeting", "test", "pipeline", "model", "index", "queue", "session", "store", "database", "table", "code"}
+
+_CASELESS = re.compile(r"(?:[\u4e00-\u9fff々]{2,6}|[\u30a0-\u30ff]{2,10}(?:[・ ][\u30a0-\u30ff]{2,10})?)[\s\u3000]?$")
 _LETTER = r"[^\W\d_]"
 _WORD = rf"{_LETTER}(?:{_LETTER}|(?<={_LETTER})['’-](?={_LETTER}))*"
 _TITLE = rf"(?:{'|'.join(_TITLES)})"
 _TITLE_AT = re.compile(rf"(?i)(?<!\w){_TITLE}\.?[^\S\n]+")
 _NAME = re.compile(rf"(?:(?i:(?P<title>{_TITLE}))(?:\.[^\S\n]*|[^\S\n]+))?(?P<words>{_WORD}(?:(?:,[^\S\n]|[^\S\n])(?:{_LETTER}\.|{_WORD}))*)")
-_LOCAL = re.compile(r"[\w.+%'-]+$")
 _DOMAIN = re.compile(r"(?:[\w](?:[\w-]*[\w])?\.)+[^\W\d_]{2,24}(?![\w-])", re.I)
 _SPELT_DOMAIN = re.compile(r"[^\S\n]*(?P<first>[\w-]+)(?P<rest>(?:(?:[^\S\n]*[\[({][^\S\n]*(?:dot|punkt|point|punto|ponto|punt|точка)[^\S\n]*[\])}][^\S\n]*|[^\S\n]+(?:dot|punkt|point|punto|ponto|punt|точка)[^\S\n]+|\.)[\w-]+)+)", re.I)
 _SPELT_AT = ("(at)", "[at]", "{at}", " at ", "(arroba)", "[arroba]", " arroba ", "(@)", "[@]", "(a)", "&#64;", "%40")
@@ -58,7 +67,7 @@ _PHONE = re.compile(
 )
 _NOT_PHONE = re.compile(r"(?:order|ticket|trace|build|version|issue|case|invoice|tracking|ref(?:erence)?|commit|row|line|epoch|port|error|code|id|ssn|passport|dni|no|nr|security|pr|bug|span|request|session|job)[^\S\n]*(?:no\.?|nr\.?|number|id)?[^\S\n]*[:=#]?[^\S\n]*$", re.I)
 _UNIT = r"(?:,?[^\S\n]+(?:apt|apartment|unit|suite|ste|flat|floor|#|no)\.?[^\S\n]*\w{1,6}|,[^\S\n]*\d{1,3}[ºª°][^\S\n]?\w{0,3})?"
-_TOWN = rf"(?:[^\S\n]*,[^\S\n]*|[^\S\n]+(?=\d{{4,6}}[^\S\n]))(?:(?:[A-Z]{{1,2}}-)?\d{{4,6}}[^\S\n]+)?(?P<town>[A-ZÀ-ÞА-Я][\w'’-]+(?:[^\S\n](?:[A-ZÀ-ÞА-Я][\w'’-]+|de|la|del|am|an|der|sur|les|le|upon|of|do|da))*)(?:,?[^\S\n]+(?:[A-Z]{{2}}[^\S\n]+)?\d{{4,6}}(?:-\d{{4}})?)?"
+_TOWN = rf"(?:[^\S\n]*,[^\S\n]*|[^\S\n]+(?=\d{{4,6}}[^\S\n]))(?:(?:[A-Z]{{1,2}}-)?\d{{4,6}}[^\S\n]+)?(?P<town>[A-ZÀ-ÞА-Я](?:[^\W\d_]|['’-])+(?!\w)(?:[^\S\n](?:[A-ZÀ-ÞА-Я](?:[^\W\d_]|['’-])+(?!\w)|de|la|del|am|an|der|sur|les|le|upon|of|do|da))*)(?:,?[^\S\n]+(?:(?:[A-Z]{{2}}[^\S\n]+)?\d{{4,6}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[A-Z\d]?[^\S\n]?\d[A-Z]{{2}}|[A-Z]\d[A-Z][^\S\n]?\d[A-Z]\d)(?![\w]))?"
 _AFTER_NUMBER = re.compile(rf"(?<![\w.])\d{{1,5}}[a-zA-Z]?,?[^\S\n]+(?:[NSEW]\.?[^\S\n]+)?(?:[A-ZÀ-Þ][\w'’-]+[^\S\n]+){{1,4}}(?i:{'|'.join(_STREET_AFTER)})\b\.?{_UNIT}{_TOWN}")
 _BEFORE_NUMBER = re.compile(rf"(?i:{'|'.join(map(re.escape, _STREET_BEFORE))})[^\S\n]+(?:[\w'’.-]+[^\S\n]+){{0,6}}?[\w'’-]+,?[^\S\n]+(?:n[º°o]\.?[^\S\n]*)?\d{{1,5}}[a-zA-Z]?{_UNIT}{_TOWN}")
 _NUMBER_FIRST = re.compile(rf"(?<![\w.])\d{{1,5}}(?:[^\S\n]?(?:bis|ter))?,?[^\S\n]+(?i:{'|'.join(map(re.escape, _STREET_BEFORE))})[^\S\n]+(?:[\w'’.-]+[^\S\n]+){{0,6}}?[\w'’-]+{_UNIT}{_TOWN}")
@@ -70,6 +79,31 @@ _CSV = re.compile(r"(?m)^(?:\d+,)(?P<name>[^\n@]+?),(?P<next>[^,\n]*(?:@|[(\[]at
 _VCARD = re.compile(r"(?m)^(?:FN|N)(?:;[^:\n]*)?:(?P<name>[^\n]+)$")
 
 
+def _back(text: str, at: int, words: int) -> int:
+    """The start of the ``words`` runs without white space before ``at``, not beyond the line's start."""
+    while at and words:
+        at -= 1
+        while at and text[at] in " \t\u00a0" and text[at - 1] != "\n":
+            at -= 1
+        while at and not text[at - 1].isspace():
+            at -= 1
+        words -= 1
+        if at and text[at - 1] in "\r\n":
+            break
+    return at
+
+
+_RUN = re.compile(r"\s*\S+")
+
+
+def _ahead(text: str, at: int, words: int) -> int:
+    """The end of the ``words`` runs without white space from ``at``."""
+    while words and (m := _RUN.match(text, at)):
+        at = m.end()
+        words -= 1
+    return at if not words else len(text)
+
+
 class Finder:
     """Finds the personal information of one text after the other."""
 
@@ -89,6 +123,8 @@ class Finder:
             (_NAME_BEFORE, "name_before"),
             (_SIGN_OFF, "sign_off"),
             (("values",), "values"),
+            (tuple(f"{g} " for g in _GIVEN), "given"),
+            (_HONORIFICS, "honorific"),
         ):
             for a in anchors:
                 groups.setdefault(a, set()).add(group)
@@ -98,11 +134,12 @@ class Finder:
 
     @staticmethod
     def _email(text: str, at: int) -> tuple[int, int] | None:
-        left = _LOCAL.search(text, max(0, at - 64), at)
         right = _DOMAIN.match(text, at + 1)
-        if not left or not right:
+        start = at
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.+%'-"):
+            start -= 1
+        if start == at or not right:
             return None
-        start = left.start()
         while start < at and text[start] in ".'%+-":
             start += 1
         if start == at:
@@ -121,9 +158,14 @@ class Finder:
 
     @staticmethod
     def _spelt(text: str, at: int, size: int) -> tuple[int, int] | None:
-        left = re.search(r"[\w.+-]+[^\S\n]*$", text[max(0, at - 64) : at])
+        stop = at
+        while stop and text[stop - 1] in " \t":
+            stop -= 1
+        start = stop
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
         right = _SPELT_DOMAIN.match(text, at + size)
-        if not left or not right:
+        if start == stop or not right:
             return None
         bracketed = text[at : at + size].strip() != text[at : at + size] or text[at] not in "([{&%"
         dots = re.findall(r"(?i)[\[({][^\S\n]*(?:dot|punkt|point|punto|ponto|punt|точка)[^\S\n]*[\])}]|[^\S\n](?:dot|punkt|point|punto|ponto|punt|точка)[^\S\n]", right["rest"])
@@ -132,12 +174,12 @@ class Finder:
         last = re.split(r"[^\w-]+", right["rest"].strip())[-1]
         if not re.fullmatch(r"[^\W\d_]{2,24}", last):
             return None
-        return max(0, at - 64) + left.start(), right.end()
+        return start, right.end()
 
     @staticmethod
     def _full_name(text: str, start: int, stop: int | None = None, lower: bool = True) -> tuple[int, int] | None:
         """The name at ``start``: a title with a surname, or at least two words of a full name."""
-        m = _NAME.match(text, start, stop if stop is not None else min(len(text), start + 90))
+        m = _NAME.match(text, start, stop if stop is not None else _ahead(text, start, 8))
         if not m:
             return None
         pieces = [(p.start() + m.start("words"), p[0]) for p in re.finditer(rf"{_LETTER}\.(?=[^\S\n])|{_WORD}|,", m["words"])]
@@ -197,8 +239,7 @@ class Finder:
                 elif group == "street_after":
                     if (text[last + 1 : last + 2].isalnum()) or not text[at - 1 : at].strip():
                         continue
-                    line = max(text.rfind("\n", 0, at) + 1, at - 80)
-                    for m in _AFTER_NUMBER.finditer(text, line, min(len(text), last + 90)):
+                    for m in _AFTER_NUMBER.finditer(text, _back(text, at, 6), _ahead(text, last, 14)):
                         if m.start() <= at < m.end():
                             add((*m.span(), "address"))
                 elif group == "street_before":
@@ -207,15 +248,13 @@ class Finder:
                     m = _BEFORE_NUMBER.match(text, at)
                     if m:
                         add((*m.span(), "address"))
-                    line = max(text.rfind("\n", 0, at) + 1, at - 12)
-                    for m in _NUMBER_FIRST.finditer(text, line, min(len(text), at + 140)):
+                    for m in _NUMBER_FIRST.finditer(text, _back(text, at, 2), _ahead(text, at, 20)):
                         if m.start() < at < m.end():
                             add((*m.span(), "address"))
                 elif group == "street_end":
                     if not text[last + 1 : last + 2].isspace() or not re.match(r"[^\S\n]+\d", text[last + 1 : last + 8]):
                         continue
-                    line = max(text.rfind("\n", 0, at) + 1, at - 60)
-                    for m in _JOINED.finditer(text, line, min(len(text), last + 90)):
+                    for m in _JOINED.finditer(text, _back(text, at, 2), _ahead(text, last, 14)):
                         if m.start() <= at < m.end():
                             add((*m.span(), "address"))
                 elif group == "box":
@@ -240,16 +279,23 @@ class Finder:
                             continue
                         add((*span, "name"))
                 elif group == "name_before":
-                    line = max(text.rfind("\n", 0, at) + 1, at - 70)
+                    line = _back(text, at, 6)
                     head = text[line:at]
-                    cut = max(head.rfind(". "), head.rfind("? "), head.rfind("! "), head.rfind("。"), head.rfind("\\n"), head.rfind("  "))
                     tail = rf"(?:(?:{_TITLE}\.?[^\S\n]+)?{_WORD}(?:(?:,[^\S\n]|[^\S\n])(?:{_LETTER}\.|{_WORD})){{0,3}})$"
-                    if (m := re.search(tail, head, re.I)) and (m.start() >= cut or True):
+                    if m := re.search(tail, head, re.I):
                         words = m[0]
                         for k in range(len(words)):
                             if (k == 0 or words[k - 1] in " ") and (span := self._full_name(text, line + m.start() + k, at)) and span[1] == at:
                                 add((*span, "name"))
                                 break
+                elif group == "given":
+                    if (at and (text[at - 1].isalnum() or text[at - 1] in "-_./'@\\")) or not text[at].isupper():
+                        continue
+                    if (span := self._full_name(text, at, lower=False)) and span[1] > last + 1 and self._alone(text, span):
+                        add((*span, "name"))
+                elif group == "honorific":
+                    if (m := _CASELESS.search(text, max(0, at - 24), at)) and m[0] not in _NO_HONORIFIC and not m[0].endswith(_NO_HONORIFIC):
+                        add((m.start(), last + 1, "name"))
                 elif group == "sign_off":
                     signed = True
                 elif group == "values":
@@ -281,11 +327,20 @@ class Finder:
         """Whether something that ends a name follows: the line, punctuation, an address, or a small word of the phrase."""
         return bool(re.match(r"[^\S\n]*(?:$|\n|\\n|[.,;:<>()\[\]|\"'!?]|(?:before|after|about|for|if|when|or|and|last|asked|said|please|avant|bevor|antes|oder|ou|o|y|und|et|e)\b)", text[end : end + 20]))
 
+    @staticmethod
+    def _alone(text: str, span: tuple[int, int]) -> bool:
+        """Whether a given name with a surname stands as a person's: no part of a longer title, path or identifier, its surname no common word."""
+        words = text[span[0] : span[1]].split()
+        after = text[span[1] : span[1] + 1]
+        if len(words) < 2 or words[0].isupper() and len(words[0]) > 1 or after in ("_", "/", "\\", "@", "(", "=") or words[-1].lower().rstrip("s") in _COMMON_AFTER:
+            return False
+        return not re.match(r"[^\S\n](?:[A-Z][\w-]*[^\S\n]){2}", text[span[1] : span[1] + 40])
+
     def _beside_email(self, text: str, span: tuple[int, int], add) -> None:
         """The name before ``<address>``, when it stands alone between the line's start or a cue and the bracket."""
         if text[span[0] - 1 : span[0]] != "<":
             return
-        line = max(text.rfind("\n", 0, span[0]) + 1, span[0] - 90)
+        line = _back(text, span[0], 7)
         head = text[line : span[0] - 1].rstrip()
         m = re.search(rf"(?:^|[:;,=>]|\bcc|\bby|\bto|\bfrom|\bfor|\\n)[^\S\n]*(?P<name>(?:{_TITLE}\.?[^\S\n]+)?{_WORD}(?:(?:,[^\S\n]|[^\S\n])(?:{_LETTER}\.|{_WORD})){{0,3}})$", head, re.I)
         if m and (name := self._full_name(text, line + m.start("name"), line + m.end("name"))) and name[1] == line + m.end("name"):

@@ -97,3 +97,27 @@ def test_rows(spark):
     masked = {r["id"]: r["a"] for r in mask_pii(df, "id", ["a"]).collect()}
     assert masked["1"] == "[EMAIL] [EMAIL]" and masked["2"] is None and masked["3"] == ""
     assert find_pii(spark.createDataFrame([], SCHEMA), "id", ["a"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,value,kind",
+    [
+        ("I spoke with Maria Gonzalez about it", "Maria Gonzalez", "name"),
+        ("Jonathan Meyer will join", "Jonathan Meyer", "name"),
+        ("Hi John Smith, thanks", "John Smith", "name"),
+        ("Dr. Weber and Aisha Khan came", "Aisha Khan", "name"),
+        ("Kontakt: Anna-Lena Vogt", "Anna-Lena Vogt", "name"),
+        ("田中さんに聞いてください", "田中さん", "name"),
+        ("It is 221B Baker Street, London NW1 6XE now", "221B Baker Street, London NW1 6XE", "address"),
+        ("write to " + "a" * 90 + "@mail.example soon", "a" * 90 + "@mail.example", "email"),
+        ("reported by " + "Anne" + "b" * 100 + " Smith.", "Anne" + "b" * 100 + " Smith", "name"),
+        ("at 12 " + "Long" + "g" * 90 + " Street, Springfield", "12 " + "Long" + "g" * 90 + " Street, Springfield", "address"),
+    ],
+)
+def test_found_by_shape_and_at_any_length(text, value, kind):
+    assert (text.index(value), text.index(value) + len(value), kind) in Finder().find(text)
+
+
+@pytest.mark.parametrize("text", ["Maria DB server runs", "Mark the Build as done", "James Bond Street Project", "Frank Server restarted", "仕様を確認", "お客様とユーザー様"])
+def test_no_names(text):
+    assert not [s for s in Finder().find(text) if s[2] == "name"]
