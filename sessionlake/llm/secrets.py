@@ -90,6 +90,8 @@ PLAIN_COST = 7.0
 SHORTEST_WORD, LONGEST_WORD = 4, 14
 #: Unexplained letters and digits of a credential: of a value with digits, of letters alone (and at least half of them), of an issuer's format.
 LEAST_RESIDUAL, LEAST_LETTERS, LEAST_IN_FORMAT = 3, 6, 8
+#: Symbols that no label or path has between its words, unexplained as letters are.
+_HARD = set("!?+$@#%^&*~")
 #: Words written as one that make a passphrase.
 PASSPHRASE_WORDS = 4
 
@@ -110,13 +112,13 @@ def dictionary(path: str) -> dict[str, float]:
 
 
 def segment(value: str, words: dict[str, float]) -> tuple[int, int]:
-    """The cheapest segmentation of ``value`` into words: how many letters and digits it leaves over, and how many words it has."""
+    """The cheapest segmentation of ``value`` into words: how many letters, digits and hard symbols it leaves over, and how many words it has."""
     low = value.lower()
     n = len(low)
     best, left, used = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     for i in range(1, n + 1):
         c = low[i - 1]
-        best[i], left[i], used[i] = best[i - 1] + (PLAIN_COST if c.isalnum() else 1.0), left[i - 1] + c.isalnum(), used[i - 1]
+        best[i], left[i], used[i] = best[i - 1] + (PLAIN_COST if c.isalnum() else 1.0), left[i - 1] + (c.isalnum() or c in _HARD), used[i - 1]
         if c.isalpha():
             for j in range(max(0, i - LONGEST_WORD), i - SHORTEST_WORD + 1):
                 if (cost := words.get(low[j:i])) is not None and best[j] + cost < best[i]:
@@ -125,7 +127,7 @@ def segment(value: str, words: dict[str, float]) -> tuple[int, int]:
 
 
 def unexplained(value: str, words: dict[str, float]) -> int:
-    """Letters and digits of ``value`` that the cheapest segmentation into words leaves over."""
+    """Letters, digits and hard symbols of ``value`` that the cheapest segmentation into words leaves over."""
     return segment(value, words)[0]
 
 

@@ -41,7 +41,7 @@ def test_known_hash_formats_and_identifiers_are_none(finder, value):
 
 def test_the_residual_decides(finder):
     assert finder.find('password = "correcthorsebatterystaple"')
-    assert finder.find('client_secret = "Copper_Tern3280!"') and finder.find("db_password = willowlantern82670")
+    assert finder.find('admin_password = "Quartz_Falcon33!!"') and finder.find('client_secret = "Copper_Tern3280!"') and finder.find("db_password = willowlantern82670")
     for label in ("user-service-v2-2024", "us-east-1", "merge-planner", "connection-timeout-30"):
         assert not finder.find(f'api_token = "{label}"'), label
 
