@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from sessionlake.runtime import checkpoint
 
-#: Nodes of the largest component that one task walks.
-WALKED = 50_000
+#: Nodes of the largest component that one task walks, and the links of all paths of such a component together.
+WALKED, WALKED_LINKS = 50_000, 5_000_000
 
 
 def links(sessions: DataFrame, key: str = "session_id", parent: str = "parent_session_id", version: str | None = "ingested_at") -> DataFrame:
@@ -170,13 +170,15 @@ def hierarchy(nodes: DataFrame, walked: int = WALKED) -> DataFrame:
 
     ``path`` leads from the root (on or below a cycle: from its smallest node) to the node. The descendants
     of a node are the nodes of its root with ``entered`` between its own and ``left``. A component above
-    ``walked`` nodes gets the same rows from joins. On or
+    ``walked`` nodes, or with longer paths than a task can hold, gets the same rows from joins. On or
     below a cycle ``depth`` is -1; ``back_edge`` marks the node at which the cycle is closed, its counts are
     those of the walk, which cuts the cycle there. An empty table gives an empty result.
     """
     placed = components(nodes)
     # only the few sizes above the bound are carried on; partial counts are made before the shuffle
-    large = placed.groupBy("root").count().where(F.col("count") > walked).select("root")
+    # on or below a cycle no depth is known; the longest path a component of n nodes can have stands for each
+    links_of = F.sum(F.when(F.col("depth") >= 0, F.col("depth")).otherwise(0)) + F.count_if(F.col("depth") < 0) * F.count_if(F.col("depth") < 0)
+    large = placed.groupBy("root").agg(F.count("*").alias("_nodes"), links_of.alias("_links")).where((F.col("_nodes") > walked) | (F.col("_links") > WALKED_LINKS)).select("root")
     large = checkpoint(large)
     small = placed.join(large, "root", "left_anti").select("id", "parent", "root")
     found = small.repartition("root").sortWithinPartitions("root").mapInPandas(_walk_sorted, _WALK)
@@ -246,6 +248,9 @@ def descendants(tree: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     With ``roots`` (a column ``ancestor``) only under those. On or below a cycle a node is also under the
     nodes of the cycle that its path, cut at the smallest node, leaves out; the distance is then the way round.
     """
+    if roots is not None:  # only the components that have one of them
+        met = tree.join(roots.select(F.col("ancestor").alias("id")), "id", "left_semi").select("root").distinct()
+        tree = tree.join(met, "root", "left_semi")
     along = tree.select("id", "root", "on_cycle", F.size("path").alias("_n"), F.posexplode("path").alias("_p", "ancestor"))
     pairs = along.select("ancestor", "id", (F.col("_n") - F.col("_p") - 1).cast("long").alias("distance"))
     cyclic = tree.where(F.col("depth") == -1)
@@ -258,6 +263,21 @@ def descendants(tree: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     return every if roots is None else every.join(roots.select("ancestor").distinct(), "ancestor", "left_semi")
 
 
+def below(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``ancestor, id, distance``: the nodes at and below each of a few ``roots`` (a column ``ancestor``), as ``descendants`` has them.
+
+    The links are followed downwards, a join for each level, so trees without a root asked for are not touched.
+    A node met again, on a cycle, is not followed twice; a root that is no node gives no row.
+    """
+    held = checkpoint(nodes.select("id", "parent"))
+    found = front = checkpoint(roots.select("ancestor").distinct().join(held.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("ancestor", F.col("ancestor").alias("id"), F.lit(0).cast("long").alias("distance")))
+    while not front.isEmpty():
+        next_ = front.select("ancestor", F.col("id").alias("parent"), "distance").join(held.where(F.col("parent").isNotNull()), "parent").select("ancestor", "id", (F.col("distance") + 1).alias("distance"))
+        front = checkpoint(next_.join(found.select("ancestor", "id"), ["ancestor", "id"], "left_anti"))
+        found = found.unionByName(front)
+    return found
+
+
 def lineage_of_requests(tree: DataFrame, requests: DataFrame) -> DataFrame:
     """``request_id, session_id, distance``: the requested root and all below it; an absent root gives no row."""
     wanted = requests.where(F.col("lineage_root_session_id").isNotNull()).select("request_id", F.col("lineage_root_session_id").alias("ancestor")).distinct()

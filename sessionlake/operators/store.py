@@ -24,14 +24,35 @@ class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
 
-    def rows(self, name: str, *columns: str, where: Column | None = None) -> DataFrame:
-        """The rows of a table, one a key: filtered, then pruned to ``columns``, then made distinct."""
+    def rows(self, name: str, *columns: str | Column, where: Column | None = None) -> DataFrame:
+        """The rows of a table, one a key: filtered, then pruned to ``columns``, then made distinct.
+
+        A column may be an expression: what is measured of a text before the rows are made distinct is all of
+        it that is shuffled.
+        """
         keys = KEYS[name]
         df = table(self.spark, self.base, name)
         if where is not None:
             df = df.where(where)
-        wanted = list(dict.fromkeys([*keys, *columns])) if columns else [c for c in df.columns if c != "ingested_at"]
-        return df.select(*wanted).dropDuplicates(keys)
+        named = [c for c in columns if isinstance(c, str)]
+        wanted = list(dict.fromkeys([*keys, *named])) if columns else [c for c in df.columns if c != "ingested_at"]
+        return df.select(*wanted, *[c for c in columns if not isinstance(c, str)]).dropDuplicates(keys)
+
+    def texts(self, name: str, keys_of: DataFrame, *columns: str) -> DataFrame:
+        """``keys_of``, a page of rows with the table's keys, with ``columns`` of the table.
+
+        The page is bounded, so it is sent to the scan; of the texts only those of the page are shuffled.
+        """
+        keys = KEYS[name]
+        page = keys_of.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        found = table(self.spark, self.base, name).select(*keys, *columns).join(F.broadcast(page), same, "left_semi").dropDuplicates(keys)
+        on = F.lit(True)
+        for k in keys:
+            on = on & keys_of[k].eqNullSafe(F.col(f"_t_{k}"))
+        return keys_of.join(found.withColumnsRenamed({k: f"_t_{k}" for k in keys}), on).drop(*[f"_t_{k}" for k in keys])
 
 
 def searchable() -> Column:

@@ -64,6 +64,24 @@ def p2_hierarchy(spark: SparkSession, base: str) -> DataFrame:
     return lineage.hierarchy(lineage.links(table(spark, base, "sessions"))).withColumnRenamed("id", "session_id")
 
 
+@query(
+    f"""
+WITH RECURSIVE {_NODES},
+  up AS (SELECT id, id AS at, [id] AS path, false AS ring FROM l
+    UNION ALL SELECT up.id, l.p, list_append(up.path, l.p), list_contains(up.path, l.p) FROM up JOIN l ON l.id = up.at WHERE l.p IS NOT NULL AND NOT up.ring),
+  last AS (SELECT id, arg_max(path, len(path)) AS path, bool_or(ring) AS ring FROM up GROUP BY id),
+  rooted AS (SELECT id, path, ring, CASE WHEN ring THEN list_min(list_slice(path, list_position(path, path[-1]), len(path))) ELSE path[-1] END AS root FROM last),
+  placed AS (SELECT id, root, ring, list_reverse(list_slice(path, 1, list_position(path, root))) AS path FROM rooted),
+  held AS (SELECT unnest(path) AS id, count(*) - 1 AS n FROM placed GROUP BY 1)
+SELECT id AS session_id, root AS root_session_id, (CASE WHEN ring THEN -1 ELSE len(path) - 1 END)::bigint AS depth, array_to_string(path, '/') AS path, n AS n_descendants FROM placed JOIN held USING (id)
+"""
+)
+def p2_paths(spark: SparkSession, base: str) -> DataFrame:
+    """The path from the root to each session, and how many sessions are below it."""
+    tree = lineage.hierarchy(lineage.links(table(spark, base, "sessions")))
+    return tree.select(F.col("id").alias("session_id"), F.col("root").alias("root_session_id"), "depth", F.array_join("path", "/").alias("path"), "n_descendants")
+
+
 @query(
     f"""
 WITH RECURSIVE {_NODES},
@@ -91,7 +109,7 @@ _MESSAGES = "SELECT coalesce(event_id, m.session_id || ':' || seq) AS message_id
 
 
 def _shown(messages: DataFrame) -> DataFrame:
-    return messages.select("message_id", "session_id", "seq", "role", F.octet_length("text").cast("long").alias("text_bytes"), "ts", "provider", "agent_name")
+    return messages.select("message_id", "session_id", "seq", "role", "text_bytes", "ts", "provider", "agent_name")
 
 
 @query(f"WITH {_S}, {_M} SELECT message_id, session_id, seq, role, octet_length(encode(text)) AS text_bytes, ts, provider, agent_name FROM ({_MESSAGES}) WHERE role = 'assistant' ORDER BY session_id, seq, message_id LIMIT 101")
@@ -109,13 +127,13 @@ def messages_next_page(spark: SparkSession, base: str) -> DataFrame:
 @query(f"WITH {_S}, {_M} SELECT message_id, session_id, seq, role, octet_length(encode(text)) AS text_bytes, ts, provider, agent_name FROM ({_MESSAGES}) WHERE {_TIME.format('ts')} >= '2026-03-01 00:00:00+00' AND {_TIME.format('ts')} < '2026-05-01 00:00:00+00' AND provider IN ('codex', 'claude')")
 def messages_time_window(spark: SparkSession, base: str) -> DataFrame:
     """Messages of two providers in a window of time, its start included."""
-    return _shown(select_messages(Store(spark, base), Filters(providers=("codex", "claude"), message_after="2026-03-01T00:00:00Z", message_before="2026-05-01T00:00:00Z")))
+    return _shown(select_messages(Store(spark, base), Filters(providers=("codex", "claude"), message_after="2026-03-01T00:00:00Z", message_before="2026-05-01T00:00:00Z"), text=False))
 
 
 @query(f"WITH {_S}, {_M} SELECT message_id, session_id, seq, role, octet_length(encode(text)) AS text_bytes, ts, provider, agent_name FROM ({_MESSAGES}) WHERE parent_session_id IS NULL AND {_TIME.format('started_at')} >= '2026-02-01 00:00:00+00'")
 def messages_of_roots(spark: SparkSession, base: str) -> DataFrame:
     """Messages of sessions without a parent that started after a time."""
-    return _shown(select_messages(Store(spark, base), Filters(roots_only=True, session_started_after="2026-02-01T00:00:00Z")))
+    return _shown(select_messages(Store(spark, base), Filters(roots_only=True, session_started_after="2026-02-01T00:00:00Z"), text=False))
 
 
 @query(f"""WITH RECURSIVE {_S}, {_M}, l AS (SELECT session_id AS id, nullif(parent_session_id, '') AS p FROM s),
@@ -127,7 +145,7 @@ def messages_of_lineage(spark: SparkSession, base: str) -> DataFrame:
     shop = Store(spark, base)
     roots = shop.rows("lineage_requests", "lineage_root_session_id").select(F.col("lineage_root_session_id").alias("session_id"))
     first = roots.join(shop.rows("sessions", "session_id"), "session_id", "left_semi").agg(F.min("session_id")).first()[0]
-    return _shown(select_messages(shop, Filters(lineage_root_session_id=first or "")))
+    return _shown(select_messages(shop, Filters(lineage_root_session_id=first or ""), text=False))
 
 
 @query(f"WITH {_S} SELECT session_id, project_key, provider, started_at, updated_at AS ended_at, model FROM s ORDER BY coalesce(updated_at, started_at, '') DESC, session_id LIMIT 101")
@@ -338,9 +356,9 @@ def fused_rows(spark: SparkSession, base: str) -> DataFrame:
 @query(f"WITH {_M} SELECT event_id, octet_length(encode(text)) AS text_bytes, octet_length(encode(text)) > 2000 AS text_truncated FROM m WHERE text IS NOT NULL")
 def search_excerpts(spark: SparkSession, base: str) -> DataFrame:
     """Sizes of the messages and whether a search row would cut them."""
-    rows = Store(spark, base).rows("messages", "text").where(F.col("text").isNotNull())
-    cut = text.utf8_prefix(F.col("text"), 2000)
-    return rows.select("event_id", F.octet_length("text").cast("long").alias("text_bytes"), (F.octet_length(cut) < F.octet_length("text")).alias("text_truncated"))
+    size = F.octet_length("text")
+    cut = F.octet_length(text.utf8_prefix(F.col("text"), 2000)) < size
+    return Store(spark, base).rows("messages", size.cast("long").alias("text_bytes"), cut.alias("text_truncated"), where=F.col("text").isNotNull()).select("event_id", "text_bytes", "text_truncated")
 
 
 @query(
@@ -349,8 +367,7 @@ def search_excerpts(spark: SparkSession, base: str) -> DataFrame:
 )
 def search_snippets(spark: SparkSession, base: str) -> DataFrame:
     """The text around a term."""
-    rows = Store(spark, base).rows("messages", "text").where(F.instr(text.fold(F.col("text")), "lineage") > 0)
-    return rows.select("event_id", text.snippet(F.col("text"), "lineage").alias("snippet"))
+    return Store(spark, base).rows("messages", text.snippet(F.col("text"), "lineage").alias("snippet"), where=F.instr(text.fold(F.col("text")), "lineage") > 0).select("event_id", "snippet")
 
 
 @query(f"WITH {_M} SELECT role, sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')))::bigint AS n_terms FROM m WHERE role IN ('user', 'assistant', 'reasoning') AND text IS NOT NULL GROUP BY 1")
@@ -381,15 +398,15 @@ def index_terms_all(spark: SparkSession, base: str) -> DataFrame:
 @query(f"WITH {_T} SELECT id, sha256(input_text) AS input_sha, sha256(output_text) AS output_sha, 'p' || sha1(project_key) AS project_token FROM t")
 def payload_hashes(spark: SparkSession, base: str) -> DataFrame:
     """SHA-256 of payloads and the scope token of the project."""
-    rows = Store(spark, base).rows("tool_calls", "input_text", "output_text", "project_key")
-    return rows.select("id", F.sha2("input_text", 256).alias("input_sha"), F.sha2("output_text", 256).alias("output_sha"), hashing.project_scope_token(F.col("project_key")).alias("project_token"))
+    hashes = (F.sha2("input_text", 256).alias("input_sha"), F.sha2("output_text", 256).alias("output_sha"))
+    return Store(spark, base).rows("tool_calls", *hashes, hashing.project_scope_token(F.col("project_key")).alias("project_token"))
 
 
 @query()
 def message_hashes(spark: SparkSession, base: str) -> DataFrame:
     """The content hash that each message should have."""
-    rows = Store(spark, base).rows("messages", "seq", "role", "text")
-    return rows.select("event_id", hashing.message_content_hash(F.col("session_id"), F.col("event_id"), F.col("seq"), F.col("role"), F.col("text")).alias("computed_hash"))
+    computed = hashing.message_content_hash(F.col("session_id"), F.col("event_id"), F.col("seq"), F.col("role"), F.col("text")).alias("computed_hash")
+    return Store(spark, base).rows("messages", computed).select("event_id", "computed_hash")
 
 
 def _redact_sql(column: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.text import parsed_timestamp
-from sessionlake.operators.lineage import descendants, hierarchy, links
+from sessionlake.operators.lineage import below, links
 from sessionlake.operators.store import Store
 from sessionlake.runtime import table
 from sessionlake.schemas import MESSAGE_ROLES, PROVIDERS
@@ -138,12 +138,12 @@ def _session_conditions(f: Filters, own_model: bool) -> list[Column]:
 
 
 def _of_lineage(df: DataFrame, store: Store, root: str | None) -> DataFrame:
-    """Rows of sessions at or below ``root``; none where the root is absent."""
+    """Rows of sessions at or below ``root``; none where the root is absent. The links are followed down from it."""
     if root is None:
         return df
-    tree = hierarchy(links(table(store.spark, store.base, "sessions")))
     wanted = store.spark.createDataFrame([(root,)], "ancestor string")
-    return df.join(descendants(tree, wanted).select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    found = below(links(table(store.spark, store.base, "sessions")), wanted)
+    return df.join(found.select(F.col("id").alias("session_id")), "session_id", "left_semi")
 
 
 _SESSION_COLUMNS = ("project_key", "provider", "agent_name", "title", "started_at", "updated_at", "source_path", "source_fingerprint", "host", "identity_scheme_version", "normalization_version", "model", "model_provider", "assignment_role", "parent_session_id", "message_count", "tool_call_count")
@@ -155,11 +155,14 @@ def select_sessions(store: Store, f: Filters) -> DataFrame:
     return _of_lineage(rows, store, f.lineage_root_session_id).withColumn("ended_at", F.col("updated_at"))
 
 
-def select_messages(store: Store, f: Filters) -> DataFrame:
-    """The messages of a query with attributes of their session; a message without event id is named by session and seq."""
+def select_messages(store: Store, f: Filters, text: bool = True) -> DataFrame:
+    """The messages of a query with attributes of their session; a message without event id is named by session and seq.
+
+    Without ``text`` only its size is carried, so that no text is shuffled.
+    """
     own = _equal([("project_key", f.project_key), ("session_id", f.session_id), ("role", f.role), ("model", f.model), ("model_provider", f.model_provider)])
     own += _within("ts", f.message_after, f.message_before)
-    messages = store.rows("messages", "seq", "role", "text", "ts", "project_key", "content_hash", "model", "model_provider", "reasoning_effort", where=_all(own))
+    messages = store.rows("messages", "seq", "role", *(["text"] if text else []), F.octet_length("text").cast("long").alias("text_bytes"), "ts", "project_key", "content_hash", "model", "model_provider", "reasoning_effort", where=_all(own))
     sessions = store.rows("sessions", "provider", "agent_name", "title", "assignment_role", "parent_session_id", "started_at", where=_all(_session_conditions(f, own_model=False)))
     joined = messages.join(_of_lineage(sessions, store, f.lineage_root_session_id), "session_id")
     return joined.withColumn("message_id", F.coalesce("event_id", F.concat("session_id", F.lit(":"), F.col("seq").cast("string"))))
@@ -168,13 +171,11 @@ def select_messages(store: Store, f: Filters) -> DataFrame:
 def select_tool_calls(store: Store, f: Filters, payloads: bool = False) -> DataFrame:
     """The tool calls of a query with the UTF-8 sizes of their payloads; the payloads themselves only when asked for."""
     own = _equal([("project_key", f.project_key), ("session_id", f.session_id), ("model", f.model), ("model_provider", f.model_provider), ("tool_name", f.tool_name), ("id", f.tool_call_id)])
-    calls = store.rows("tool_calls", "session_id", "event_id", "seq", "tool_name", "status", "input_text", "output_text", "started_at", "completed_at", "project_key", "model", "model_provider", where=_all(own))
+    sizes = (F.octet_length("input_text").alias("input_bytes"), F.octet_length("output_text").alias("output_bytes"))
+    calls = store.rows("tool_calls", "session_id", "event_id", "seq", "tool_name", "status", "started_at", "completed_at", "project_key", "model", "model_provider", *sizes, *(PAYLOAD_FIELDS if payloads else ()), where=_all(own))
     sessions = store.rows("sessions", "provider", "agent_name", "assignment_role", where=_all(_session_conditions(f, own_model=False)))
-    sized = calls.select(
-        "id", "session_id", F.coalesce("event_id", "id").alias("event_id"), "seq", "tool_name", "status", F.coalesce("started_at", "completed_at").alias("called_at"), "completed_at", "project_key", "model", "model_provider",
-        F.octet_length("input_text").alias("input_bytes"), F.octet_length("output_text").alias("output_bytes"), *(PAYLOAD_FIELDS if payloads else ()),
-    )
-    return sized.join(sessions, "session_id")
+    shaped = calls.withColumns({"event_id": F.coalesce("event_id", "id"), "called_at": F.coalesce("started_at", "completed_at")}).drop("started_at")
+    return shaped.join(sessions, "session_id")
 
 
 def _project(df: DataFrame, names: tuple[str, ...] | None) -> DataFrame:
@@ -188,14 +189,15 @@ def page(store: Store, query: Query) -> DataFrame:
     """The rows of a query's page and one more, by which the caller sees whether there is another page.
 
     Sessions come newest first by the text of their last time, messages by session and seq, tool calls by
-    session, seq and id. Only ``limit`` + 1 rows of each partition are kept for the order.
+    session, seq and id. Only ``limit`` + 1 rows of each partition are kept for the order, and the page is
+    found by its keys: texts are read afterwards, for its rows alone.
     """
     query = validate(query)
     f, more = query.filters, query.limit + 1
     if query.kind == "sessions":
         rows = select_sessions(store, f).orderBy(F.coalesce("updated_at", "started_at", F.lit("")).desc(), "session_id")
     elif query.kind == "messages":
-        rows = select_messages(store, f)
+        rows = select_messages(store, f, text=False)
         if query.after is not None:
             session, seq = query.after
             rows = rows.where((F.col("session_id") > session) | ((F.col("session_id") == session) & (F.col("seq") > seq)))
@@ -204,7 +206,10 @@ def page(store: Store, query: Query) -> DataFrame:
         rows = select_tool_calls(store, f, payloads=bool(query.fields and set(query.fields) & set(PAYLOAD_FIELDS))).orderBy("session_id", "seq", "id")
     if query.offset:
         rows = rows.offset(query.offset)
-    return _project(rows.limit(more), query.fields)
+    rows = rows.limit(more)
+    if query.kind == "messages" and (query.fields is None or "text" in query.fields):
+        rows = store.texts("messages", rows, "text").orderBy("session_id", "seq", "message_id")
+    return _project(rows, query.fields)
 
 
 def point_lookup(store: Store, keys: list[tuple[str, int]]) -> DataFrame:

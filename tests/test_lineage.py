@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sessionlake.operators.lineage import components, descendants, hierarchy, lineage_of_requests, links, walk
+from sessionlake.operators.lineage import below, components, descendants, hierarchy, lineage_of_requests, links, walk
 
 SCHEMA = "session_id string, parent_session_id string, ingested_at timestamp, id string, path string, root string"
 
@@ -54,6 +54,25 @@ def test_agrees_with_brute_force(spark, seed, walked):
             assert len(inside) == r["n_descendants"] and all((n, m) in ancestors for m in inside)
 
 
+def test_below_is_what_descendants_has(spark):
+    parents = _forest(4)
+    nodes = links(spark.createDataFrame([(n, p, None, "x", "y", "z") for n, p in parents.items()], SCHEMA))
+    roots = spark.createDataFrame([("n001",), ("n017",), ("n033",), ("n033",), ("absent",), (None,)], "ancestor string")
+    want = {tuple(r) for r in descendants(hierarchy(nodes), roots).collect()}
+    got = [tuple(r) for r in below(nodes, roots).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_long_paths_are_not_walked(spark, monkeypatch):
+    from sessionlake.operators import lineage
+
+    rows = [(f"{i:03d}", f"{i - 1:03d}" if i else None, None, None, None, None) for i in range(40)]
+    plain = sorted(map(str, hierarchy(links(spark.createDataFrame(rows, SCHEMA))).collect()))
+    monkeypatch.setattr(lineage, "WALKED_LINKS", 100)
+    monkeypatch.setattr(lineage, "walk", None)  # would fail if it were called
+    assert sorted(map(str, hierarchy(links(spark.createDataFrame(rows, SCHEMA))).collect())) == plain
+
+
 def test_a_long_chain(spark):
     n = 700
     rows = [(f"{i:05d}", f"{i - 1:05d}" if i else None, None, None, None, None) for i in range(n)]
