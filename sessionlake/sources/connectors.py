@@ -17,7 +17,10 @@ from sessionlake.operators.normalize import content_blocks, event_text
 from sessionlake.sources.files import fingerprint, parse_lines, read_lines, read_sqlite
 
 DROP = "drop"
-EVENT_COLUMNS = ("provider", "path", "fingerprint", "native_session_id", "session_id", "record_no", "discriminator", "kind", "role", "timestamp", "content_text", "tool_call_id", "tool_name", "tool_input", "tool_output", "native_event_id", "parent_event_id", "cwd", "model")
+EVENT_COLUMNS = ("provider", "path", "fingerprint", "native_session_id", "session_id", "record_no", "discriminator", "kind", "role", "timestamp", "content_text", "tool_call_id", "tool_name", "tool_input", "tool_output", "native_event_id", "parent_event_id", "cwd", "model", "calls")
+CALL = "struct<id:string,name:string,input:string,output:string,is_result:boolean>"
+#: Types of content blocks that call a tool, and that bring a result.
+CALL_BLOCKS, RESULT_BLOCKS = ("tool_use", "server_tool_use"), ("tool_result", "web_search_tool_result")
 
 
 def _get(*paths: str) -> Column:
@@ -30,9 +33,38 @@ def _json(*paths: str) -> Column:
     return F.coalesce(*[F.to_json(F.try_variant_get("record", p, "variant")) for p in paths])
 
 
+def _of(item: Column, *paths: str) -> Column:
+    """The first of several JSON paths of a variant that is there: text as it is, anything else as JSON."""
+    return F.coalesce(*[F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.to_json(v)) for v in (F.try_variant_get(item, p, "variant") for p in paths)])
+
+
+def listed_calls(record: Column | str, path: str, name: tuple[str, ...] = ("$.name", "$.function.name"), input_: tuple[str, ...] = ("$.arguments", "$.function.arguments", "$.input", "$.args")) -> Column:
+    """Every call of a list of calls in a record; one without an id is named by its place."""
+    items = F.coalesce(F.try_variant_get(record, path, "array<variant>"), F.array().cast("array<variant>"))
+    place = F.concat(F.lit("call:"), F.coalesce(F.col("record_no").cast("string"), F.lit("")), F.lit(":"))
+    one = lambda x, i: F.struct(F.coalesce(_of(x, "$.id", "$.call_id", "$.tool_call_id"), F.concat(place, i.cast("string"))).alias("id"), _of(x, *name).alias("name"), _of(x, *input_).alias("input"), F.lit(None).cast("string").alias("output"), F.lit(False).alias("is_result"))
+    return F.transform(items, one).cast(f"array<{CALL}>")
+
+
+def block_calls(record: Column | str, path: str, result_id: tuple[str, ...] = ("$.tool_use_id", "$.toolUseID"), output: tuple[str, ...] = ("$.content", "$.run")) -> Column:
+    """Every call and every result among the content blocks of a record, in their order; blocks without an id are none."""
+    items = F.coalesce(F.try_variant_get(record, path, "array<variant>"), F.array().cast("array<variant>"))
+    type_ = lambda x: F.try_variant_get(x, "$.type", "string")
+    is_result = lambda x: type_(x).isin(*RESULT_BLOCKS)
+    one = lambda x: F.struct(
+        F.when(is_result(x), _of(x, *result_id)).otherwise(_of(x, "$.id")).alias("id"), F.when(~is_result(x), _of(x, "$.name")).alias("name"), F.when(~is_result(x), _of(x, "$.input")).alias("input"), F.when(is_result(x), _of(x, *output)).alias("output"), is_result(x).alias("is_result")
+    )
+    calls = F.transform(F.filter(items, lambda x: F.coalesce(type_(x).isin(*CALL_BLOCKS, *RESULT_BLOCKS), F.lit(False))), one)
+    return F.filter(calls, lambda c: c["id"].isNotNull()).cast(f"array<{CALL}>")
+
+
 @dataclass(frozen=True)
 class Connector:
-    """``rules``: kind by discriminator; a kind that begins with ``drop`` names the reason."""
+    """``rules``: kind by discriminator; a kind that begins with ``drop`` names the reason.
+
+    ``call_list`` is the path of a list of calls in a record, ``call_blocks`` that of a list of content blocks
+    some of which are calls and results; every element counts.
+    """
 
     provider: str
     glob: str
@@ -51,6 +83,8 @@ class Connector:
     cwd: tuple[str, ...] = ("$.cwd",)
     model: tuple[str, ...] = ("$.model",)
     roles: dict[str, str] = field(default_factory=dict)
+    call_list: str | None = None
+    call_blocks: str | None = None
 
 
 def _same(kind: str, *names: str) -> dict[str, str]:
@@ -83,12 +117,12 @@ CONNECTORS: dict[str, Connector] = {
         Connector(
             "claude", "*.jsonl", ("$.type",),
             {**_same("message", "user", "assistant"), **_same("system", "system"), **_same("artifact", "attachment", "file-history-snapshot"), **_same("summary", "ai-title", "custom-title", "summary"), **_dropped("file-history-delta", "frame-link", "last-prompt", "mode", "permission-mode", "queue-operation")},
-            session=("$.agentId", "$.sessionId"), role=("$.message.role",), content=("$.message.content", "$.content"), event_id=("$.uuid",), parent_id=("$.parentUuid",), model=("$.message.model",), call_id=("$.message.content[0].tool_use_id", "$.message.content[0].id"), tool_name=("$.message.content[0].name",), tool_input=("$.message.content[0].input",), tool_output=("$.toolUseResult",),
+            session=("$.agentId", "$.sessionId"), role=("$.message.role",), content=("$.message.content", "$.content"), event_id=("$.uuid",), parent_id=("$.parentUuid",), model=("$.message.model",), call_blocks="$.message.content",
         ),
         Connector(
             "grok", "chat_history.jsonl", ("$.type",),
             {**_same("message", "user", "assistant"), **_same("reasoning", "reasoning"), **_same("tool_call", "backend_tool_call"), **_same("tool_result", "tool_result"), **_same("system", "system")},
-            session=(), role=("$.type",), content=("$.content", "$.summary"), tool_name=("$.tool_calls[0].name",), tool_input=("$.tool_calls[0].arguments",), tool_output=("$.content",), call_id=("$.tool_call_id", "$.tool_calls[0].id"),
+            session=(), role=("$.type",), content=("$.content", "$.summary"), tool_output=("$.content",), call_list="$.tool_calls",
         ),
         Connector(
             "kimi", "wire.jsonl", ("$.type", "$.event.type"),
@@ -106,7 +140,7 @@ CONNECTORS: dict[str, Connector] = {
                 **_same("message", "USER_INPUT", "PLANNER_RESPONSE"), **_same("system", "CHECKPOINT", "SYSTEM_MESSAGE"), **_same("lifecycle", "INVOKE_SUBAGENT", "ERROR_MESSAGE"),
                 **_same("tool_call", "VIEW_FILE", "LIST_DIRECTORY", "GENERIC", "CODE_ACTION", "RUN_COMMAND"), **_same("tool_result", "GREP_SEARCH", "FIND", "SEARCH_WEB"), **_dropped("CONVERSATION_HISTORY"),
             },
-            session=(), time=("$.created_at",), content=("$.content", "$.thinking"), event_id=("$.step_index",), tool_name=("$.tool_calls[0].name", "$.type"), tool_input=("$.tool_calls[0].arguments",), roles={"USER_INPUT": "user", "PLANNER_RESPONSE": "assistant"},
+            session=(), time=("$.created_at",), content=("$.content", "$.thinking"), event_id=("$.step_index",), tool_name=("$.type",), call_list="$.tool_calls", roles={"USER_INPUT": "user", "PLANNER_RESPONSE": "assistant"},
         ),
         *(
             Connector(
@@ -146,6 +180,12 @@ def session_id(provider: str, native: Column) -> Column:
     return F.concat(F.lit(f"{provider}:"), wide_hash_column(native))
 
 
+def only_thinking(record: Column | str, path: str) -> Column:
+    """Whether the content of a record is a list of thinking blocks and nothing else."""
+    types = F.transform(F.try_variant_get(record, path, "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.type", "string"), F.lit("")))
+    return F.coalesce((F.size(types) > 0) & F.forall(types, lambda t: t.isin("thinking", "redacted_thinking")), F.lit(False))
+
+
 def classify(records: DataFrame, connector: Connector) -> tuple[DataFrame, DataFrame]:
     """Records as events, and a diagnostic for each that its type drops or that has no rule.
 
@@ -170,12 +210,24 @@ def classify(records: DataFrame, connector: Connector) -> tuple[DataFrame, DataF
     raw = _json(*c.content)
     text = event_text(F.when(~F.startswith(raw, F.lit("[")) & ~F.startswith(raw, F.lit("{")), _get(*c.content)), content_blocks(raw))
     is_call, is_result = F.col("_kind") == "tool_call", F.col("_kind") == "tool_result"
-    tool = is_call | is_result | _get(*c.tool_name).isNotNull()
-    events = kept.withColumn("_native", native).select(
+    tool = is_call | is_result
+    lists = [listed_calls("record", c.call_list)] if c.call_list else [block_calls("record", c.call_blocks)] if c.call_blocks else []
+    own = F.struct(
+        _get(*c.call_id).alias("id"), _get(*c.tool_name).alias("name"), F.when(~is_result, F.coalesce(_get(*c.tool_input), _json(*c.tool_input))).alias("input"), F.when(is_result, F.coalesce(_get(*c.tool_output), _json(*c.tool_output))).alias("output"), is_result.alias("is_result")
+    )
+    single = F.when(tool & _get(*c.call_id).isNotNull(), F.array(own)).otherwise(F.array()).cast(f"array<{CALL}>")
+    calls = F.concat(single, *lists)
+    last = F.try_element_at("calls", F.lit(-1))
+    if c.call_blocks:  # what a message carries says what it is
+        blocks_kind = F.when(F.exists("calls", lambda x: ~x["is_result"]), "tool_call").when(F.size("calls") > 0, "tool_result").when(only_thinking("record", c.call_blocks), "reasoning")
+        refined = F.when(F.col("_kind") == "message", F.coalesce(blocks_kind, F.col("_kind"))).otherwise(F.col("_kind"))
+    else:
+        refined = F.col("_kind")
+    events = kept.withColumns({"_native": native, "calls": calls}).select(
         F.lit(c.provider).alias("provider"), "path", fingerprint(F.col("size"), F.col("modified")).alias("fingerprint"), F.col("_native").alias("native_session_id"), session_id(c.provider, F.col("_native")).alias("session_id"),
-        F.col("record_no").cast("long").alias("record_no"), "discriminator", F.col("_kind").alias("kind"), role.alias("role"), _get(*c.time).alias("timestamp"), text.alias("content_text"),
-        F.when(tool, _get(*c.call_id)).alias("tool_call_id"), F.when(tool, _get(*c.tool_name)).alias("tool_name"), F.when(tool, F.coalesce(_get(*c.tool_input), _json(*c.tool_input))).alias("tool_input"), F.when(is_result, F.coalesce(_get(*c.tool_output), _json(*c.tool_output))).alias("tool_output"),
-        _get(*c.event_id).alias("native_event_id"), _get(*c.parent_id).alias("parent_event_id"), _get(*c.cwd).alias("cwd"), _get(*c.model).alias("model"),
+        F.col("record_no").cast("long").alias("record_no"), "discriminator", refined.alias("kind"), role.alias("role"), _get(*c.time).alias("timestamp"), text.alias("content_text"),
+        last["id"].alias("tool_call_id"), F.coalesce(last["name"], F.when(tool, _get(*c.tool_name))).alias("tool_name"), F.coalesce(last["input"], F.when(is_call, F.coalesce(_get(*c.tool_input), _json(*c.tool_input)))).alias("tool_input"), F.coalesce(last["output"], F.when(is_result, F.coalesce(_get(*c.tool_output), _json(*c.tool_output)))).alias("tool_output"),
+        _get(*c.event_id).alias("native_event_id"), _get(*c.parent_id).alias("parent_event_id"), _get(*c.cwd).alias("cwd"), _get(*c.model).alias("model"), "calls",
     )
     return events, diagnostics
 
@@ -199,16 +251,22 @@ def terminal_responses(events: DataFrame) -> DataFrame:
 
 
 def merged_calls(events: DataFrame) -> DataFrame:
-    """``session_id, tool_call_id, tool_name, tool_input, tool_output, status, first_record``: the carriers of a call as one row."""
-    calls = events.where(F.col("tool_call_id").isNotNull())
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("record_no")))
-    done = F.max((F.col("kind") == "tool_result").cast("int"))
-    return calls.groupBy("session_id", "tool_call_id").agg(
-        F.min_by("tool_name", F.when(F.col("tool_name").isNotNull() & (F.col("kind") != "tool_result"), F.col("record_no"))).alias("tool_name"),
-        first("tool_input").alias("tool_input"),
-        F.max_by("tool_output", F.when(F.col("tool_output").isNotNull(), F.col("record_no"))).alias("tool_output"),
-        F.when(done == 1, "completed").alias("status"),
-        F.min("record_no").alias("first_record"),
+    """``session_id, tool_call_id, tool_name, tool_input, tool_output, status, first_record, started_at, completed_at``: the carriers of a call as one row.
+
+    An event may carry several calls and results; every one counts. Name and input are those of the first call
+    that has them, the output is the last result's.
+    """
+    each = events.select("session_id", "record_no", "timestamp", F.posexplode("calls").alias("_place", "_call")).select("session_id", "timestamp", F.struct("record_no", F.col("_place").alias("place")).alias("_at"), F.col("_call.id").alias("tool_call_id"), "_call.*")
+    first = lambda c, also: F.min_by(c, F.when(F.col(c).isNotNull() & also, F.col("_at")))
+    called, done = ~F.col("is_result"), F.col("is_result")
+    return each.groupBy("session_id", "tool_call_id").agg(
+        first("name", called).alias("tool_name"),
+        first("input", called).alias("tool_input"),
+        F.max_by("output", F.when(F.col("output").isNotNull(), F.col("_at"))).alias("tool_output"),
+        F.when(F.bool_or("is_result"), "completed").otherwise("started").alias("status"),
+        F.min("_at")["record_no"].alias("first_record"),
+        first("timestamp", called).alias("started_at"),
+        F.max_by("timestamp", F.when(done & F.col("timestamp").isNotNull(), F.col("_at"))).alias("completed_at"),
     )
 
 
@@ -228,7 +286,10 @@ def read_opencode(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
         F.when(F.col("kind") == "reasoning", "thinking").when(F.col("kind").isin("tool_result", "tool_call"), "assistant").otherwise(get(message, "$.role")).alias("role"), F.col("time_created").cast("string").alias("timestamp"), get(part, "$.text").alias("content_text"),
         get(part, "$.callID").alias("tool_call_id"), get(part, "$.tool").alias("tool_name"), F.to_json(F.try_variant_get(part, "$.state.input", "variant")).alias("tool_input"), get(part, "$.state.output").alias("tool_output"), "native_event_id", F.col("message_id").alias("parent_event_id"), F.col("directory").alias("cwd"), get(message, "$.modelID").alias("model"),
     )
-    return events, bad.unionByName(large)
+    whole = F.array(*[F.struct(F.col("tool_call_id").alias("id"), F.col("tool_name").alias("name"), F.col("tool_input").alias("input"), output.alias("output"), F.lit(result).alias("is_result")) for output, result in ((F.lit(None).cast("string"), False), (F.col("tool_output"), True))])
+    # a part holds call and result in one
+    held = F.when(F.col("tool_call_id").isNull(), F.array()).when(F.col("kind") == "tool_result", whole).otherwise(F.slice(whole, 1, 1))
+    return events.withColumn("calls", held.cast(f"array<{CALL}>")), bad.unionByName(large)
 
 
 def read_hermes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -241,12 +302,15 @@ def read_hermes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     judged = rows.where(F.col("error").isNull()).withColumn("kind", kind)
     empty = judged.where(F.col("kind").isNull()).select("path", F.lit(0).alias("line_no"), F.concat(F.lit("drop:"), F.coalesce("role", F.lit("unknown"))).alias("name"), F.col("native_event_id").alias("message"))
     place = F.row_number().over(Window.partitionBy("path", "native_session_id").orderBy("timestamp", "native_event_id"))
-    calls = F.try_parse_json("tool_calls")
-    call = lambda p: F.try_variant_get(calls, p, "string")
-    events = judged.where(F.col("kind").isNotNull()).select(
-        F.lit("hermes").alias("provider"), "path", F.lit(None).cast("string").alias("fingerprint"), "native_session_id", session_id("hermes", F.col("native_session_id")).alias("session_id"), place.cast("long").alias("record_no"), F.col("role").alias("discriminator"), "kind", F.when(F.col("kind") == "tool_result", "tool").otherwise(F.col("role")).alias("role"),
-        F.date_format(F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.when(F.col("kind") == "message", F.col("content")).alias("content_text"), F.coalesce("tool_call_id", call("$[0].id")).alias("tool_call_id"), F.coalesce("tool_name", call("$[0].function.name")).alias("tool_name"), call("$[0].function.arguments").alias("tool_input"),
-        F.when(F.col("kind") == "tool_result", F.col("content")).alias("tool_output"), "native_event_id", F.lit(None).cast("string").alias("parent_event_id"), F.lit(None).cast("string").alias("cwd"), "model",
+    own = F.struct(F.col("tool_call_id").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("input"), F.col("content").alias("output"), F.lit(True).alias("is_result"))
+    result = F.when((F.col("kind") == "tool_result") & there("tool_call_id"), F.array(own)).otherwise(F.array()).cast(f"array<{CALL}>")
+    listed = F.when(F.col("kind") == "tool_call", listed_calls(F.try_parse_json("tool_calls"), "$")).otherwise(F.array().cast(f"array<{CALL}>"))
+    last = F.try_element_at("calls", F.lit(-1))
+    placed = judged.where(F.col("kind").isNotNull()).withColumn("record_no", place.cast("long")).withColumn("calls", F.concat(result, listed))
+    events = placed.select(
+        F.lit("hermes").alias("provider"), "path", F.lit(None).cast("string").alias("fingerprint"), "native_session_id", session_id("hermes", F.col("native_session_id")).alias("session_id"), "record_no", F.col("role").alias("discriminator"), "kind", F.when(F.col("kind") == "tool_result", "tool").otherwise(F.col("role")).alias("role"),
+        F.date_format(F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.when(F.col("kind") != "tool_result", F.col("content")).alias("content_text"), F.coalesce("tool_call_id", last["id"]).alias("tool_call_id"), F.coalesce("tool_name", last["name"]).alias("tool_name"), last["input"].alias("tool_input"),
+        F.when(F.col("kind") == "tool_result", F.col("content")).alias("tool_output"), "native_event_id", F.lit(None).cast("string").alias("parent_event_id"), F.lit(None).cast("string").alias("cwd"), "model", "calls",
     )
     return events, bad.unionByName(empty)
 
@@ -322,11 +386,12 @@ def read_threads(spark: SparkSession, root: str, glob: str = "*.json") -> tuple[
     messages = documents.select("path", fingerprint(F.col("size"), F.col("modified")).alias("fingerprint"), thread.alias("native_session_id"), F.posexplode(F.try_variant_get("record", "$.messages", "array<variant>")).alias("_p", "record"))
     content = _json("$.content")
     blocks = content_blocks(content)
-    kind = F.when(F.col("_call").isNotNull(), "tool_call").when(F.col("_result").isNotNull(), "tool_result").otherwise("message")
-    shaped = messages.withColumns({"_call": _get("$.content[0].input", "$.content[0].name"), "_result": _get("$.content[0].toolUseID", "$.content[0].run.status"), "_text": event_text(F.when(~F.startswith(content, F.lit("[")), _get("$.content")), blocks)})
+    shaped = messages.withColumns({"calls": block_calls("record", "$.content"), "_text": event_text(F.when(~F.startswith(content, F.lit("[")), _get("$.content")), blocks)})
+    kind = F.when(F.exists("calls", lambda x: ~x["is_result"]), "tool_call").when(F.size("calls") > 0, "tool_result").otherwise("message")
+    last = F.try_element_at("calls", F.lit(-1))
     events = shaped.select(
         F.lit("amp").alias("provider"), "path", "fingerprint", "native_session_id", session_id("amp", F.col("native_session_id")).alias("session_id"), (F.col("_p") + 1).cast("long").alias("record_no"), _get("$.role").alias("discriminator"), kind.alias("kind"),
-        F.coalesce(_get("$.role"), F.lit("unknown")).alias("role"), _get("$.meta.sentAt", "$.timestamp").alias("timestamp"), F.col("_text").alias("content_text"), _get("$.content[0].id", "$.content[0].toolUseID").alias("tool_call_id"), _get("$.content[0].name").alias("tool_name"), _json("$.content[0].input").alias("tool_input"),
-        _json("$.content[0].run").alias("tool_output"), _get("$.messageId").alias("native_event_id"), F.lit(None).cast("string").alias("parent_event_id"), F.lit(None).cast("string").alias("cwd"), _get("$.usage.model").alias("model"),
+        F.coalesce(_get("$.role"), F.lit("unknown")).alias("role"), _get("$.meta.sentAt", "$.timestamp").alias("timestamp"), F.col("_text").alias("content_text"), last["id"].alias("tool_call_id"), last["name"].alias("tool_name"), last["input"].alias("tool_input"),
+        last["output"].alias("tool_output"), _get("$.messageId").alias("native_event_id"), F.lit(None).cast("string").alias("parent_event_id"), F.lit(None).cast("string").alias("cwd"), _get("$.usage.model").alias("model"), "calls",
     )
     return events, bad

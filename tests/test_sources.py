@@ -161,3 +161,32 @@ def test_mutated_records_cost_themselves_only(spark, tmp_path):
     _write(f"{tmp_path}/rollout-1.jsonl", base + mutants)
     events, problems = C.read_source(spark, "codex", str(tmp_path))
     assert events.where("record_no <= 5").count() == 5 and events.count() + problems.count() == len(base) + len(mutants)
+
+
+def test_every_call_of_a_turn_is_read(spark, tmp_path):
+    use = lambda i, name, **p: {"type": "tool_use", "id": i, "name": name, "input": p}
+    records = [
+        {"uuid": "1", "sessionId": "s", "timestamp": NOW, "type": "user", "message": {"role": "user", "content": "run both"}},
+        {"uuid": "2", "sessionId": "s", "timestamp": NOW, "type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": "Both."}, use("a", "Read", path="/x"), use("b", "Bash", command="ls")]}},
+        {"uuid": "3", "sessionId": "s", "timestamp": NOW, "type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "b", "content": "out b"}, {"type": "tool_result", "tool_use_id": "a", "content": [{"type": "text", "text": "out a"}]}]}},
+        {"uuid": "4", "sessionId": "s", "timestamp": NOW, "type": "assistant", "message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}]}},
+        {"uuid": "5", "sessionId": "s", "type": "assistant", "message": {"role": "assistant", "content": [use("c", "Read", path="/y"), {"type": "tool_use", "name": "no id"}, 7, None]}},
+    ]
+    _write(f"{tmp_path}/p/s.jsonl", records)
+    events, _ = C.read_source(spark, "claude", str(tmp_path))
+    rows = events.orderBy("record_no").collect()
+    assert [r["kind"] for r in rows] == ["message", "tool_call", "tool_result", "reasoning", "tool_call"] and rows[1]["content_text"] == "Both." and rows[1]["role"] == "assistant"
+    calls = {r["tool_call_id"]: r for r in C.merged_calls(events).collect()}
+    assert {i: (r["tool_name"], r["tool_input"], r["tool_output"], r["status"], r["first_record"]) for i, r in calls.items()} == {
+        "a": ("Read", '{"path":"/x"}', '[{"text":"out a","type":"text"}]', "completed", 2),
+        "b": ("Bash", '{"command":"ls"}', "out b", "completed", 2),
+        "c": ("Read", '{"path":"/y"}', None, "started", 5),
+    }
+    assert (calls["a"]["started_at"], calls["a"]["completed_at"], calls["c"]["started_at"]) == (NOW, NOW, None)
+
+
+@pytest.mark.parametrize("provider,path,record", [("grok", "s1/chat_history.jsonl", {"id": "1", "type": "assistant", "content": "a"}), ("antigravity", "s1.jsonl", {"type": "PLANNER_RESPONSE", "content": "a"})])
+def test_every_call_of_a_list_is_read(spark, tmp_path, provider, path, record):
+    _write(f"{tmp_path}/{path}", [{**record, "tool_calls": [{"id": "c", "name": "bash", "arguments": "{}"}, {"name": "read", "arguments": {"p": 1}}, {"id": "d"}]}])
+    calls = C.merged_calls(C.read_source(spark, provider, str(tmp_path))[0]).collect()
+    assert sorted((r["tool_call_id"], r["tool_name"], r["tool_input"]) for r in calls) == [("c", "bash", "{}"), ("call:1:1", "read", '{"p":1}'), ("d", None, None)]
