@@ -8,12 +8,14 @@ the old or the new snapshot.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sessionlake.runtime import Folder
 
 
 class SnapshotError(RuntimeError):
@@ -99,26 +101,24 @@ def to_read(files: DataFrame, manifest: DataFrame, normalization_version: int) -
 class VersionedTables:
     """Parquet tables below a folder, of which a manifest names the current versions.
 
-    One writer at a time: ``begin`` marks the manifest as being written, ``commit`` swaps in the new versions
-    in one rename. The snapshot id changes with every commit.
+    The folder may be on any file system Spark can write. One writer at a time: ``begin`` marks the manifest as
+    being written, ``commit`` swaps in the new versions in one rename. The snapshot id changes with every commit.
+    A table may be kept in buckets of its sessions; then only those are written that a change touches.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.path = os.path.join(folder, "manifest.json")
+    MANIFEST = "manifest.json"
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.files = Folder(spark, self.folder)
 
     def _read(self) -> dict:
-        if not os.path.exists(self.path):
+        if not self.files.has(self.MANIFEST):
             return {"corpus": uuid.uuid4().hex, "revision": 0, "writing": False, "tables": {}}
-        with open(self.path, encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(self.files.read(self.MANIFEST))
 
     def _write(self, manifest: dict) -> None:
-        os.makedirs(self.folder, exist_ok=True)
-        beside = f"{self.path}.{uuid.uuid4().hex}"
-        with open(beside, "w", encoding="utf-8") as f:
-            json.dump(manifest, f)
-        os.replace(beside, self.path)
+        self.files.write(self.MANIFEST, json.dumps(manifest))
 
     def snapshot(self) -> str:
         """The id of the current snapshot; an error while it is being written."""
@@ -133,7 +133,12 @@ class VersionedTables:
             raise SnapshotError("expired")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._read()["tables"][name])
+        """The current version of a table."""
+        held = self._read()["tables"][name]
+        return self.spark.read.parquet(held) if isinstance(held, str) else self._bucketed(held)
+
+    def _bucketed(self, held: dict) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(json.loads(held["schema"]))).parquet(*sorted(held["buckets"].values()))
 
     def has(self, name: str) -> bool:
         return name in self._read()["tables"]
@@ -145,16 +150,57 @@ class VersionedTables:
         self._write({**m, "writing": True})
         return m
 
+    def _place(self, m: dict, name: str) -> str:
+        return f"{self.folder}/{name}-{m['revision'] + 1}-{uuid.uuid4().hex[:8]}"
+
     def commit(self, tables: dict[str, DataFrame]) -> str:
         """Write new versions of ``tables`` and make them current; on failure the old snapshot stays."""
-        m = self.begin()
-        try:
+
+        def write(m: dict) -> dict:
             paths = {}
             for name, df in tables.items():
-                paths[name] = os.path.join(self.folder, f"{name}-{m['revision'] + 1}-{uuid.uuid4().hex[:8]}")
+                paths[name] = self._place(m, name)
                 df.write.parquet(paths[name])
+            return paths
+
+        return self._committed(write)
+
+    def _committed(self, write) -> str:
+        m = self.begin()
+        try:
+            paths = write(m)
         except BaseException:
             self._write(m)
             raise
         self._write({**m, "revision": m["revision"] + 1, "tables": {**m["tables"], **paths}})
         return self.snapshot()
+
+    def replace_sessions(self, name: str, incoming: DataFrame, scope: str = "session_id") -> str | None:
+        """Make ``incoming`` the rows of the sessions it sends; None where it changes nothing.
+
+        The table is kept in buckets by a hash of the session. The buckets of the sessions that changed are
+        read, merged and written; all others stay the files they are.
+        """
+        bucket = F.pmod(F.xxhash64(scope), F.lit(self.buckets)).cast("int")
+        held = self._read()["tables"].get(name) or {"schema": incoming.schema.json(), "buckets": {}}
+        sent = {str(r[0]) for r in incoming.select(bucket).distinct().collect()}  # at most a row for each bucket
+        stored = {b: path for b, path in held["buckets"].items() if b in sent}
+        columns = incoming.columns
+        rows = incoming
+        if stored:
+            old = self._bucketed({**held, "buckets": stored})
+            both = old.join(incoming.select(scope).distinct(), scope, "left_semi").select(*columns)
+            differing = both.withColumn("_n", F.lit(1)).unionByName(incoming.withColumn("_n", F.lit(-1))).groupBy(*columns).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
+            touched = {str(r[0]) for r in differing.select(bucket).distinct().collect()}
+            if not touched:
+                return None
+            merged = apply_diff(old.select(*columns), incoming, [scope])
+            rows = merged.where(bucket.cast("string").isin(*touched))
+            sent = touched
+
+        def write(m: dict) -> dict:
+            path = self._place(m, name)
+            rows.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+            return {name: {**held, "buckets": {**held["buckets"], **{b: f"{path}/_bucket={b}" for b in sent}}}}
+
+        return self._committed(write)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.hashing import message_content_hash, wide_hash_column
 from sessionlake.operators.redaction import redact, redact_value
+from sessionlake.schemas import SESSION_ROLES
 
 BLOCK_TYPE = "array<struct<id:string,sequence:bigint,kind:string,text:string,markdown:string,thinking:string,nativeType:string>>"
 
@@ -40,18 +41,25 @@ def duplicate_ids(rows: DataFrame, id_: str) -> DataFrame:
 
 
 def role_of(native: Column) -> Column:
-    """A session role from a source's own word."""
-    said = F.lower(F.coalesce(native, F.lit("")))
-    out = F.when(said.contains("user") | said.contains("human"), "user").when(said.contains("assistant") | said.contains("agent") | said.contains("model"), "assistant")
-    return out.when(said.contains("developer"), "developer").when(said.contains("system"), "system").when(said.contains("tool") | said.contains("function"), "tool").when(said.contains("think") | said.contains("reason"), "thinking").otherwise("unknown")
+    """A session role from a source's own word: the word itself where it is one, else unknown."""
+    return F.when(native.isin(*(r for r in SESSION_ROLES if r != "unknown")), native).otherwise("unknown")
+
+
+#: Parts of a source's own words, in the order in which they decide, and whole words, by the kind of event they name.
+KIND_PARTS = (("tool_call", ("tool",)), ("reasoning", ("thinking", "reasoning")), ("preamble", ("preamble",)), ("summary", ("summary",)), ("usage", ("token_count",)), ("snapshot", ("snapshot", "diff")), ("lifecycle", ("phase", "turn", "loop")))
+KIND_WORDS = {"compacted": "summary", "usage": "usage", "user": "message", "assistant": "message", "message": "message", "system": "system", "session_meta": "system"}
 
 
 def kind_of(native: Column) -> Column:
     """An event kind from a source's own word."""
-    said = F.lower(F.coalesce(native, F.lit("")))
-    result = said.contains("result") | said.contains("output")
-    out = F.when(said.contains("tool") & result | said.endswith("_call_output"), "tool_result").when(said.contains("tool") | said.contains("function_call"), "tool_call")
-    return out.when(said.contains("reason") | said.contains("think"), "reasoning").when(said.contains("summary") | said.contains("compact"), "summary").when(said.contains("system"), "system").when(said.contains("message") | said.contains("user") | said.contains("assistant"), "message").otherwise("unknown")
+    out = F.when(native.contains("tool") & native.contains("result"), "tool_result")
+    for kind, parts in KIND_PARTS:
+        if kind == "lifecycle":  # the least telling parts come after all whole words
+            for word, of in KIND_WORDS.items():
+                out = out.when(native == word, of)
+        for part in parts:
+            out = out.when(native.contains(part), kind)
+    return out.otherwise("unknown")
 
 
 def message_role(role: Column) -> Column:

@@ -21,6 +21,7 @@ def build_session(app: str = "sessionlake", master: str | None = None, partition
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -80,14 +81,41 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def latest_rows(df: DataFrame, key: str, columns: list[str], version: str = "ingested_at") -> DataFrame:
-    """One row per ``key``: of re-delivered rows the one with the greatest ``version``.
-
-    Expressed as an aggregate, so each map task reduces its repeats before the shuffle and a hot
-    key costs one row a task. Null keys form one group of their own and come out as one row.
-    """
-    from pyspark.sql import functions as F
-
-    kept = [c for c in columns if c != key]
-    newest = F.max_by(F.struct(*[F.col(c) for c in kept]), F.coalesce(F.col(version), F.lit("0001-01-01").cast("timestamp")))
-    return df.groupBy(key).agg(newest.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in kept])
+class Folder:
+    """Small text files below a path of any file system Spark can write, whatever machine the driver is on."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._jvm = spark._jvm
+        self._conf = spark._jsc.hadoopConfiguration()
+        self.root = root.rstrip("/")
+
+    def _path(self, name: str):
+        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self._conf)
+
+    def has(self, name: str) -> bool:
+        path, files = self._path(name)
+        return files.exists(path)
+
+    def read(self, name: str) -> str:
+        path, files = self._path(name)
+        stream = files.open(path)
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Write beside and rename over, so that a reader sees the old text or the new one."""
+        beside, files = self._path(f".{name.replace('/', '-')}.{uuid.uuid4().hex}")
+        path, _ = self._path(name)
+        files.mkdirs(path.getParent())
+        stream = files.create(beside, True)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        modes = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self._jvm.java.lang.reflect.Array.newInstance(modes.OVERWRITE.getClass(), 1)
+        over[0] = modes.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self._conf).rename(files.makeQualified(beside), files.makeQualified(path), over)

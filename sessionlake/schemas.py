@@ -6,7 +6,7 @@ from __future__ import annotations
 PROVIDERS = ("codex", "claude", "opencode", "grok", "hermes", "kimi", "antigravity", "omp", "pi", "prime", "cursor", "devin", "amp")
 MESSAGE_ROLES = ("user", "assistant", "reasoning")
 SESSION_ROLES = ("user", "assistant", "developer", "system", "tool", "thinking", "unknown")
-EVENT_KINDS = ("message", "tool_call", "tool_result", "reasoning", "preamble", "system", "summary", "lifecycle", "artifact", "usage", "queue", "unknown")
+EVENT_KINDS = ("message", "tool_call", "tool_result", "reasoning", "preamble", "system", "summary", "edit", "snapshot", "lifecycle", "usage", "unknown")
 BLOCK_KINDS = ("text", "markdown", "thinking", "image", "file", "json")
 EDGE_KINDS = ("next", "parent", "tool_result_for", "forked_from", "subagent_of", "compacted_into", "artifact_of")
 

@@ -116,7 +116,7 @@ CONNECTORS: dict[str, Connector] = {
         ),
         Connector(
             "claude", "*.jsonl", ("$.type",),
-            {**_same("message", "user", "assistant"), **_same("system", "system"), **_same("artifact", "attachment", "file-history-snapshot"), **_same("summary", "ai-title", "custom-title", "summary"), **_dropped("file-history-delta", "frame-link", "last-prompt", "mode", "permission-mode", "queue-operation")},
+            {**_same("message", "user", "assistant"), **_same("system", "system"), **_same("snapshot", "attachment", "file-history-snapshot"), **_same("summary", "ai-title", "custom-title", "summary"), **_dropped("file-history-delta", "frame-link", "last-prompt", "mode", "permission-mode", "queue-operation")},
             session=("$.agentId", "$.sessionId"), role=("$.message.role",), content=("$.message.content", "$.content"), event_id=("$.uuid",), parent_id=("$.parentUuid",), model=("$.message.model",), call_blocks="$.message.content",
         ),
         Connector(
@@ -278,7 +278,7 @@ def read_opencode(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     large = rows.where(F.col("bytes") >= GARBAGE_BYTES).select("path", F.lit(0).alias("line_no"), F.lit("oversized_part").alias("name"), F.col("native_event_id").alias("message"))
     part, message = F.try_parse_json("part"), F.try_parse_json("message")
     get = lambda v, p: F.try_variant_get(v, p, "string")
-    kind = F.when(get(part, "$.type") == "text", "message").when(get(part, "$.type") == "reasoning", "reasoning").when((get(part, "$.type") == "tool") & get(part, "$.state.status").isin("completed", "error"), "tool_result").when(get(part, "$.type") == "tool", "tool_call").when(get(part, "$.type") == "patch", "artifact")
+    kind = F.when(get(part, "$.type") == "text", "message").when(get(part, "$.type") == "reasoning", "reasoning").when((get(part, "$.type") == "tool") & get(part, "$.state.status").isin("completed", "error"), "tool_result").when(get(part, "$.type") == "tool", "tool_call").when(get(part, "$.type") == "patch", "edit")
     kept = rows.where(F.col("error").isNull() & (F.col("bytes") < GARBAGE_BYTES)).withColumn("kind", kind).where(F.col("kind").isNotNull())
     place = F.row_number().over(Window.partitionBy("path", "native_session_id").orderBy("time_created", "native_event_id"))
     events = kept.select(

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionlake.operators.merge import VersionedTables, apply_diff, diff
+from sessionlake.operators.merge import VersionedTables
 from sessionlake.operators.normalize import first_by_id
+from sessionlake.runtime import checkpoint as checkpointed
 from sessionlake.sources.connectors import CONNECTORS, classify
 from sessionlake.sources.files import parse_lines
 
@@ -25,8 +26,8 @@ def messages_of(events: DataFrame) -> DataFrame:
 def ingest_stream(spark: SparkSession, provider: str, root: str, tables: VersionedTables, checkpoint: str) -> StreamingQuery:
     """Read the files of a source that are new since the checkpoint and merge their sessions.
 
-    Each batch replaces the sessions it has files of; the manifest is swapped once a batch, so a batch that
-    is run again after a failure writes the same. ``availableNow`` ends when the files are done.
+    Each batch replaces the sessions it has files of, and writes only the buckets that have them; the manifest is
+    swapped once a batch, so a batch that is run again after a failure changes nothing. ``availableNow`` ends when the files are done.
     """
     c = CONNECTORS[provider]
     files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", c.glob).load(root)
@@ -35,23 +36,17 @@ def ingest_stream(spark: SparkSession, provider: str, root: str, tables: Version
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         lines = batch.select("path", "size", "modified", F.posexplode(F.split("value", "\r\n|\n")).alias("_p", "line")).where(F.trim("line") != "").withColumn("line_no", F.col("_p") + 1).drop("_p")
         good, _ = parse_lines(lines)
-        incoming = messages_of(classify(good, c)[0])
-        if tables.has("messages"):
-            stored = tables.read("messages")
-            changed = diff(stored, incoming, ["session_id", "event_id"], ["session_id"], list(MESSAGES)).where(F.col("change") != "unchanged")
-            if changed.isEmpty():
-                return
-            incoming = apply_diff(stored, incoming, ["session_id"])
-        tables.commit({"messages": incoming})
+        incoming = checkpointed(messages_of(classify(good, c)[0]))
+        tables.replace_sessions("messages", incoming)
 
     return named.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_counts(spark: SparkSession, base: str, checkpoint: str, out: str) -> DataFrame:
-    """Events by type and hour, counted by a stream over the events table, with late ones accepted for a day.
+    """Events by type and hour, counted by a stream that ends with its input.
 
-    A stream that ends with its input is run to the end; the counts are those of all closed hours and, by a
-    final batch over the rest, of the open ones too, so the result is that of the whole table.
+    The whole table of counts is kept and written with each batch, so no event is too late for its hour and
+    the result is that of the whole input; its size is that of the hours and types, not of the events.
     """
     schema = spark.read.parquet(f"{base}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(base)

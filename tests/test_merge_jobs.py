@@ -47,6 +47,20 @@ def test_versioned_tables(spark, tmp_path):
         tables.snapshot()
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    tables = merge.VersionedTables(spark, f"file://{tmp_path}/store", buckets=8)
+    rows = [(f"s{i}", i, "a") for i in range(40)]
+    schema = "session_id string, seq int, text string"
+    first = tables.replace_sessions("m", spark.createDataFrame(rows, schema))
+    before = tables._read()["tables"]["m"]["buckets"]
+    assert tables.snapshot() == first and sorted(tuple(r) for r in tables.read("m").collect()) == sorted(rows)
+    assert tables.replace_sessions("m", spark.createDataFrame(rows[:3], schema)) is None and tables.snapshot() == first
+    tables.replace_sessions("m", spark.createDataFrame([("s7", 0, "b"), ("s7", 1, "c"), ("s3", 3, "a")], schema))
+    after = tables._read()["tables"]["m"]["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert sorted(tuple(r) for r in tables.read("m").collect()) == sorted([*[r for r in rows if r[0] != "s7"], ("s7", 0, "b"), ("s7", 1, "c")])
+
+
 def test_ingest_decisions(spark):
     schema = "session_id string, source_fingerprint string, normalization_version int"
     stored = spark.createDataFrame([("a", "f", 2), ("b", "f", 1)], schema)
