@@ -41,6 +41,21 @@ def diff(stored: DataFrame, incoming: DataFrame, keys: list[str], scope: list[st
     return old.join(new, on, "full_outer").select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys], change.alias("change"))
 
 
+#: What tells the rows of a fact table apart, and the columns whose change is an update.
+FACTS = {
+    "session_events": ("sequence", "fact_hash"),
+    "usage_records": ("order_index", "fact_hash"),
+    "session_edges": ("order_index", "fact_hash"),
+    "session_artifacts": ("order_index", "fact_hash"),
+    "execution_contexts": ("sequence", "fact_hash"),
+}
+
+
+def diff_facts(name: str, stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``session_id, id, change`` of one of the five fact tables; a fact is changed where its place or its hash is."""
+    return diff(stored, incoming, ["session_id", "id"], ["session_id"], list(FACTS[name]))
+
+
 def apply_diff(stored: DataFrame, incoming: DataFrame, scope: list[str]) -> DataFrame:
     """The table after ``incoming`` has replaced the rows of the scopes it sends."""
     return stored.join(incoming.select(*scope).distinct(), scope, "left_anti").unionByName(incoming, allowMissingColumns=True)

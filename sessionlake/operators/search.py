@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import zlib
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.hashing import project_scope_token
 from sessionlake.functions.text import query_terms, terms
 from sessionlake.functions.vectors import dot, norm, query_vector
 from sessionlake.operators.store import Store, searchable
+from sessionlake.runtime import Folder, table
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -55,9 +62,8 @@ def lexical_search(docs: DataFrame, text: str, limit: int = 20, offset: int = 0,
     """``key, session_id, seq, rank, score``: messages with every term of ``text``, ranked by BM25, ties by key.
 
     The score is one over the rank. ``scoped`` names scope tokens that take part in the match and the
-    ranking; ``where`` only filters. A query without terms has no results. The frequencies of the few query
-    terms are counted in each row without exploding its text: one scan for the statistics, one for the
-    ranking, and no shuffle of texts.
+    ranking; ``where`` only filters. A query without terms has no results. This reads all of ``docs``, twice,
+    and is for tables without a stored index.
     """
     wanted = list(dict.fromkeys([*query_terms(text), *(scoped or {}).values()]))
     frequency = {t: _occurrences(t) for t in wanted}
@@ -80,6 +86,119 @@ def lexical_search(docs: DataFrame, text: str, limit: int = 20, offset: int = 0,
     return ranked.select("key", "session_id", "seq", "rank", (F.lit(1.0) / F.col("rank")).alias("score"))
 
 
+class LexicalIndex:
+    """The inverted index as stored: postings in buckets of a hash of the term, sorted by term, and what the ranking needs to know of all messages.
+
+    Re-deliveries and roles that search does not see are gone when it is built. A search reads the buckets of
+    its few terms, of which the sorted files let it skip what other terms have. Beside the postings each message
+    has a row of its length under the empty term.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.files = Folder(spark, folder)
+
+    @classmethod
+    def of(cls, store: Store, shared: str) -> LexicalIndex:
+        """The index of the store's messages in their present state, below the ``shared`` folder."""
+        state = hashlib.sha256(f"{store.base}\n{Folder(store.spark, store.base).stamp('messages.parquet')}".encode()).hexdigest()[:16]
+        index = cls(store.spark, f"{shared}/lexical-{state}")
+        if not index.files.has("stats.json"):
+            index.build(documents(store))
+        return index
+
+    def build(self, docs: DataFrame) -> None:
+        """Write the postings of ``docs`` and then the statistics, whose file says that the index is whole."""
+        about = ["key", "session_id", "seq", "role", "project_key", "provider"]
+        each = docs.select(*about, F.size("terms").alias("length"), F.explode(F.array_append("terms", F.lit(""))).alias("term"))
+        found = each.groupBy("term", *about, "length").agg(F.count("*").cast("int").alias("tf"))
+        bucket = (F.crc32(F.encode("term", "UTF-8")) % self.BUCKETS).cast("int")
+        # the empty term is that of all messages, so its rows are dealt out; a frequent term's are cut by the size of its files
+        spread = F.when(F.col("term") == "", F.pmod(F.xxhash64("key"), F.lit(self.BUCKETS)).cast("int")).otherwise(bucket)
+        rows = found.withColumn("_bucket", spread).withColumn("is_length", F.col("term") == "")
+        rows.repartition("_bucket", F.pmod(F.xxhash64("key"), F.lit(2))).sortWithinPartitions("_bucket", "term").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/postings")
+        total = self.postings().where("is_length").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+        self.files.write("stats.json", json.dumps({"n": total["n"], "mean": total["mean"]}))
+
+    def _bucket_of(self, term: str) -> int:
+        return zlib.crc32(term.encode("utf-8")) % self.BUCKETS
+
+    def postings(self, buckets: set[int] | None = None) -> DataFrame:
+        """``term, key, session_id, seq, role, project_key, provider, length, tf, is_length``, of all buckets or only some."""
+        schema = "term string, key string, session_id string, seq bigint, role string, project_key string, provider string, length int, tf int, is_length boolean"
+        reader = self.spark.read.schema(schema)
+        if buckets is None:
+            return reader.parquet(f"{self.folder}/postings")
+        held = [f"postings/_bucket={b}" for b in sorted(buckets) if self.files.has(f"postings/_bucket={b}")]
+        return reader.parquet(*[f"{self.folder}/{h}" for h in held]) if held else self.spark.createDataFrame([], schema)
+
+    def search(self, text: str, limit: int = 20, offset: int = 0, where: Column | None = None, scoped: dict[str, str] | None = None) -> DataFrame:
+        """What ``lexical_search`` gives, from the postings of the terms."""
+        wanted = list(dict.fromkeys([*query_terms(text), *(scoped or {}).values()]))
+        if not query_terms(text):
+            return self.postings().limit(0).select("key", "session_id", "seq", F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("score"))
+        rows = self.postings({self._bucket_of(t) for t in wanted}).where(F.col("term").isin(*wanted))
+        stats = json.loads(self.files.read("stats.json"))
+        held = {r["term"]: r["count"] for r in rows.groupBy("term").count().collect()}
+        total, mean = stats["n"], stats["mean"] or 1.0
+        about = ["key", "session_id", "seq", "length"]
+        matched = (rows if where is None else rows.where(where)).groupBy(*about).agg(*[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"_tf{i}") for i, t in enumerate(wanted)])
+        score: Column = F.lit(0.0)
+        for i, t in enumerate(wanted):
+            df = held.get(t, 0)
+            tf = F.col(f"_tf{i}")
+            idf = max(LEAST_IDF, math.log((total - df + 0.5) / (df + 0.5))) if total else LEAST_IDF
+            score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+        page = matched.where(F.forall(F.array(*[f"_tf{i}" for i in range(len(wanted))]), lambda x: x.isNotNull())).withColumn("_bm25", F.round(score, 9)).orderBy(F.desc("_bm25"), "key").limit(offset + limit)
+        ranked = page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_bm25"), "key")).cast("long")).where(F.col("rank") > offset)
+        return ranked.select("key", "session_id", "seq", "rank", (F.lit(1.0) / F.col("rank")).alias("score"))
+
+
+def similarities(rows: DataFrame, kept: list[str], vector: str, query: list[float], dimensions: int) -> DataFrame:
+    """``kept`` and ``score`` of the rows whose vector has a finite cosine to ``query``: a matrix product for each Arrow batch; 0 for the zero vector."""
+    asked = np.asarray(query_vector(query, dimensions), dtype=np.float64)
+    unit = asked / np.sqrt((asked * asked).sum())
+
+    def run(batches):
+        for batch in batches:
+            whole = batch.filter(pc.equal(pc.list_value_length(batch.column(batch.schema.get_field_index(vector))), dimensions))
+            if not whole.num_rows:
+                continue
+            grid = whole.column(whole.schema.get_field_index(vector)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
+            with np.errstate(all="ignore"):
+                size = np.sqrt((grid * grid).sum(axis=1))
+                score = np.where(size == 0, 0.0, grid @ unit / np.where(size == 0, 1.0, size))
+            good = pa.array(np.isfinite(score) & (np.abs(score) <= 1.01))
+            yield pa.RecordBatch.from_arrays([*[whole.column(whole.schema.get_field_index(c)) for c in kept], pa.array(score)], names=[*kept, "score"]).filter(good)
+
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, vector).mapInArrow(run, f"{fields}, score double")
+
+
+def semantic_search(store: Store, model: str, query: list[float], limit: int = 20, offset: int = 0, where: Column | None = None, dimensions: int = 64) -> DataFrame:
+    """What ``vector_search`` gives over the live vectors of a model, measured where they are read: no vector is shuffled, only its similarity."""
+    about = ["vec_rowid", "session_id", "seq", "role", "content_hash"]
+    rows = table(store.spark, store.base, "message_vectors").where(F.col("model") == model)
+    scored = similarities(rows if where is None else rows.where(where), about, "vector", query, dimensions)
+    schema = "vec_rowid bigint, session_id string, seq bigint, role string, content_hash string, score double"
+    need = offset + limit
+    most = 2 * need + 16
+    while True:
+        # a page of the best, of which stale ones and re-deliveries fall out; were there too few left, a longer one
+        best = scored.orderBy(F.desc("score"), "session_id", "seq", "vec_rowid").limit(most).collect()
+        front = store.spark.createDataFrame(list({r["vec_rowid"]: tuple(r) for r in best}.values()), schema)
+        messages = table(store.spark, store.base, "messages").where(searchable()).select("session_id", "seq", "role", "content_hash", "event_id")
+        live = messages.join(F.broadcast(front), ["session_id", "seq", "role", "content_hash"]).select(F.coalesce("event_id", F.concat_ws(":", "session_id", F.col("seq").cast("string"))).alias("key"), "session_id", "seq", "score", "vec_rowid").distinct().collect()
+        if len(best) < most or len(live) >= need:
+            break
+        most *= 4
+    order = sorted(((-r["score"], r["session_id"], r["seq"], r["key"]) for r in live))[offset:need]
+    page = [(key, session, seq, offset + i, -score) for i, (score, session, seq, key) in enumerate(order, 1)]
+    return store.spark.createDataFrame(page, "key string, session_id string, seq bigint, rank bigint, score double")
+
+
 def live_vectors(store: Store, model: str) -> DataFrame:
     """``key, session_id, seq, role, project_key, provider, vector`` of a model's vectors whose message still says the same."""
     vectors = store.rows("message_vectors", "session_id", "seq", "role", "content_hash", "project_key", "provider", "vector", where=F.col("model") == model)

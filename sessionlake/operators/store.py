@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions.text import parsed_timestamp
-from sessionlake.runtime import table
+from sessionlake.runtime import Folder, table
 from sessionlake.schemas import MESSAGE_ROLES
 
-KEYS = {"projects": ["project_key"], "sessions": ["session_id"], "messages": ["session_id", "event_id", "seq"], "tool_calls": ["id"], "message_vectors": ["vec_rowid"], "search_matches": ["search_id", "match_key"], "lineage_requests": ["request_id"]}
+KEYS = {"projects": ["project_key"], "sessions": ["session_id"], "messages": ["session_id", "event_id", "seq"], "tool_calls": ["id"], "message_vectors": ["vec_rowid"], "session_events": ["session_id", "id"], "usage_records": ["session_id", "id"], "session_edges": ["session_id", "id"], "session_artifacts": ["session_id", "id"], "execution_contexts": ["session_id", "id"], "search_matches": ["search_id", "match_key"], "lineage_requests": ["request_id"]}
 
 
 class Store:
@@ -38,6 +38,10 @@ class Store:
         wanted = list(dict.fromkeys([*keys, *named])) if columns else [c for c in df.columns if c != "ingested_at"]
         return df.select(*wanted, *[c for c in columns if not isinstance(c, str)]).dropDuplicates(keys)
 
+    def has(self, name: str) -> bool:
+        """Whether the table is here."""
+        return Folder(self.spark, self.base).has(f"{name}.parquet")
+
     def texts(self, name: str, keys_of: DataFrame, *columns: str) -> DataFrame:
         """``keys_of``, a page of rows with the table's keys, with ``columns`` of the table.
 

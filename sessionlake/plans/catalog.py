@@ -298,16 +298,28 @@ def _bm25_sql(words: list[str], limit: int, where: str = "true") -> str:
     SELECT key, session_id, seq, rank, 1.0::double / rank AS score FROM r WHERE rank <= {limit}"""
 
 
+def _index(spark: SparkSession, base: str) -> search.LexicalIndex:
+    """The stored index of the messages as they are now; built where there is none yet."""
+    return search.LexicalIndex.of(Store(spark, base), shared_folder(spark))
+
+
+@query(f"WITH {_DOCS}, st AS (SELECT count(*) AS n_messages, sum(len)::bigint AS n_occurrences FROM doc) SELECT * FROM st")
+def lexical_index(spark: SparkSession, base: str) -> DataFrame:
+    """How many messages and occurrences of terms the stored index holds, scope tokens included."""
+    index = _index(spark, base)
+    return index.postings().where(F.col("is_length")).agg(F.count("*").alias("n_messages"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_occurrences"))
+
+
 @query(_bm25_sql(["merge", "planner"], 50))
 def lexical_search(spark: SparkSession, base: str) -> DataFrame:
     """The first messages by BM25 with both words."""
-    return search.lexical_search(search.documents(Store(spark, base)), "Merge planner", limit=50)
+    return _index(spark, base).search("Merge planner", limit=50)
 
 
 @query(_bm25_sql(["lineage"], 30, "role = 'user'"))
 def lexical_search_filtered(spark: SparkSession, base: str) -> DataFrame:
     """The first user messages by BM25."""
-    return search.lexical_search(search.documents(Store(spark, base)), "lineage", limit=30, where=F.col("role") == "user")
+    return _index(spark, base).search("lineage", limit=30, where=F.col("role") == "user")
 
 
 _ASKED = [((i * 37) % 17 - 8) / 8 for i in range(64)]
@@ -322,13 +334,13 @@ def _cosine_sql(limit: int, where: str = "true") -> str:
 @query(_cosine_sql(25))
 def vector_search(spark: SparkSession, base: str) -> DataFrame:
     """The live vectors most similar to a given one."""
-    return search.vector_search(search.live_vectors(Store(spark, base), _MODEL), _ASKED, limit=25).withColumn("score", F.round("score", 6))
+    return search.semantic_search(Store(spark, base), _MODEL, _ASKED, limit=25).withColumn("score", F.round("score", 6))
 
 
 @query(_cosine_sql(25, "role = 'assistant'"))
 def vector_search_filtered(spark: SparkSession, base: str) -> DataFrame:
     """The live vectors of assistant messages most similar to a given one."""
-    return search.vector_search(search.live_vectors(Store(spark, base), _MODEL), _ASKED, limit=25, where=F.col("role") == "assistant").withColumn("score", F.round("score", 6))
+    return search.semantic_search(Store(spark, base), _MODEL, _ASKED, limit=25, where=F.col("role") == "assistant").withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -339,16 +351,15 @@ def fused_search(spark: SparkSession, base: str) -> DataFrame:
     """Reciprocal-rank fusion of both searches."""
     shop = Store(spark, base)
     depth = search.candidates(20, 0)
-    lexical = search.lexical_search(search.documents(shop), "merge planner", limit=depth)
-    semantic = search.vector_search(search.live_vectors(shop, _MODEL), _ASKED, limit=depth)
-    return search.fuse(lexical, semantic, limit=20).withColumn("score", F.round("score", 9))
+    return search.fuse(_index(spark, base).search("merge planner", limit=depth), search.semantic_search(shop, _MODEL, _ASKED, limit=depth), limit=20).withColumn("score", F.round("score", 9))
 
 
 @query()
 def fused_rows(spark: SparkSession, base: str) -> DataFrame:
     """A fused page with its messages: excerpts of at most 2,000 bytes and the places of the terms."""
     shop = Store(spark, base)
-    hits = search.fuse(search.lexical_search(search.documents(shop), "merge planner", limit=50), None, limit=20)
+    depth = search.candidates(20, 0)
+    hits = search.fuse(_index(spark, base).search("merge planner", limit=depth), search.semantic_search(shop, _MODEL, _ASKED, limit=depth), limit=20)
     rows = search.hydrate(hits, shop)
     return rows.select("key", "rank", "score", text.utf8_prefix(F.col("text"), 2000).alias("text"), (F.octet_length("text") > 2000).alias("text_truncated"), F.octet_length("text").alias("text_bytes"), text.highlight_ranges(F.col("text"), "merge planner").alias("ranges"))
 
@@ -376,15 +387,8 @@ def indexed_terms(spark: SparkSession, base: str) -> DataFrame:
     return search.documents(Store(spark, base)).groupBy("role").agg(F.sum(F.size("terms") - 3).alias("n_terms"))
 
 
-@query(f"WITH {_DOCS} SELECT unnest(ts) AS term, count(*) AS tf, count(DISTINCT key) AS df FROM doc GROUP BY 1 HAVING regexp_matches(term, '^[a-z]{{4,}}$') AND df >= 20")
-def index_terms(spark: SparkSession, base: str) -> DataFrame:
-    """Occurrences and messages of the frequent terms of the inverted index."""
-    index = search.postings(search.documents(Store(spark, base)).withColumn("terms", F.slice("terms", 4, F.greatest(F.size("terms") - 3, F.lit(0)))))
-    return index.where(F.col("term").rlike("^[a-z]{4,}$")).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= 20)
-
-
 @query()
-def index_terms_all(spark: SparkSession, base: str) -> DataFrame:
+def index_terms(spark: SparkSession, base: str) -> DataFrame:
     """Occurrences and messages of every term of the inverted index, whatever its script, length and frequency."""
     ordered = search.documents(Store(spark, base)).select(F.sort_array(F.slice("terms", 4, F.greatest(F.size("terms") - 3, F.lit(0)))).alias("term"))
     # beside the one before it a term shows whether it is the message's first of its kind, so partial counts are made before the shuffle
@@ -410,20 +414,17 @@ def message_hashes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _redact_sql(column: str) -> str:
-    for pattern, replacement in redaction._steps()[:-1]:
+    # RE2 has no lookahead: an assignment is either followed by white space or by a value that does not begin with the sign
+    name, value = redaction.ASSIGNMENT.removeprefix("(?i)\\b(").split("=(?!=)")[0], redaction.ASSIGNMENT.rsplit("(", 1)[1].removesuffix(")")
+    first = value.replace("[^", "[^=").removesuffix("+")
+    assignment = (f"(?i)\\b(?:({name}=\\s+){value}|({name}=){first}{value.removesuffix('+')}*)", f"$1$2{redaction.REDACTED}")
+    for pattern, replacement in [*redaction._steps()[:-1], assignment]:
         column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{re.sub(r'[$](.)', lambda m: chr(92) + m[1], replacement)}', 'g')"
     return column
 
 
-@query(f"WITH {_T} SELECT id, {_redact_sql('input_text')} AS input_text FROM t WHERE NOT regexp_matches(input_text, '(?i)(PASSWORD|PASSWD|SECRET|TOKEN|API_KEY|ACCESS_KEY|PRIVATE_KEY|DATABASE_URL)[A-Z0-9_]*\\s*=')")
+@query(f"WITH {_T} SELECT id, {_redact_sql('input_text')} AS input_text FROM t")
 def redacted_inputs(spark: SparkSession, base: str) -> DataFrame:
-    """Redacted tool inputs without assignments; RE2 has no lookahead for that rule, which tests cover instead."""
-    rows = Store(spark, base).rows("tool_calls", "input_text").where(~F.col("input_text").rlike(r"(?i)(PASSWORD|PASSWD|SECRET|TOKEN|API_KEY|ACCESS_KEY|PRIVATE_KEY|DATABASE_URL)[A-Z0-9_]*\s*="))
-    return rows.select("id", redaction.redact(F.col("input_text")).alias("input_text"))
-
-
-@query()
-def redacted_inputs_all(spark: SparkSession, base: str) -> DataFrame:
     """Every redacted tool input, those with assignments and null ones included."""
     rows = Store(spark, base).rows("tool_calls", "input_text")
     return rows.select("id", redaction.redact(F.col("input_text")).alias("input_text"))
@@ -448,10 +449,10 @@ def session_diff(spark: SparkSession, base: str) -> DataFrame:
     return merge.diff(old, new, ["session_id", "event_id"], ["session_id"], ["seq", "role", "content_hash"]).select("event_id", "change")
 
 
-@query("WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, greatest(ceil(length(text) / 1000.0), 1)::bigint AS n_chunks, length(text)::bigint AS n_chars FROM d")
+@query("WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, greatest(ceil(length(text) / 12000.0), 1)::bigint AS n_chunks, length(text)::bigint AS n_chars FROM d")
 def document_chunks(spark: SparkSession, base: str) -> DataFrame:
     """How the documents are cut for embedding."""
-    cut = jobs.chunks(table(spark, base, "documents"), ["doc_id"], "text", 1000)
+    cut = jobs.chunks(table(spark, base, "documents"), ["doc_id"], "text")
     return cut.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"))
 
 
@@ -502,10 +503,20 @@ def trajectory_losses(spark: SparkSession, base: str) -> DataFrame:
     return _trajectory(spark, base, reasoning=False, most_bytes=1000)[1].select("session_id", "kind", "source_kind", "source_id", "reason")
 
 
-@query()
+@query(
+    f"""WITH {_EVENTS}, p AS (SELECT session_id, min((pos, id)) AS first, ascii(right(session_id, 1)) % 4 AS x FROM pl GROUP BY 1),
+  n AS (SELECT session_id, ascii(right(session_id, 1)) % 4 AS x FROM s)
+SELECT session_id, 'no_session_record' AS fault FROM n WHERE x = 1 AND (session_id IN (SELECT session_id FROM sp WHERE said IS NOT NULL AND role IN ('user', 'assistant', 'thinking', 'developer', 'system')) OR session_id IN (SELECT session_id FROM pl))
+UNION SELECT session_id, 'numbering' FROM n WHERE x = 1 AND (session_id IN (SELECT session_id FROM sp WHERE said IS NOT NULL AND role IN ('user', 'assistant', 'thinking', 'developer', 'system')) OR session_id IN (SELECT session_id FROM pl))
+UNION SELECT session_id, 'result_without_call' FROM pl WHERE ascii(right(session_id, 1)) % 4 = 2 AND (coalesce(output_text, '') <> '' OR completed_at IS NOT NULL)"""
+)
 def trajectory_faults(spark: SparkSession, base: str) -> DataFrame:
-    """Sessions whose trajectory breaks a rule."""
-    return trajectory.trajectory_faults(_trajectory(spark, base)[0])
+    """Sessions whose trajectory breaks a rule, after faults were planted: session records taken from a quarter of the sessions, calls renamed in another."""
+    records = _trajectory(spark, base)[0]
+    planted = F.ascii(F.right("session_id", F.lit(1))) % 4
+    kept = records.where((planted != 1) | ~F.col("category").eqNullSafe(F.lit("session")))
+    renamed = F.when((planted == 2) & (F.col("role") == "tool_call"), F.concat("tool_call_id", F.lit("?"))).otherwise(F.col("tool_call_id"))
+    return trajectory.trajectory_faults(kept.withColumn("tool_call_id", renamed))
 
 
 @query()
@@ -521,25 +532,11 @@ def atif_steps(spark: SparkSession, base: str) -> DataFrame:
     return trajectory.atif_steps(_trajectory(spark, base)[0])
 
 
-@query(
-    f"""WITH {_M}, e AS (SELECT session_id, event_id AS id, seq, model, model_provider FROM m), c AS (SELECT session_id, seq, model, model_provider FROM e WHERE seq % 3 = 0)
-SELECT e.session_id, e.id, (SELECT c.model FROM c WHERE c.session_id = e.session_id AND c.seq <= e.seq AND c.model IS NOT NULL ORDER BY c.seq DESC LIMIT 1) AS model,
-  (SELECT c.model_provider FROM c WHERE c.session_id = e.session_id AND c.seq <= e.seq AND c.model_provider IS NOT NULL ORDER BY c.seq DESC LIMIT 1) AS model_provider FROM e
-WHERE (e.session_id, e.seq) NOT IN (SELECT (session_id, seq) FROM e GROUP BY session_id, seq HAVING count(*) > 1)"""
-)
-def context_forward_fill(spark: SparkSession, base: str) -> DataFrame:
-    """The model in force at each message, when only every third one says it; messages that share a seq are left out."""
-    rows = Store(spark, base).rows("messages", "seq", "model", "model_provider")
-    events = rows.select("session_id", F.col("event_id").alias("id"), F.col("seq").alias("sequence"), F.lit(None).cast("string").alias("native_event_id"))
-    said = rows.where(F.col("seq") % 3 == 0).select("session_id", F.concat(F.lit("c"), "event_id").alias("id"), F.col("seq").alias("sequence"), F.lit("session").alias("scope"), F.lit(None).cast("string").alias("turn_id"), "model", "model_provider", F.lit(None).cast("string").alias("reasoning_effort"))
-    usage = rows.limit(0).select("session_id", "event_id", "model", "model_provider", F.lit(0).alias("order_index"))
-    once = rows.groupBy("session_id", "seq").count().where(F.col("count") == 1)
-    kept = rows.join(once, ["session_id", "seq"]).select("session_id", F.col("event_id").alias("id"))
-    return normalize.event_context(events, said, usage).join(kept, ["session_id", "id"], "left_semi").select("session_id", "id", "model", "model_provider")
+_LAST_SAID = "coalesce(m.{0}, (max(struct_pack(s := seq, i := event_id, v := m.{0})) FILTER (m.{0} IS NOT NULL) OVER (PARTITION BY session_id ORDER BY seq)).v)"
 
 
-@query()
-def context_forward_fill_all(spark: SparkSession, base: str) -> DataFrame:
+@query(f"WITH {_M} SELECT session_id, event_id AS id, {_LAST_SAID.format('model')} AS model, {_LAST_SAID.format('model_provider')} AS model_provider FROM m")
+def context_forward_fill(spark: SparkSession, base: str) -> DataFrame:
     """The model in force at each message: its own, else the last one said up to its seq; of messages that share a seq the greater id counts as later."""
     rows = Store(spark, base).rows("messages", "seq", "model", "model_provider")
     events = rows.select("session_id", F.col("event_id").alias("id"), F.col("seq").alias("sequence"), F.lit(None).cast("string").alias("native_event_id"))
@@ -622,3 +619,6 @@ def store_audit(spark: SparkSession, base: str) -> DataFrame:
 def hash_sample(spark: SparkSession, base: str) -> DataFrame:
     """A hundred messages by the order of a hash; sampling is the feature."""
     return validate.sample_by_hash(Store(spark, base).rows("messages", "seq"), "event_id", 100)
+
+
+from sessionlake.plans import sourced, writes  # noqa: E402, F401  (they register their queries)

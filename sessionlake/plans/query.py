@@ -7,6 +7,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field, fields, replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from sessionlake.functions.text import parsed_timestamp
 from sessionlake.operators.lineage import below, links
 from sessionlake.operators.store import Store
 from sessionlake.runtime import table
-from sessionlake.schemas import MESSAGE_ROLES, PROVIDERS
+from sessionlake.schemas import MESSAGE_ROLES, PROVIDERS, TABLES
 
 DEFAULT_LIMIT, MOST_ROWS, MOST_FIELDS = 100, 200, 32
 
@@ -250,16 +251,65 @@ def resume(query: Query, text: str, snapshot: str) -> Query:
     return replace(query, after=tuple(said["after"])) if said.get("after") else replace(query, offset=int(said["offset"]))
 
 
-def session_detail(store: Store, session_id: str, limit: int = 100, offset: int = 0) -> dict[str, DataFrame]:
-    """The sections of one session, each with its page and the count of all its rows.
+def enrichment_page(
+    enrichments: DataFrame, sessions: DataFrame, project_key: str | None = None, session_id: str | None = None, namespace: str | None = None, producer: str | None = None, input_hash: str | None = None, after: tuple[str, str] | None = None, limit: int = 100
+) -> DataFrame:
+    """Enrichments of sessions that are here, by session and namespace: a page after the key ``after``, and the row after it."""
+    if not 1 <= limit <= MOST_ROWS:
+        raise QueryError(f"limit must be from 1 to {MOST_ROWS}")
+    own = _all(_equal([("session_id", session_id), ("namespace", namespace), ("producer", producer), ("input_hash", input_hash)]))
+    rows = enrichments if own is None else enrichments.where(own)
+    if after is not None:
+        rows = rows.where((F.col("session_id") > after[0]) | ((F.col("session_id") == after[0]) & (F.col("namespace") > after[1])))
+    here = sessions.select("session_id", "project_key")
+    joined = rows.join(here if project_key is None else here.where(F.col("project_key") == project_key), "session_id")
+    return joined.orderBy("session_id", "namespace").limit(limit + 1)
+
+
+#: The sections of a session, with the order of their rows and the column that names one.
+SECTIONS: dict[str, tuple[tuple[str, ...], str]] = {
+    "messages": (("seq", "event_id"), "event_id"),
+    "tool_calls": (("seq", "id"), "id"),
+    "session_events": (("sequence", "id"), "id"),
+    "usage_records": (("order_index", "id"), "id"),
+    "session_edges": (("order_index", "id"), "id"),
+    "session_artifacts": (("order_index", "id"), "id"),
+    "execution_contexts": (("sequence", "id"), "id"),
+}
+
 
-    The page is numbered within the session, whose rows alone are read.
+def session_detail(store: Store, session_id: str, limit: int = 100, offset: int = 0, pages: dict[str, tuple[int, int]] | None = None) -> dict[str, DataFrame]:
+    """A session and its seven sections, each with its own page (``pages``: limit and offset by section) and the count of all its rows.
+
+    The page is numbered within the session, whose rows alone are read. A table that is not here has no rows.
     """
     from pyspark.sql import Window
 
-    out = {"session": store.rows("sessions", *_SESSION_COLUMNS, where=F.col("session_id") == session_id)}
-    for name, order in (("messages", ["seq", "event_id"]), ("tool_calls", ["seq", "id"]), ("message_vectors", ["model", "seq"])):
-        rows = store.rows(name, where=F.col("session_id") == session_id)
-        counted = rows.withColumn("total", F.count("*").over(Window.partitionBy("session_id"))).orderBy(*order).offset(offset).limit(limit)
-        out[name] = counted.withColumn("has_more", F.lit(offset + limit) < F.col("total"))
+    of = F.col("session_id") == session_id
+    out = {"session": store.rows("sessions", *_SESSION_COLUMNS, where=of)}
+    for name, (order, _) in SECTIONS.items():
+        most, skip = (pages or {}).get(name, (limit, offset))
+        rows = store.rows(name, where=of) if store.has(name) else store.spark.createDataFrame([], TABLES[name])
+        counted = rows.withColumn("total", F.count("*").over(Window.partitionBy("session_id"))).orderBy(*order).offset(skip).limit(most)
+        out[name] = counted.withColumn("has_more", F.lit(skip + most) < F.col("total"))
     return out
+
+
+def session_sections(store: Store, session_id: str, limit: int = 100, offset: int = 0) -> DataFrame:
+    """``section, id, total, has_more``: the rows on the pages of all sections of a session."""
+    detail = session_detail(store, session_id, limit, offset)
+    return reduce(DataFrame.unionByName, [detail[name].select(F.lit(name).alias("section"), F.col(id_).alias("id"), "total", "has_more") for name, (_, id_) in SECTIONS.items()])
+
+
+def full_session(store: Store, session_id: str) -> DataFrame:
+    """``session_id, depth, section, id, place``: every row of a session and of all its descendants, section by section in order."""
+    from pyspark.sql import Window
+
+    found = below(links(table(store.spark, store.base, "sessions")), store.spark.createDataFrame([(session_id,)], "ancestor string")).select(F.col("id").alias("session_id"), F.col("distance").alias("depth"))
+    parts = []
+    for name, (order, id_) in SECTIONS.items():
+        if store.has(name):
+            rows = store.rows(name, "session_id", order[0], id_).join(found, "session_id")
+            place = F.row_number().over(Window.partitionBy("session_id").orderBy(*order)) - 1
+            parts.append(rows.select("session_id", "depth", F.lit(name).alias("section"), F.col(id_).alias("id"), place.cast("long").alias("place")))
+    return reduce(DataFrame.unionByName, parts)

@@ -97,6 +97,12 @@ class Folder:
         path, files = self._path(name)
         return files.exists(path)
 
+    def stamp(self, name: str) -> str:
+        """The size, number of files and time of change of what ``name`` is: another one after a change."""
+        path, files = self._path(name)
+        whole, newest = files.getContentSummary(path), files.getFileStatus(path).getModificationTime()
+        return f"{whole.getLength()}-{whole.getFileCount()}-{newest}"
+
     def read(self, name: str) -> str:
         path, files = self._path(name)
         stream = files.open(path)
