@@ -95,6 +95,8 @@ class LexicalIndex:
     """
 
     BUCKETS = 64
+    #: Part of the folder's name, to be raised with every change of what is stored.
+    FORMAT = 2
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -103,7 +105,7 @@ class LexicalIndex:
     @classmethod
     def of(cls, store: Store, shared: str) -> LexicalIndex:
         """The index of the store's messages in their present state, below the ``shared`` folder."""
-        state = hashlib.sha256(f"{store.base}\n{Folder(store.spark, store.base).stamp('messages.parquet')}".encode()).hexdigest()[:16]
+        state = hashlib.sha256(f"{cls.FORMAT}\n{cls.BUCKETS}\n{store.base}\n{Folder(store.spark, store.base).stamp('messages.parquet')}".encode()).hexdigest()[:16]
         index = cls(store.spark, f"{shared}/lexical-{state}")
         if not index.files.has("stats.json"):
             index.build(documents(store))
