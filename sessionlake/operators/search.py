@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionlake.functions.arrow import map_lists
 from sessionlake.functions.hashing import project_scope_token
 from sessionlake.functions.text import query_terms, terms
 from sessionlake.functions.vectors import dot, norm, query_vector
@@ -86,6 +88,28 @@ def lexical_search(docs: DataFrame, text: str, limit: int = 20, offset: int = 0,
     return ranked.select("key", "session_id", "seq", "rank", (F.lit(1.0) / F.col("rank")).alias("score"))
 
 
+def counted_terms(docs: DataFrame, about: list[str]) -> DataFrame:
+    """``about, length, term, tf``: the different terms of each message, the empty one included; counted where the message is, without a shuffle."""
+
+    def make():
+        def count(rows: dict) -> dict:
+            out: dict[str, list] = {c: [] for c in (*about, "length", "term", "tf")}
+            for i, terms in enumerate(rows["terms"]):
+                counts = Counter(terms or ())
+                counts[""] = 1
+                for c in about:
+                    out[c] += [rows[c][i]] * len(counts)
+                out["length"] += [len(terms or ())] * len(counts)
+                out["term"] += counts.keys()
+                out["tf"] += counts.values()
+            return out
+
+        return count
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in about)
+    return map_lists(docs.select(*about, "terms"), make, f"{fields}, length int, term string, tf int")
+
+
 class LexicalIndex:
     """The inverted index as stored: postings in buckets of a hash of the term, sorted by term, and what the ranking needs to know of all messages.
 
@@ -96,7 +120,7 @@ class LexicalIndex:
 
     BUCKETS = 64
     #: Part of the folder's name, to be raised with every change of what is stored.
-    FORMAT = 2
+    FORMAT = 3
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -113,9 +137,7 @@ class LexicalIndex:
 
     def build(self, docs: DataFrame) -> None:
         """Write the postings of ``docs`` and then the statistics, whose file says that the index is whole."""
-        about = ["key", "session_id", "seq", "role", "project_key", "provider"]
-        each = docs.select(*about, F.size("terms").alias("length"), F.explode(F.array_append("terms", F.lit(""))).alias("term"))
-        found = each.groupBy("term", *about, "length").agg(F.count("*").cast("int").alias("tf"))
+        found = counted_terms(docs, ["key", "session_id", "seq", "role", "project_key", "provider"])
         bucket = (F.crc32(F.encode("term", "UTF-8")) % self.BUCKETS).cast("int")
         # the empty term is that of all messages, so its rows are dealt out; a frequent term's are cut by the size of its files
         spread = F.when(F.col("term") == "", F.pmod(F.xxhash64("key"), F.lit(self.BUCKETS)).cast("int")).otherwise(bucket)
