@@ -120,7 +120,7 @@ class LexicalIndex:
 
     BUCKETS = 64
     #: Part of the folder's name, to be raised with every change of what is stored.
-    FORMAT = 3
+    FORMAT = 4
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -142,7 +142,8 @@ class LexicalIndex:
         # the empty term is that of all messages, so its rows are dealt out; a frequent term's are cut by the size of its files
         spread = F.when(F.col("term") == "", F.pmod(F.xxhash64("key"), F.lit(self.BUCKETS)).cast("int")).otherwise(bucket)
         rows = found.withColumn("_bucket", spread).withColumn("is_length", F.col("term") == "")
-        rows.repartition("_bucket", F.pmod(F.xxhash64("key"), F.lit(2))).sortWithinPartitions("_bucket", "term").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/postings")
+        tasks = max(self.BUCKETS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))  # a number of its own, which adaptive execution leaves as it is
+        rows.repartition(tasks, "_bucket", F.pmod(F.xxhash64("key"), F.lit(2))).sortWithinPartitions("_bucket", "term").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/postings")
         total = self.postings().where("is_length").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
         self.files.write("stats.json", json.dumps({"n": total["n"], "mean": total["mean"]}))
 
