@@ -66,10 +66,13 @@ def read_documents(spark: SparkSession, root: str, glob: str) -> tuple[DataFrame
 def read_sqlite(spark: SparkSession, root: str, glob: str, query: str, schema: str) -> DataFrame:
     """The rows of ``query`` in each SQLite file below ``root``, with its ``path``; a file that is none gives a row of ``error`` only.
 
-    A task copies the file it was given and reads the copy, so a database in use is read as it was. Values
-    are read as text or bytes, as ``schema`` (DDL of the query's columns) says.
+    A task copies the file it was given, with the write-ahead log beside it where there is one, and reads the
+    copy, so the rows of a database in use that its main file does not have yet are read too. Values are read as
+    text or bytes, as ``schema`` (DDL of the query's columns) says.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{glob},{glob}-wal}}").load(root)
+    is_log = F.endswith("path", F.lit("-wal"))
+    files = found.groupBy(F.regexp_replace("path", "-wal$", "").alias("path")).agg(F.first(F.when(~is_log, F.col("content")), ignorenulls=True).alias("content"), F.first(F.when(is_log, F.col("content")), ignorenulls=True).alias("log")).where(F.col("content").isNotNull())
     from pyspark.sql import types as T
 
     wanted = T._parse_datatype_string(schema)
@@ -77,13 +80,16 @@ def read_sqlite(spark: SparkSession, root: str, glob: str, query: str, schema: s
 
     def run(batches):
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, content, log in zip(pdf["path"], pdf["content"], pdf["log"]):
                 with tempfile.TemporaryDirectory() as folder:
                     copy = os.path.join(folder, "copy.db")
                     with open(copy, "wb") as f:
                         f.write(content)
+                    if log:
+                        with open(f"{copy}-wal", "wb") as f:
+                            f.write(log)
                     try:
-                        connection = sqlite3.connect(f"file:{copy}?immutable=1", uri=True)
+                        connection = sqlite3.connect(f"file:{copy}" if log else f"file:{copy}?immutable=1", uri=True)
                         try:
                             cursor = connection.execute(query)
                             while rows := cursor.fetchmany(5000):

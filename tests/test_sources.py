@@ -190,3 +190,17 @@ def test_every_call_of_a_list_is_read(spark, tmp_path, provider, path, record):
     _write(f"{tmp_path}/{path}", [{**record, "tool_calls": [{"id": "c", "name": "bash", "arguments": "{}"}, {"name": "read", "arguments": {"p": 1}}, {"id": "d"}]}])
     calls = C.merged_calls(C.read_source(spark, provider, str(tmp_path))[0]).collect()
     assert sorted((r["tool_call_id"], r["tool_name"], r["tool_input"]) for r in calls) == [("c", "bash", "{}"), ("call:1:1", "read", '{"p":1}'), ("d", None, None)]
+
+
+def test_rows_of_the_write_ahead_log_are_read(spark, tmp_path):
+    from sessionlake.sources.files import read_sqlite
+
+    db = sqlite3.connect(f"{tmp_path}/state.db", isolation_level=None)
+    db.execute("pragma journal_mode=wal")
+    db.execute("pragma wal_autocheckpoint=0")
+    db.execute("create table t (a integer)")
+    db.execute("insert into t values (1), (2)")
+    assert os.path.getsize(f"{tmp_path}/state.db-wal") > 0
+    rows = read_sqlite(spark, str(tmp_path), "state.db", "select a from t", "a long").collect()
+    db.close()
+    assert sorted(r["a"] for r in rows) == [1, 2] and all(r["error"] is None for r in rows)
