@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,25 +40,20 @@ def fan_out(sessions: DataFrame, kinds: tuple[str, ...] = ("embed",)) -> DataFra
 
 
 def enqueue(jobs: DataFrame, incoming: DataFrame, now: Column, most_attempts: int = 5) -> DataFrame:
-    """The queue after ``incoming``: new keys wait, terminal jobs of a known key start again, others stay as they are."""
-    keys = incoming.dropDuplicates(["idempotency_key"])
-    kept = jobs.join(keys.select("idempotency_key"), "idempotency_key", "left_anti")
-    known = jobs.join(keys.select("idempotency_key", F.col("payload_json").alias("_payload")), "idempotency_key")
-    again = F.col("status").isin(*TERMINAL)
-    renewed = known.withColumns(
-        {
-            "payload_json": F.when(again, F.col("_payload")).otherwise(F.col("payload_json")),
-            "attempts": F.when(again, F.lit(0)).otherwise(F.col("attempts")),
-            "next_run_at": F.when(again, now).otherwise(F.col("next_run_at")),
-            "last_error": F.when(again, F.lit(None).cast("string")).otherwise(F.col("last_error")),
-            "status": F.when(again, F.lit("pending")).otherwise(F.col("status")),
-        }
-    ).drop("_payload")
-    fresh = keys.join(jobs.select("idempotency_key"), "idempotency_key", "left_anti").select(
-        F.sha2("idempotency_key", 256).alias("job_id"), "idempotency_key", "kind", "payload_json", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(most_attempts).alias("max_attempts"),
-        F.lit(None).cast("string").alias("leased_by"), F.lit(None).cast("timestamp").alias("lease_until"), now.alias("next_run_at"), F.lit(None).cast("string").alias("last_error"), now.alias("updated_at"),
-    )
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [kept, renewed, fresh])
+    """The queue after ``incoming``: new keys wait, terminal jobs of a known key start again, others stay as they are.
+
+    One full join, so that a plan of several changes reads ``jobs`` once for each of them.
+    """
+    keys = incoming.dropDuplicates(["idempotency_key"]).select("idempotency_key", F.col("kind").alias("_kind"), F.col("payload_json").alias("_payload"), F.lit(True).alias("_asked"))
+    both = jobs.withColumn("_held", F.lit(True)).join(keys, "idempotency_key", "full")
+    held = F.col("_held").isNotNull()
+    stays = held & ~F.coalesce(F.col("_asked") & F.col("status").isin(*TERMINAL), F.lit(False))
+    renewed = {"payload_json": F.col("_payload"), "attempts": F.lit(0), "next_run_at": now, "last_error": F.lit(None).cast("string"), "status": F.lit("pending")}
+    given = {
+        "job_id": F.sha2("idempotency_key", 256), "kind": F.col("_kind"), "max_attempts": F.lit(most_attempts),
+        "leased_by": F.lit(None).cast("string"), "lease_until": F.lit(None).cast("timestamp"), "updated_at": now,
+    }
+    return both.withColumns({c: F.when(stays, F.col(c)).otherwise(x) for c, x in renewed.items()} | {c: F.when(held, F.col(c)).otherwise(x) for c, x in given.items()}).drop("_kind", "_payload", "_asked", "_held")
 
 
 def lease(jobs: DataFrame, kind: str, worker: str, now: Column, count: int, seconds: int = 60) -> DataFrame:

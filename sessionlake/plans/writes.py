@@ -9,6 +9,7 @@ from sessionlake.operators import jobs, merge, normalize
 from sessionlake.operators.store import Store
 from sessionlake.plans.catalog import _M, _MODEL, _S, _T, _V, query
 from sessionlake.plans.query import enrichment_page, session_sections
+from sessionlake.runtime import checkpoint
 from sessionlake.schemas import TABLES
 
 _NOW = "2026-07-01 00:00:00"
@@ -114,9 +115,9 @@ def settled_jobs(spark: SparkSession, base: str) -> DataFrame:
 @query(f"WITH {_JOBS} SELECT id AS job_id, CASE WHEN n <= 20 AND id < '8' THEN 'pending' WHEN n <= 20 THEN 'failed' ELSE 'pending' END AS status FROM q WHERE NOT (n <= 20 AND id >= '8' AND session_id LIKE '%1')")
 def pruned_jobs(spark: SparkSession, base: str) -> DataFrame:
     """The queue after completed jobs were asked for again, and failed ones of sessions that are gone were removed."""
-    leased = jobs.lease(_queue(spark, base), "embed", "worker", _now(), 20).withColumn("max_attempts", F.lit(1))
+    leased = checkpoint(jobs.lease(_queue(spark, base), "embed", "worker", _now(), 20).withColumn("max_attempts", F.lit(1)))
     outcomes = leased.where("status = 'leased'").select("job_id", (F.col("job_id") < "8").alias("ok"), F.lit("boom").alias("error"))
-    settled = jobs.settle(leased, outcomes, _now())
+    settled = checkpoint(jobs.settle(leased, outcomes, _now()))
     sessions = Store(spark, base).rows("sessions", "source_fingerprint")
     again = jobs.enqueue(settled, jobs.fan_out(sessions.join(settled.where("status = 'completed'").select(F.get_json_object("payload_json", "$.session_id").alias("session_id")), "session_id", "left_semi")), _now())
     return jobs.prune(again, sessions.where(~F.col("session_id").endswith("1"))).select("job_id", "status")
